@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, substring_dedup
 from .common import table
+from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_groups
+from .html_text import extract
 from .language import identify
+from .lm_scoring import score_documents
 from .mixing import mix
 from .packing import pack
 from .substring_dedup import repeated_spans
@@ -30,14 +33,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans as text, "start:end" in order, so that they compare as plain values."""
     found = repeated_spans(table(spark, sf_dir, "documents"))
@@ -50,8 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_mixing": op3_mixing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_token_count": op6_token_count,
+        "op7_html_text": op7_html_text,
         "op8_language_id": op8_language_id,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
