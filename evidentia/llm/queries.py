@@ -16,6 +16,7 @@ from .html_text import extract
 from .language import identify
 from .lm_scoring import score_documents
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .packing import pack
 from .substring_dedup import repeated_spans
 from .token_count import count_tokens
@@ -33,6 +34,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_mixing": op3_mixing,
+        "op4_near_dedup": op4_near_dedup,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_token_count": op6_token_count,
         "op7_html_text": op7_html_text,
