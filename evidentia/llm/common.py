@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Arrow batches stay this small however long the texts of a partition are.
@@ -48,3 +48,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names: other columns of the input cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def only_kept(docs: DataFrame, kept: DataFrame, mark: str) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, ``mark``) is in ``kept``, null ids included; of rows that agree in both one
+    stays. ``docs`` has ``mark`` as a further column, which goes."""
+    wanted = kept.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark")).distinct()
+    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_mark"))).drop("_id", "_mark")
+    order = Window.partitionBy("doc_id", mark).orderBy(mark)
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", mark)

@@ -13,12 +13,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import only, shuffle_partitions, written
+from .common import only, only_kept, shuffle_partitions, written
 
 #: Entries of a bucket before it splits, and the longest prefix: 2**16 counts reach the driver at most.
 BUCKET_ENTRIES = 512
@@ -98,6 +100,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
+@F.pandas_udf(StringType())
+def _sha256(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: hashlib.sha256((x or b"").lower()).hexdigest())
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    kept = exact_groups(docs).where("kept")
+    return only_kept(docs.withColumn("_sha256", _sha256(F.col("text").cast("binary"))), kept.withColumnRenamed("text_sha256", "_sha256"), "_sha256")
+
+
 #: DuckDB SQL for ``op2_exact_dedup``.
 ORACLE_SQL = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),

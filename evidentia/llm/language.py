@@ -125,8 +125,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int = PROFILE) ->
     return {lang: np.array(codes, np.int64) for lang, codes in found.items()}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFILE, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score for each row of ``docs``; with ``keep`` all its columns and these two.
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFILE) -> DataFrame:
+    """``docs`` (with a column text) and ``_nearest``, a struct of lang_pred and score.
 
     Null texts, texts without letters, and any text if no profile was learned, get ``und`` and 0. Repeated rows and null
     ids get a row each. An empty table gives no rows.
@@ -150,8 +150,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predicted.select("doc_id", held_out("doc_id").alias("held_out"), "_nearest.lang_pred", "_nearest.score")
 
 
-def accepted(docs: DataFrame, min_score: float = 0.0, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with more than ``min_score``; columns as before."""
-    rows = only(docs, doc_id="doc_id", text="text", lang="lang")
-    predicted = predict(docs, learn(rows, **options), options.get("most", PROFILE))
+#: A document less like its nearest profile than this is in no known language.
+MIN_SCORE = 0.2
+
+
+def accepted(docs: DataFrame, min_score: float = MIN_SCORE, **options) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others, all kept) in a recognised language: not ``und``, and of
+    more than ``min_score``."""
+    predicted = predict(docs, learn(only(docs, doc_id="doc_id", text="text", lang="lang"), **options), options.get("most", PROFILE))
     return predicted.where((F.col("_nearest.lang_pred") != UNDETERMINED) & (F.col("_nearest.score") > min_score)).drop("_nearest")

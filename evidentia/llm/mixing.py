@@ -19,7 +19,7 @@ from .common import only, written
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 SHARE, MOST = 1.5, 2.0
-BLOCK_DOCS, MAX_BLOCKS, SHARDS, SEED = 64, 4096, 16, 7
+BLOCK_DOCS, MAX_BLOCKS, SHARDS, SEED = 64, 4096, 32, 7
 #: A table of sources is broadcast up to so many rows (some tens of bytes each), else joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -78,45 +78,75 @@ def shard_quotas(draws: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Da
     return node.select((F.col("node") - n).cast("int").alias("shard"), F.posexplode("quota").alias("no", "n"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken and ``copies``, an array of
-    (copy, shard, words): the draws that have the document, where each goes and how many of its words that takes.
-
-    A copy of fewer words than the document has takes its first words. Null texts have no words and are never taken;
-    null is a source, the last. Rows that share an id lie in one block; each is taken for itself. An empty table gives
-    no rows. A rerun gives the same rows. Other columns are not read.
-    """
-    rows = only(docs, doc_id=id_col, text=text_col, source=source_col)
-    sizes = written(rows.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+def draws_of(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED):
+    """The plan of a mix: a function that adds no, size, source_size, target, block and draws (of the block) to rows with
+    doc_id, text and source. ``draws`` is an array of (copy, shard, words), null for a block that is never drawn."""
+    sizes = written(_sized(docs).select("doc_id", "source", "size"), "sizes")
     targets = written(source_targets(sizes, share, most, weights), "targets")
     small = targets.count() <= BROADCAST_ROWS
-    blocks_of = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("long")
-    sources = targets.select("no", F.col("source").alias("_source"), "source_size", "target", blocks_of.alias("n_blocks"))
-    placed = sizes.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "n_blocks"))
+    n_blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("long")
+    sources = targets.select("no", F.col("source").alias("_source"), "source_size", "target", n_blocks.alias("_blocks"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        found = rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        return found.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "_blocks")).drop("_blocks")
 
-    blocks = placed.groupBy("no", "block").agg(F.sum("size").alias("block_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
+    blocks = placed(sizes).groupBy("no", "block").agg(F.sum("size").alias("words"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
     order = Window.partitionBy("no").orderBy(F.xxhash64(F.lit(seed + 1), "no", "block"), "block")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    ranked = blocks.withColumn("passes", passes).withColumn("place", F.row_number().over(order)).withColumn("before", F.sum("block_size").over(order) - F.col("block_size"))
-    rest = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
-    ranked = ranked.withColumn("rest", F.least(F.col("block_size"), F.greatest(F.lit(0).cast("long"), rest - F.col("before"))))
-    ranked = ranked.withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("no")))
-    # every draw of a block has its number in the source's sequence of draws
-    copy = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("passes") + 1), lambda c: F.struct(c.alias("copy"), F.when(c <= F.col("passes"), F.col("block_size")).otherwise(F.col("rest")).alias("words"))))
-    drawn = ranked.select("no", "block", ((F.lit(0) + F.col("place") - 1)).alias("place"), "n_blocks", copy.alias("draw")).select("no", "block", "draw.copy", "draw.words", ((F.col("draw.copy") - 1) * F.col("n_blocks") + F.col("place")).alias("at")).where("words > 0")
-    number = F.row_number().over(Window.partitionBy("no").orderBy("at")) - 1
-    drawn = written(drawn.withColumn("at", number), "draws")
-
-    all_sources = targets.select("no").join(drawn.groupBy("no").agg(F.count(F.lit(1)).alias("n_draws")), "no", "left").fillna(0, ["n_draws"])
-    quotas = shard_quotas(all_sources, shards, seed + 2)
+    ranked = blocks.withColumn("passes", passes).withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("place", F.row_number().over(order))
+    rest = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long") - F.col("before")
+    ranked = ranked.withColumn("rest", F.least(F.col("words"), F.greatest(F.lit(0).cast("long"), rest)))
+    # a whole draw for each pass, and one more for what is left of the target
+    copies = F.transform(F.sequence(F.lit(1).cast("long"), F.col("passes") + 1), lambda c: F.struct(c.alias("copy"), F.when(c <= F.col("passes"), F.col("words")).otherwise(F.col("rest")).alias("words")))
+    drawn = ranked.select("no", "block", "place", F.inline(copies)).where("words > 0")
+    drawn = written(drawn.withColumn("at", F.row_number().over(Window.partitionBy("no").orderBy("copy", "place")) - 1), "draws")
+
+    every = targets.select("no").join(drawn.groupBy("no").agg(F.count(F.lit(1)).alias("n_draws")), "no", "left").fillna(0, ["n_draws"])
     upto = F.sum("n").over(Window.partitionBy("no").orderBy("shard"))
-    ranges = quotas.withColumn("first", upto - F.col("n")).where("n > 0").select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
-    sharded = drawn.join(ranges, ["no", "at"]).groupBy("no", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "words"))).alias("draws"))
+    ranges = shard_quotas(every, shards, seed + 2).withColumn("first", upto - F.col("n")).where("n > 0")
+    owner = ranges.select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
+    draws = written(drawn.join(owner, ["no", "at"]).groupBy("no", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "words"))).alias("draws")), "block-draws")
+
+    def planned(rows: DataFrame) -> DataFrame:
+        """``copies`` of each row: (copy, shard, words of the row that this copy takes)."""
+        inside = Window.partitionBy("no", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size")
+        before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+        held = placed(_sized(rows)).join(draws, ["no", "block"], "left").withColumn("_before", before)
+        taken = lambda d: F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), d["words"] - F.col("_before")))
+        none = F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")
+        found = F.transform(F.coalesce("draws", none), lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), taken(d).alias("words")))
+        return held.withColumn("copies", F.filter(found, lambda d: d["words"] > 0)).drop("no", "block", "draws", "_before")
+
+    return planned
 
-    inside = Window.partitionBy("no", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size")
-    held = placed.join(sharded, ["no", "block"], "left").withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    words = lambda d: F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), d["words"] - F.col("before")))
-    copies = F.filter(F.transform(F.coalesce("draws", F.array().cast("array<struct<copy:bigint,shard:int,words:bigint>>")), lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), words(d).alias("words"))), lambda d: d["words"] > 0)
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs if "size" in docs.columns else docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken and ``copies``, an array of
+    (copy, shard, words): the draws that have the document, where each goes and how many of its words that takes.
+
+    A copy of fewer words than the document has takes its first words. Null texts have no words and are never taken;
+    null is a source, the last. Rows that share an id lie in one block; each is taken for itself. An empty table gives
+    no rows. A rerun gives the same rows. Other columns are not read. ``options``: those of ``draws_of``.
+    """
+    sizes = written(_sized(only(docs, doc_id=id_col, text=text_col, source=source_col)).drop("text"), "sizes")
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return held.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return draws_of(sizes, **options)(sizes).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each copy of a document, cut after its first words where a
+    copy takes only these (``n_chars`` follows), dealt to ``shards`` partitions and shuffled in each."""
+    columns = docs.columns
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "text", "source")
+    planned = draws_of(plain.select("doc_id", "text", "source"), shards=shards, seed=seed, **options)(plain)
+    copies = planned.select("_row", "size", F.inline("copies"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    rows = copies.withColumn("_text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("_row.text")))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 4), "_row.doc_id", "copy"))
+    own = {"text": F.col("_text"), "n_chars": F.when(F.col("words") < F.col("size"), F.length("_text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
+    return rows.select(*[(own[c] if c in own else F.col(f"_row.`{c}`")).alias(c) for c in columns])

@@ -25,9 +25,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .blocks import SIDE, grouped, in_blocks
-from .common import only, shuffle_partitions, written
+from .common import only, only_kept, shuffle_partitions, written
 from .components import components
 from .words import mix, ngram_hashes, word_hashes
 
@@ -238,7 +239,7 @@ def apart(members: DataFrame, bands: int, rows: int, least: int, side: int = SID
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS, least: int = LEAST_AGREEMENT, counters: int = COUNTERS, gain: float = IDF_GAIN, side: int = SIDE) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the documents linked with it, directly or not),
-    class_size, kept (one document of each class, that with the smallest id).
+    class_size, kept (one document of each class, that with the smallest id), words_digest (of its word sequence).
 
     Null texts and texts without words link with nothing. Texts of the same words are in one class. Of rows that repeat
     the staying id one stays; a null id is a class's id only if all are null. An empty table gives no rows. Other
@@ -269,8 +270,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_class = nodes.select("node", "first_doc", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = in_class.groupBy("root").agg(F.min("first_doc").alias("class_id"), F.sum("copies").alias("class_size"))
     per_node = in_class.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
-    of_words = signed.where("has_words").select("doc_id", "node").join(per_node, "node").select("doc_id", "class_id", "class_size")
-    twin = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("class_size"))
-    kept = of_words.select("*", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (twin == 1)).alias("kept"))
-    alone = signed.where("not has_words").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    of_words = signed.where("has_words").select("doc_id", "node").join(per_node, "node").select("doc_id", "class_id", "class_size", "node")
+    twin = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("node"))
+    kept = of_words.select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (twin == 1)).alias("kept"), F.col("node").alias("words_digest"))
+    alone = signed.where("not has_words").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.col("node").alias("words_digest"))
     return kept.unionByName(alone)
+
+
+@F.pandas_udf(StringType())
+def _digest(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: xxhash.xxh3_128_hexdigest(word_hashes(x).tobytes()))
+
+
+def class_representatives(docs: DataFrame) -> DataFrame:
+    """One document of each class, with all its columns."""
+    kept = near_duplicates(docs).where("kept").withColumnRenamed("words_digest", "_words")
+    return only_kept(docs.withColumn("_words", _digest("text")), kept, "_words")
