@@ -6,9 +6,10 @@ fixed size. A sample of each text's weighted shingles agrees between two texts w
 Jaccard similarity; samples are banded, texts that share a band are candidates, and the similarity of candidates is
 computed from the whole texts.
 
-Equal word sequences are one node. In each bucket first the smallest node is compared with the others, which is linear
-in the bucket; what the links found so far leave apart is then compared pair by pair in blocks of bounded size, where
-pairs whose samples agree too rarely (see ``LEAST_AGREEMENT``) are left out before texts are fetched.
+Equal word sequences are one node. In each bucket first the smallest node is compared with the others, then one that
+differs from band to band, which is linear in the bucket. What the links found so far leave apart is compared pair by
+pair in blocks of bounded size: only members outside a bucket's largest component meet all others, pairs whose samples
+agree too rarely (see ``LEAST_AGREEMENT``) are left out, and a block sends on no more links than it needs to connect.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .blocks import SIDE, grouped, in_blocks
+from .blocks import SIDE, grouped
 from .common import only, only_kept, shuffle_partitions, written
 from .components import components
 from .words import mix, ngram_hashes, word_hashes
@@ -211,30 +212,81 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a string, b string").distinct()
 
 
-def apart(members: DataFrame, bands: int, rows: int, least: int, side: int = SIDE) -> DataFrame:
-    """Pairs of bucket members (band, key, node, comp, bands, sampled) in different components whose samples agree
-    ``least`` times or more; each at the first band that the two share."""
-    block = ["band", "key", "low", "high"]
-    met = in_blocks(members, ["band", "key"], "node", side).select(*block, "node", "comp", "part", "bands", "sampled")
-    met = met.repartition(shuffle_partitions(members.sparkSession), *block).sortWithinPartitions(*block)
+def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, key, node) of buckets that hold several components so far, with ``comp`` and ``most``, the component
+    that has most of the bucket."""
+    held = members.select("band", "key", "node").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp"))
+    counts = held.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
+    return held.join(counts.where("comps > 1").drop("comps"), ["band", "key"])
+
+
+def by_band_leader(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of a bucket with a leader that differs from band to band, if in another component."""
+    order = F.xxhash64("band", "node")
+    leaders = mixed.groupBy("band", "key").agg(F.min_by(F.struct("node", "comp"), F.struct(order, "node")).alias("leader"))
+    pairs = mixed.join(leaders, ["band", "key"]).where(F.col("comp") != F.col("leader.comp"))
+    return pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+
+
+def links_apart(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, idf, threshold: float, bands: int, rows: int, least: int, side: int = SIDE) -> DataFrame:
+    """Links (a, b) between bucket members of different components: whatever connects them, not each one.
+
+    Members outside the bucket's largest component meet all members, in blocks of about ``side`` each. In a block, pairs
+    whose samples agree ``least`` times or more are compared by their texts at the first band that they share, likeliest
+    first; a pair that is connected by then needs no comparison.
+    """
+    few = mixed.where("comp <> most")
+    sizes = mixed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("comp") != F.col("most")).alias("m")).select("band", "key", F.ceil(F.col("n") / side).cast("int").alias("parts"), F.ceil(F.col("m") / side).cast("int").alias("groups"))
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    residents = mixed.join(sizes, ["band", "key"]).select("band", "key", part("parts").alias("part"), each("groups").alias("group"), F.lit(True).alias("resident"), "node", "comp")
+    visitors = few.join(sizes, ["band", "key"]).select("band", "key", each("parts").alias("part"), part("groups").alias("group"), F.lit(False).alias("resident"), "node", "comp")
+    block = ["band", "key", "part", "group"]
+    known = nodes.select("node", "bands", "sampled").join(texts, "node")
+    met = residents.unionByName(visitors).join(known, "node").select(*block, "resident", "node", "comp", "bands", "sampled", "text")
+    met = met.repartition(shuffle_partitions(mixed.sparkSession), *block).sortWithinPartitions(*block)
     out = pa.schema([("a", pa.string()), ("b", pa.string())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, _, low, high), held in grouped(batches, len(block)):
-            node, comp, part = (np.array(c) for c in list(zip(*held, strict=True))[:3])
-            keys = np.array([r[3] for r in held])
-            drawn = np.frombuffer(b"".join(r[4] for r in held), np.uint32).reshape(len(held), bands * rows)
-            found = []
-            for i in range(len(held)):
-                others = np.flatnonzero((comp != comp[i]) & (node > node[i]) & ((part != part[i]) | (low == high)))
-                if len(others):
-                    others = others[(drawn[others] == drawn[i]).sum(axis=1) >= least]
-                    others = others[~(keys[others, :band] == keys[i, :band]).any(axis=1)]
-                    found += [(node[i], node[j]) for j in others]
+        for (band, *_), held in grouped(batches, len(block)):
+            found = list(_connect(band, held, Weigher(idf.value, len(held)), threshold, bands * rows, least))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in c], pa.string()) for c in zip(*found, strict=True)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], schema=out)
 
-    return met.mapInArrow(compare, "a string, b string")
+    return met.mapInArrow(compare, "a string, b string").distinct()
+
+
+def _connect(band: int, held: list[tuple], weigh: Weigher, threshold: float, width: int, least: int) -> Iterator[tuple[str, str]]:
+    """Links of a block of (resident, node, comp, bands, samples, text)."""
+    sides = [[r for r in held if r[0]], [r for r in held if not r[0]]]
+    if not all(sides):
+        return
+    keys = [np.array([r[3] for r in x]) for x in sides]
+    drawn = [np.frombuffer(b"".join(r[4] for r in x), np.uint32).reshape(len(x), width) for x in sides]
+    comp = [np.array([r[2] for r in x]) for x in sides]
+    agree = np.zeros((len(sides[0]), len(sides[1])), np.int16)
+    for i in range(width):
+        agree += drawn[0][:, i][:, None] == drawn[1][:, i]
+    fit = (agree >= least) & (comp[0][:, None] != comp[1])
+    for i in range(band):
+        fit &= keys[0][:, i][:, None] != keys[1][:, i]
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    x, y = np.nonzero(fit)
+    for k in np.argsort(-agree[x, y], kind="stable").tolist():
+        a, b = sides[0][x[k]], sides[1][y[k]]
+        one, other = find(a[2]), find(b[2])
+        if one != other:
+            left, right = weigh(a[5]), weigh(b[5])
+            if left[2] == a[1] and right[2] == b[1] and similarity(left, right) >= threshold:
+                root[one] = other
+                yield a[1], b[1]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS, least: int = LEAST_AGREEMENT, counters: int = COUNTERS, gain: float = IDF_GAIN, side: int = SIDE) -> DataFrame:
@@ -259,12 +311,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = written(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = written(verified(stars, texts, idf, threshold), "links")
 
-    roots = components(links)
-    held = members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = held.groupBy("band", "key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("band", "key")
-    rest = held.join(mixed, ["band", "key"]).join(nodes.select("node", "bands", "sampled"), "node")
-    more = apart(rest, bands, rows, least, side).join(stars, ["a", "b"], "left_anti")
+    # what one leader left apart meets others, then everything that is still apart
+    mixed = mixed_members(members, components(links))
+    more = by_band_leader(mixed).join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(written(verified(more, texts, idf, threshold), "links"))
+    mixed = written(mixed_members(members, components(links)), "mixed")
+    links = links.unionByName(written(links_apart(mixed, nodes, texts, idf, threshold, bands, rows, least, side), "links"))
 
     roots = components(links)
     in_class = nodes.select("node", "first_doc", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
