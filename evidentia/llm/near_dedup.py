@@ -95,14 +95,23 @@ def samples(hashes: np.ndarray, weights: np.ndarray, n: int, seed: int = SEED) -
     r_of, inverse_of, log_of = _tables()
     seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
     least, pick, level = np.full(n, np.inf), np.zeros(n, np.uint64), np.zeros(n)
-    column = np.arange(n)
+    column, log_weights = np.arange(n), np.log(weights)
     for at in range(0, len(hashes), _CHUNK):
         own = hashes[at : at + _CHUNK]
         x = mix(own[:, None] ^ seeds)
-        i, j = (x & np.uint64(0xFFFF)).astype(np.int32), ((x >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int32)
-        b = (x >> np.uint64(32)) * 2.0**-32
-        t = np.floor(np.log(weights[at : at + _CHUNK])[:, None] * inverse_of[i] + b)
-        a = log_of[j] - r_of[i] * (t - b + 1)
+        i = (x & np.uint64(0xFFFF)).view(np.int64)
+        j = ((x >> np.uint64(16)) & np.uint64(0xFFFF)).view(np.int64)
+        b = (x >> np.uint64(32)).astype(np.float64)
+        b *= 2.0**-32
+        t = inverse_of.take(i)
+        t *= log_weights[at : at + _CHUNK, None]
+        t += b
+        np.floor(t, out=t)
+        np.subtract(t, b, out=b)
+        b += 1
+        b *= r_of.take(i)
+        a = log_of.take(j)
+        a -= b
         k = a.argmin(axis=0)
         value = a[k, column]
         better = value < least
