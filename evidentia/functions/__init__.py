@@ -1 +1 @@
-
+"""Column expressions: text, similarity and vectors."""
