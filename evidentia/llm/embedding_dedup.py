@@ -23,7 +23,7 @@ from .common import only, shuffle_partitions, written
 from .components import components
 
 THRESHOLD = 0.98
-TABLES, FUNCTIONS, PROBES, SEED = 6, 2, 4, 17
+TABLES, FUNCTIONS, PROBES, SEED = 4, 3, 4, 17
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     bucket = ["label", "dims", "t", "code"]
     placed = nodes.mapInArrow(lambda b: hashed(b, keys), "label string, dims int, t int, code long, node long, resident boolean")
-    blocks = in_blocks(placed, bucket, "node", side)
+    blocks = in_blocks(placed, bucket, "node", side, F.bool_or("resident"))
     full = nodes.mapInArrow(lambda b: hashed(b, data), "node long, copies long, unit binary, both binary")
     block = [*bucket, "low", "high"]
     met = blocks.join(full, "node").select(*block, "node", "copies", "part", "resident", "unit", "both").repartition(shuffle_partitions(rows.sparkSession), *block).sortWithinPartitions(*block)

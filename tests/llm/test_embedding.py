@@ -15,9 +15,9 @@ def test_transform_is_the_hadamard_matrix():
 
 def test_codes_are_the_nearest_axes_and_probes_differ():
     own, visit = codes(np.random.default_rng(2).normal(size=(50, 24)))
-    assert own.shape == (50, 6) and visit.shape == (50, 6, 4)
-    assert all(len({own[i, t], *visit[i, t].tolist()}) == 5 for i in range(50) for t in range(6))
-    assert codes(np.ones((2, 1)))[0].shape == (2, 6)
+    assert own.shape == (50, 4) and visit.shape == (50, 4, 4)
+    assert all(len({own[i, t], *visit[i, t].tolist()}) == 5 for i in range(50) for t in range(4))
+    assert codes(np.ones((2, 1)))[0].shape == (2, 4)
 
 
 def _brute(rows):
