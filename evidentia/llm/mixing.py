@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import only, shuffle_partitions, written
 
 #: Weights by the sources' order, and what counts as a word.
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 SHARE, MOST = 1.5, 2.0
-BLOCK_DOCS, MAX_BLOCKS, SHARDS, SEED = 64, 4096, 32, 7
+BLOCK_DOCS, MAX_BLOCKS, SEED = 64, 4096, 7
 #: A table of sources is broadcast up to so many rows (some tens of bytes each), else joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -69,7 +69,7 @@ def _halved(node: DataFrame, seed: int) -> DataFrame:
     return drawn.select(F.explode(children).alias("c")).select("c.node", "c.quota")
 
 
-def shard_quotas(draws: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shard_quotas(draws: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(no, n_draws) per source -> (no, shard, n): how many of each source's draws each of ``shards`` (a power of two) gets."""
     root = draws.agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "n_draws"))), lambda x: x["n_draws"]).alias("quota")).select(F.lit(1).cast("long").alias("node"), "quota")
     node, n = root, 1
@@ -78,9 +78,15 @@ def shard_quotas(draws: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Da
     return node.select((F.col("node") - n).cast("int").alias("shard"), F.posexplode("quota").alias("no", "n"))
 
 
-def draws_of(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS, seed: int = SEED):
+def default_shards(docs: DataFrame) -> int:
+    return 1 << (shuffle_partitions(docs.sparkSession) - 1).bit_length()
+
+
+def draws_of(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, seed: int = SEED):
     """The plan of a mix: a function that adds no, size, source_size, target, block and draws (of the block) to rows with
-    doc_id, text and source. ``draws`` is an array of (copy, shard, words), null for a block that is never drawn."""
+    doc_id, text and source. ``draws`` is an array of (copy, shard, words), null for a block that is never drawn.
+    ``shards`` is a power of two; by default there are as many as shuffle partitions or up to twice that."""
+    shards = shards or default_shards(docs)
     sizes = written(_sized(docs).select("doc_id", "source", "size"), "sizes")
     targets = written(source_targets(sizes, share, most, weights), "targets")
     small = targets.count() <= BROADCAST_ROWS
@@ -138,10 +144,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return draws_of(sizes, **options)(sizes).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = SEED, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each copy of a document, cut after its first words where a
     copy takes only these (``n_chars`` follows), dealt to ``shards`` partitions and shuffled in each."""
-    columns = docs.columns
+    columns, shards = docs.columns, shards or default_shards(docs)
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "text", "source")
     planned = draws_of(plain.select("doc_id", "text", "source"), shards=shards, seed=seed, **options)(plain)
     copies = planned.select("_row", "size", F.inline("copies"))
