@@ -11,8 +11,7 @@ from ..functions.similarity import alike, partial_ratio, positional_ratio
 AMOUNT_POINTS, ID_POINTS, TIME_POINTS, ORDER_POINTS, RECEIVER_POINTS, BASE_POINTS = 40.0, 25.0, 15.0, 10.0, 15.0, 5.0
 NO_MAIL_PENALTY, LATE_CHAT_PENALTY = 55.0, 55.0
 APPROVE_FROM, REVIEW_FROM, OCR_GATE, ID_THRESHOLD = 90, 50, 50, 80
-#: Pieces of a receipt's id of which one at least must be whole in the e-mail's: ratios of 80 leave fewer than 8 errors
-#: in an id of at most 24 characters when the other has 20 at least.
+#: A receipt's id is cut into up to so many whole pieces of so many characters.
 PIECES, PIECE = 8, 3
 
 
@@ -20,15 +19,20 @@ def match_mails(receipts: DataFrame, mails: DataFrame, sender: str, threshold: i
     """Adds ``mail`` (transaction_id, amount, timestamp) to each receipt (case_id, transaction_id, timestamp): of the
     sender's e-mails of the same day whose id is alike by ``threshold``, the latest, then that with the smallest id.
 
-    Ids are compared only where they share a piece: all three-letter strings of the e-mail's id meet eight pieces of the
-    receipt's in an equi-join on day and piece, so a day with many payments is not a cross product.
+    All three-letter strings of the e-mail's id meet the pieces of the receipt's in an equi-join on day and piece, so a day
+    with many payments is not a cross product. Each character that the receipt's id has besides the common ones spoils one
+    piece at most: ids are compared only where as many pieces are found as the threshold's errors leave, one at least.
     """
     usable = mails.where((F.col("sender") == sender) & F.col("transaction_id").isNotNull() & F.col("amount").isNotNull())
     strings = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("transaction_id") - PIECE + 1)), lambda i: F.substr(F.lower("transaction_id"), i, F.lit(PIECE)))
     theirs = usable.select(F.col("id").alias("mail_id"), F.to_date("received").alias("day"), "received", F.struct("transaction_id", "amount", "timestamp").alias("mail"), F.explode(F.array_distinct(strings)).alias("piece"))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(F.lower("transaction_id"), i * PIECE + 1, F.lit(PIECE)))
-    ours = receipts.where("transaction_id is not null and timestamp is not null").select("case_id", F.col("transaction_id").alias("own"), F.to_date("timestamp").alias("day"), F.explode(F.array_distinct(pieces)).alias("piece"))
-    pairs = ours.join(theirs, ["day", "piece"]).groupBy("case_id", "mail_id").agg(F.first("own").alias("own"), F.first("received").alias("received"), F.first("mail").alias("mail"))
+    whole = F.least(F.lit(PIECES), F.floor(F.length("transaction_id") / PIECE)).cast("int")
+    pieces = F.transform(F.slice(F.sequence(F.lit(0), F.lit(PIECES - 1)), F.lit(1), whole), lambda i: F.substr(F.lower("transaction_id"), i * PIECE + 1, F.lit(PIECE)))
+    ours = receipts.where("transaction_id is not null and timestamp is not null").select("case_id", F.col("transaction_id").alias("own"), F.to_date("timestamp").alias("day"), whole.alias("whole"), F.explode(pieces).alias("piece"))
+    pairs = ours.join(theirs, ["day", "piece"]).groupBy("case_id", "mail_id").agg(F.first("own").alias("own"), F.first("whole").alias("whole"), F.count(F.lit(1)).alias("found"), F.first("received").alias("received"), F.first("mail").alias("mail"))
+    size = F.length("own")
+    errors = F.floor(size - (threshold - 0.5) / 200 * (size + F.length("mail.transaction_id")))
+    pairs = pairs.where(F.col("found") >= F.greatest(F.lit(1), F.col("whole") - errors))
     near = pairs.where(alike(F.lower("own"), F.lower(F.col("mail.transaction_id")), threshold))
     first = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("received"), "mail_id"))
     best = near.withColumn("_n", first).where("_n = 1").select("case_id", "mail")

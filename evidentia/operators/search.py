@@ -23,6 +23,7 @@ DIGITS = 6
 RECALL = 4
 UNKNOWN = "unknown"
 THRESHOLD = 0.018
+MAX_TEMPLATES = 10_000
 
 
 def _chunked(df: DataFrame, group: str, key: str, name: str, chunk: int) -> DataFrame:
@@ -121,8 +122,10 @@ def routed(queries: DataFrame, items: DataFrame, k: int, clip: float = 0.5, visu
 def zero_shot(queries: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """query_id, label, confidence: softmax over all templates' dot products, the best template's label; below the
     threshold the label is ``unknown``. ``templates`` (label, template, embedding) is a vocabulary, written by hand and
-    so bounded; it goes along as one literal block."""
-    words = templates.select("label", "template", "embedding").dropna().orderBy("template").limit(10_000).collect()
+    so bounded (``MAX_TEMPLATES``; more is an error); it goes along as one literal block."""
+    words = templates.select("label", "template", "embedding").dropna().orderBy("template").take(MAX_TEMPLATES + 1)
+    if len(words) > MAX_TEMPLATES:
+        raise ValueError(f"a vocabulary of more than {MAX_TEMPLATES} templates")
     labels = np.array([w.label for w in words])
     table = np.array([w.embedding for w in words], float)
 
