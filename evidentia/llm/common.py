@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +61,23 @@ def only_kept(docs: DataFrame, kept: DataFrame, mark: str) -> DataFrame:
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_mark"))).drop("_id", "_mark")
     order = Window.partitionBy("doc_id", mark).orderBy(mark)
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", mark)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again for many tasks, and an executor's memory is shared by
+    them and the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task of ``mapInArrow`` that gives freed memory back when it ends."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run

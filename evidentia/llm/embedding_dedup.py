@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SIDE, grouped, in_blocks
-from .common import only, shuffle_partitions, written
+from .common import lean, only, shuffle_partitions, written
 from .components import components
 
 THRESHOLD = 0.98
@@ -147,9 +147,9 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in both], pa.binary())], schema=data_out)
 
     bucket = ["label", "dims", "t", "code"]
-    placed = nodes.mapInArrow(lambda b: hashed(b, keys), "label string, dims int, t int, code long, node long, resident boolean")
+    placed = nodes.mapInArrow(lean(lambda b: hashed(b, keys)), "label string, dims int, t int, code long, node long, resident boolean")
     blocks = in_blocks(placed, bucket, "node", side, F.bool_or("resident"))
-    full = nodes.mapInArrow(lambda b: hashed(b, data), "node long, copies long, unit binary, both binary")
+    full = nodes.mapInArrow(lean(lambda b: hashed(b, data)), "node long, copies long, unit binary, both binary")
     block = [*bucket, "low", "high"]
     met = blocks.join(full, "node").select(*block, "node", "copies", "part", "resident", "unit", "both").repartition(shuffle_partitions(rows.sparkSession), *block).sortWithinPartitions(*block)
     out = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("near", pa.int64())])
@@ -159,7 +159,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if found := list(_block(t, code, low, high, members, dims, tables, probes, threshold)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=out)
 
-    found = written(met.mapInArrow(compare, "node long, links long, near long"), "links")
+    found = written(met.mapInArrow(lean(compare), "node long, links long, near long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("near <> node").select(F.col("node").alias("a"), F.col("near").alias("b")))
     per_node = nodes.join(links, "node", "left").join(roots, "node", "left").select("label", "vector", F.coalesce("root", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import only, only_kept, shuffle_partitions, written
+from .common import lean, only, only_kept, shuffle_partitions, written
 
 #: Entries of a bucket before it splits, and the longest prefix: 2**16 counts reach the driver at most.
 BUCKET_ENTRIES = 512
@@ -66,7 +66,7 @@ def digests(docs: DataFrame, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.binary())] * with_text)], schema=out)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return rows.mapInArrow(task, "doc_id long, key long, sha256 string" + ", bytes binary" * with_text)
+    return rows.mapInArrow(lean(task), "doc_id long, key long, sha256 string" + ", bytes binary" * with_text)
 
 
 def build_index(docs: DataFrame, capacity: int = BUCKET_ENTRIES, max_bits: int = MAX_BITS) -> DataFrame:

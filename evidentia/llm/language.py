@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import give_back, lean, only
 
 #: N-grams of a profile, and labelled documents that each language's profile is learned from at most.
 PROFILE = 400
@@ -116,7 +116,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int = PROFILE) ->
                 codes, counts = grams(text or "")
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "code", "n"])
 
-    summed = texts.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    summed = texts.mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     top = summed.withColumn("rank", rank).where(F.col("rank") <= most)
     found: dict[str, list] = {}
@@ -138,6 +138,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFIL
         known = Profiles(sent.value, most)
         for batch in texts:
             yield pd.DataFrame([known.predict(text) for text in batch], columns=["lang_pred", "score"])
+        give_back()
 
     return docs.withColumn("_nearest", nearest("text"))
 

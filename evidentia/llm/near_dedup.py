@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .blocks import SIDE, grouped
-from .common import only, only_kept, shuffle_partitions, written
+from .common import lean, only, only_kept, shuffle_partitions, written
 from .components import components
 from .words import mix, ngram_hashes, word_hashes
 
@@ -148,7 +148,7 @@ def document_frequencies(docs: DataFrame, counters: int = COUNTERS) -> tuple[np.
             total += np.frombuffer(zlib.decompress(data), np.int64)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1] // 64, "docs": pdf["docs"].sum(), "data": [zlib.compress(total.tobytes(), 1)]})
 
-    parts = written(docs.select("text").mapInArrow(count, schema), "frequencies")
+    parts = written(docs.select("text").mapInArrow(lean(count), schema), "frequencies")
     while True:
         most = parts.agg(F.max("part").alias("m")).first().m
         if not most:
@@ -197,7 +197,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = BAND_ROWS)
                 sampled.append(drawn.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((node, words, keys, sampled), list(out)[1:], strict=True))], schema=out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, node string, has_words boolean, bands array<long>, sampled binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(task), "doc_id long, node string, has_words boolean, bands array<long>, sampled binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -218,7 +218,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], schema=out)
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a string, b string").distinct()
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(task), "a string, b string").distinct()
 
 
 def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def links_apart(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, idf, thres
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], schema=out)
 
-    return met.mapInArrow(compare, "a string, b string").distinct()
+    return met.mapInArrow(lean(compare), "a string, b string").distinct()
 
 
 def _connect(band: int, held: list[tuple], weigh: Weigher, threshold: float, width: int, least: int) -> Iterator[tuple[str, str]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import lean, only
 from .tokens import PreTokens
 
 CAPACITY = 4096
@@ -150,4 +150,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if pieces := list(packer.finish()):
             yield rows(pieces)
 
-    return only(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, SCHEMA + ", ids binary" * with_ids)
+    return only(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(task), SCHEMA + ", ids binary" * with_ids)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import lean, only, written
 
 #: Shorter units are never removed: short lines repeat by chance.
 MIN_WORDS = 10
@@ -63,7 +63,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
     rows = only(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text")
-    placed = written(rows.mapInArrow(task, "doc_id long, row long, start long, end long, high long, low long"), "units")
+    placed = written(rows.mapInArrow(lean(task), "doc_id long, row long, start long, end long, high long, low long"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
     groups = placed.where("start is not null").groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low", "first")
     again = placed.where("start is not null").join(groups, ["high", "low"]).where(rank != F.col("first")).select("row", F.struct("start", "end", F.col("first.doc_id").alias("first_doc_id")).alias("span"))

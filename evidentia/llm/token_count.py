@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import lean, only
 from .tokens import PreTokens
 
 #: Documents, characters of each and entries that the broadcast table is made from.
@@ -52,4 +52,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], schema=out)
 
     sized = rows.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return sized.mapInArrow(task, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return sized.mapInArrow(lean(task), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 #: The characters whose category, case and normal form the fast path relies on.
 SAFE_TEXT = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f]*")
 #: Pre-tokens that one worker remembers before it starts over.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Characters cut at a time, so that a very long text never becomes one list.
 STEP = 1 << 20
 _BOUNDARY = re.compile(r"\S(?= \S)")
