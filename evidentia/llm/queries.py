@@ -59,10 +59,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spans as text, "start:end" in order, so that they compare as plain values."""
-    found = repeated_spans(table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["first_doc_id"].cast("string"))), ",")
-    return found.withColumn("removed", spans)
+    """A row for each unit that goes: its document, its offsets there, and the document that keeps the earliest one."""
+    found = repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", F.inline("removed"))
+    return found.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "first_doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

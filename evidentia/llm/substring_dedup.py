@@ -23,9 +23,12 @@ MIN_WORDS = 10
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 
 
+_NO_WORD = re.compile("[^a-z0-9_\x80-\U0010ffff]+")
+
+
 def normal(unit: str) -> str:
-    """Lower case, runs of white space as one space."""
-    return " ".join(unit.lower().split())
+    """The words in lower case, one space between them: ASCII punctuation does not tell units apart."""
+    return _NO_WORD.sub(" ", unit.lower()).strip()
 
 
 def units(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
@@ -101,17 +104,14 @@ ORACLE_SQL = f"""
 with lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
 numbered as (select doc_id, l, unnest(range(1, len(l) + 1)) as i from lines),
 forms as (
-    select doc_id, i, length(l[i]) as n, trim(regexp_replace(lower(l[i]), '[[:space:]]+', ' ', 'g')) as form,
+    select doc_id, i, length(l[i]) as n, trim(regexp_replace(lower(l[i]), '[^a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) as form,
         sum(length(l[i]) + 1) over (partition by doc_id order by i) - length(l[i]) - 1 as start
     from numbered
 ),
 units as (select * from forms where form <> '' and length(form) - length(replace(form, ' ', '')) + 1 >= {MIN_WORDS}),
 ranked as (
-    select *, first_value(doc_id) over w as first_doc, row_number() over w as k
+    select *, first_value(doc_id) over w as first_doc_id, row_number() over w as k
     from units window w as (partition by form order by doc_id, start)
 )
-select d.doc_id, count(u.form) as n_units, count(*) filter (u.k > 1) as n_removed,
-    coalesce(sum(u.n) filter (u.k > 1), 0)::bigint as removed_chars,
-    coalesce(string_agg(u.start::bigint || ':' || (u.start + u.n)::bigint || ':' || u.first_doc, ',' order by u.start) filter (u.k > 1), '') as removed
-from documents d left join ranked u on d.doc_id = u.doc_id group by d.doc_id
+select doc_id, start::bigint as span_start, (start + n)::bigint as span_end, first_doc_id from ranked where k > 1
 """

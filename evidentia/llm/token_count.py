@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import lean, only
 from .tokens import PreTokens
 
-#: Documents, characters of each and entries that the broadcast table is made from.
+#: The broadcast table is made from so many documents, whole ones of so many characters at most, and has so many entries.
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 20_000
 TABLE_ENTRIES = 30_000
@@ -28,7 +28,7 @@ TABLE_KEY_CHARS = 32
 def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> dict[str, int]:
     """{pre-token: tokens} of the most frequent pre-tokens of at most ``sample_docs`` documents."""
     known, seen = PreTokens(tokenizer, "byte"), Counter()
-    for (text,) in docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS)).limit(sample_docs).toLocalIterator():
+    for (text,) in docs.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(sample_docs).toLocalIterator():
         if known.safe(text):
             for words in known.cut(text):
                 seen.update(words)
