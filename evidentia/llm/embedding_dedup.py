@@ -166,3 +166,18 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     linked = good.join(per_node, ["label", "vector"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)
+
+
+#: DuckDB SQL for ``op9_embedding_dedup``: every pair of a label.
+ORACLE_SQL = f"""
+with recursive v as (
+    select vec_id, label, embedding::double[] as x, sqrt(list_dot_product(embedding::double[], embedding::double[])) as size from embeddings where label is not null and embedding is not null
+),
+pairs as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+    where a.size > 0 and b.size > 0 and isfinite(a.size) and isfinite(b.size) and list_dot_product(a.x, b.x) / (a.size * b.size) >= {THRESHOLD}
+),
+reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, pairs.b from reach join pairs on reach.b = pairs.a)
+select e.vec_id, (select count(*) from pairs where a = e.vec_id) as n_links, m.c as component_id, e.vec_id = m.c as kept
+from embeddings e join (select a, min(b) as c from reach group by a) m on m.a = e.vec_id
+"""

@@ -140,9 +140,32 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = summed.agg(F.sum("n_words").alias("n")).first().n or 0
     rest = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double")
     total = F.col("sums") - F.col("n_unigrams") * F.log(rest)
-    return summed.select("doc_id", "n_words", "n_backed_off", total.alias("log_score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_score"))
+    return summed.select("doc_id", "n_words", "n_backed_off", F.round(total, 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(total / F.col("n_words"), 6)).alias("mean_log_score"))
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows in an order that both passes over a chunk share."""
     return pdf.sort_values(["doc_id", "text"], kind="stable", na_position="last").reset_index(drop=True)
+
+
+#: DuckDB SQL for ``op5_lm_scoring``: order 2.
+ORACLE_SQL = f"""
+with l as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') as ws from documents),
+w as (select r, unnest(ws) as word, unnest(range(len(ws))) as p from l),
+g as (select r, word, p, lag(word) over (partition by r order by p) as prev from w),
+c1 as (select word, count(*) as n from w group by 1), o1 as (select r, word, count(*) as n from w group by 1, 2),
+c2 as (select prev, word, count(*) as n from g where prev is not null group by 1, 2), o2 as (select r, prev, word, count(*) as n from g where prev is not null group by 1, 2, 3),
+n as (select l.r, l.doc_id, len(l.ws) as n_words, greatest(1, sum(len(l.ws)) over () - len(l.ws)) as rest from l),
+k as (
+    select g.r, g.prev, c1.n - o1.n as uni, coalesce(c2.n - o2.n, 0) as bi, greatest(1, coalesce(cp.n - op.n, 0)) as ctx
+    from g join c1 using (word) join o1 on o1.r = g.r and o1.word = g.word
+    left join c2 on c2.prev = g.prev and c2.word = g.word left join o2 on o2.r = g.r and o2.prev = g.prev and o2.word = g.word
+    left join c1 cp on cp.word = g.prev left join o1 op on op.r = g.r and op.word = g.prev
+),
+s as (
+    select n.doc_id, n.r, n.n_words, count(*) filter (k.prev is not null and bi = 0) as n_backed_off,
+        coalesce(sum(case when bi > 0 then ln(bi / ctx) else ln(greatest(1, uni) / rest) + case when prev is not null then ln({BACKOFF}) else 0 end end), 0) as total
+    from n left join k on n.r = k.r group by 1, 2, 3
+)
+select doc_id, n_words::bigint as n_words, n_backed_off, round(total, 6) as log_score, case when n_words > 0 then round(total / n_words, 6) end as mean_log_score from s
+"""

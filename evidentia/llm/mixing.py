@@ -29,6 +29,11 @@ def _draw(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _place(seed: int, *parts: Column | str) -> Column:
+    """60 bits of an MD5 of the seed and the parts that are not null: an order that any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per source: no (0.. by code point, null last), source, source_size, n_docs, target.
 
@@ -44,7 +49,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, w
     onward = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     level = (F.sum("source_size").over(every) * F.lit(float(share)) - before) / onward
     filled = vessels.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return filled.select("no", "source", "source_size", "n_docs", F.least("limit", F.greatest(F.lit(0.0), F.col("weight") * F.col("level"))).alias("target"))
+    return filled.select("no", "source", "source_size", "n_docs", F.least("limit", F.greatest(F.lit(0.0), F.round(F.col("weight") * F.col("level"), 6))).alias("target"))
 
 
 def _halved(node: DataFrame, seed: int) -> DataFrame:
@@ -95,10 +100,10 @@ def draws_of(docs: DataFrame, share: float = SHARE, most: float = MOST, weights:
 
     def placed(rows: DataFrame) -> DataFrame:
         found = rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        return found.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "_blocks")).drop("_blocks")
+        return found.withColumn("block", F.pmod(_place(seed, "doc_id"), "_blocks")).drop("_blocks")
 
     blocks = placed(sizes).groupBy("no", "block").agg(F.sum("size").alias("words"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
-    order = Window.partitionBy("no").orderBy(F.xxhash64(F.lit(seed + 1), "no", "block"), "block")
+    order = Window.partitionBy("no").orderBy(_place(seed + 1, "no", "block"), "block")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     ranked = blocks.withColumn("passes", passes).withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("place", F.row_number().over(order))
     rest = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long") - F.col("before")
@@ -116,7 +121,7 @@ def draws_of(docs: DataFrame, share: float = SHARE, most: float = MOST, weights:
 
     def planned(rows: DataFrame) -> DataFrame:
         """``copies`` of each row: (copy, shard, words of the row that this copy takes)."""
-        inside = Window.partitionBy("no", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size")
+        inside = Window.partitionBy("no", "block").orderBy(_place(seed + 3, "doc_id"), "doc_id", "size")
         before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
         held = placed(_sized(rows)).join(draws, ["no", "block"], "left").withColumn("_before", before)
         taken = lambda d: F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), d["words"] - F.col("_before")))
@@ -156,3 +161,41 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = SEED
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 4), "_row.doc_id", "copy"))
     own = {"text": F.col("_text"), "n_chars": F.when(F.col("words") < F.col("size"), F.length("_text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
     return rows.select(*[(own[c] if c in own else F.col(f"_row.`{c}`")).alias(c) for c in columns])
+
+
+#: DuckDB SQL for ``op3_mixing``. Which shard gets a draw does not change what a document gives.
+ORACLE_SQL = f"""
+with sizes as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
+s as (
+    select source, sum(size) as source_size, count(*) as n, row_number() over (order by source nulls last) - 1 as no from sizes group by source
+),
+w as (select *, case no % 3 when 0 then {WEIGHTS[0]} when 1 then {WEIGHTS[1]} else {WEIGHTS[2]} end::double as weight, source_size * {MOST}::double as lim from s),
+v as (
+    select *, (sum(source_size) over () * {SHARE}::double - (sum(lim) over a - lim)) / (sum(weight) over () - sum(weight) over a + weight) as level
+    from w window a as (order by lim / weight, no)
+),
+t as (
+    select source, no, source_size::bigint as source_size, least({MAX_BLOCKS}, ceil(n / {BLOCK_DOCS}))::bigint as blocks,
+        least(lim, greatest(0, round(weight * max(level) over (), 6))) as target
+    from v
+),
+d as (
+    select z.*, t.no, t.source_size, t.target, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint % t.blocks as block
+    from sizes z join t on z.source is not distinct from t.source
+),
+b as (
+    select no, block, sum(size) as words, any_value(source_size) as source_size, any_value(target) as target,
+        ('0x' || substr(md5('{SEED + 1}|' || no || '|' || block), 1, 15))::bigint as place
+    from d group by no, block
+),
+r as (
+    select *, case when source_size > 0 then floor(target / source_size) else 0 end as passes, sum(words) over (partition by no order by place, block) - words as before from b
+),
+q as (select no, block, passes, least(words, greatest(0, round(target - passes * source_size) - before)) as rest from r),
+e as (
+    select d.*, q.passes, q.rest,
+        sum(size) over (partition by d.no, d.block order by ('0x' || substr(md5('{SEED + 3}|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint, doc_id, size rows unbounded preceding) - size as before
+    from d join q on d.no = q.no and d.block = q.block
+)
+select doc_id, size, source_size, target, (passes * size + least(size, greatest(0, rest - before)))::bigint as taken from e
+"""

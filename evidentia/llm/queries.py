@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, substring_dedup
+from . import embedding_dedup, exact_dedup, lm_scoring, mixing, substring_dedup
 from .common import table
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_groups
@@ -82,5 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op3_mixing": mixing.ORACLE_SQL,
+        "op5_lm_scoring": lm_scoring.ORACLE_SQL,
+        "op9_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
     }
