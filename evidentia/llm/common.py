@@ -72,11 +72,29 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A task of ``mapInArrow`` that gives freed memory back when it ends."""
+_remembered: dict = {}
+
+
+def remembered(key, make: Callable):
+    """One thing that a worker keeps from task to task."""
+    if key not in _remembered:
+        forget()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    _remembered.clear()
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False):
+    """A task of ``mapInArrow`` that gives freed memory back when it ends; what a task of another kind has left in the
+    worker goes first, unless ``keep``."""
 
     @wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            forget()
         yield from task(batches)
         give_back()
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import lean, only
-from .tokens import PreTokens
+from .tokens import pre_tokens
 
 CAPACITY = 4096
 END_ID = 2
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, ids], out, strict=False)], schema=out)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PreTokens(tokenizer, "word").ids
+        encode = pre_tokens(tokenizer, "word").ids
         packer = Packer(capacity, pool, TaskContext.get().partitionId() << 33)
         for batch in batches:
             pieces = []
@@ -150,4 +150,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if pieces := list(packer.finish()):
             yield rows(pieces)
 
-    return only(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(task), SCHEMA + ", ids binary" * with_ids)
+    return only(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(task, keep=True), SCHEMA + ", ids binary" * with_ids)

@@ -12,10 +12,12 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+from .common import remembered
+
 #: The characters whose category, case and normal form the fast path relies on.
 SAFE_TEXT = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f]*")
 #: Pre-tokens that one worker remembers before it starts over.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 320_000
 #: Characters cut at a time, so that a very long text never becomes one list.
 STEP = 1 << 20
 _BOUNDARY = re.compile(r"\S(?= \S)")
@@ -51,15 +53,19 @@ def steps(text: str, size: int = STEP) -> Iterator[str]:
 
 
 class _Known(dict):
-    """pre-token -> value, asking ``miss`` for new ones; never more than ``most`` own entries."""
+    """pre-token -> value, asking ``miss`` for new ones. Half full, it starts over but still looks at what it had then, so
+    what is used again stays; never more than ``most`` own entries in both."""
 
     def __init__(self, base: dict, miss, most: int):
         super().__init__(base)
-        self.base, self.miss, self.most = base, miss, most + len(base)
+        self.base, self.old, self.miss, self.half = base, {}, miss, max(1, most // 2) + len(base)
 
     def __missing__(self, key):
-        value = self.miss(key)
-        if len(self) >= self.most:
+        value = self.old.get(key)
+        if value is None:
+            value = self.miss(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
             self.update(self.base)
         self[key] = value
@@ -101,3 +107,8 @@ class PreTokens:
             return len(self.library.encode(text, add_special_tokens=False).ids)
         known = self._lengths.__getitem__
         return sum(sum(map(known, words)) for words in self.cut(text))
+
+
+def pre_tokens(path: str, kind: str) -> PreTokens:
+    """The worker's own, kept from task to task until a task of another operator runs there."""
+    return remembered((path, kind), lambda: PreTokens(path, kind))
