@@ -40,6 +40,14 @@ def patterns() -> dict[str, tuple[re.Pattern, bool]]:
     }
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level models write each byte as one letter: printable ones as themselves, the rest as letters from 256 on.
+    Keys are code points of Latin-1, which stand for bytes."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def steps(text: str, size: int = STEP) -> Iterator[str]:
     """Parts of a text, cut before single spaces between words, where no pre-token crosses."""
     at = 0
@@ -80,8 +88,13 @@ class PreTokens:
 
         self.library = Tokenizer.from_file(path)
         self.pattern, self.lower = patterns()[kind]
-        self._ids = _Known({}, self._encode, cache)
-        self._lengths = _Known(lengths or {}, lambda word: len(self.library.encode(word, add_special_tokens=False).ids), cache)
+        self._model, self._letters = self.library.model, byte_letters()
+        self._ids = _Known({}, lambda word: struct.pack(f"<{len(found := self._word(word))}I", *[t.id for t in found]), cache)
+        self._lengths = _Known(lengths or {}, lambda word: len(self._word(word)), cache)
+
+    def _word(self, word: str) -> list:
+        """The library's model on one pre-token, which needs no normalising or cutting any more."""
+        return self._model.tokenize(word.encode().decode("latin-1").translate(self._letters))
 
     def _encode(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
