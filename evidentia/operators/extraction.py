@@ -32,6 +32,12 @@ FUZZY_KEYWORDS = {
 }
 FUZZY_VALUES = {"transaction_id": r"(?i)([A-Z0-9\-/]{3,})", "amount": r"([\d,]+\.?\d*)", "date": r"(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4})"}
 FUZZY_THRESHOLD = 70
+# One pattern for each field, for receipts with plain labels.
+PLAIN_PATTERNS = {
+    "transaction_id": r"(?:Transaction\s*ID|Trans\s*ID|Invoice\s*No\.?|Invoice|Bill\s*No\.?|Bill|Receipt\s*No\.?|Receipt|Doc\s*No\.?|Doc)\s*[:#\s]*\n?\s*([\w\-/]+)",
+    "amount": r"(?:Amount|Total|Grand\s*Total|Amount\s*Paid|Net\s*Total)\s*[:\s]*\$?\n?\s*([\d,.]+)",
+    "date": r"(?:Date|Invoice\s*Date|Bill\s*Date|Issued\s*On)\s*[:\s]*\n?\s*([\d/.-]+)",
+}
 
 
 def _pair(value: Column, context: Column) -> Column:
@@ -151,3 +157,16 @@ def parse_segments(df: DataFrame, key: str = "case_id", rows: str = "segments")
     for field in FUZZY_KEYWORDS:
         base = base.join(fuzzy_field(df, key, rows, field), key, "left")
     return base.select(key, F.coalesce("_by_rule", "transaction_id").alias("transaction_id"), "amount", "date")
+
+
+def parse_plain(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds transaction_id, amount and date by one pattern each, as they stand; null where a label is missing."""
+    return df.withColumns({field: found(F.col(text), f"(?im){pattern}") for field, pattern in PLAIN_PATTERNS.items()})
+
+
+def first_token(df: DataFrame, key: str, rows: str, keywords: list[str], threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(key, value): the first token of the first line that is like one of the keywords. That is mostly the label itself;
+    ``fuzzy_field`` looks behind it."""
+    each = df.select(key, F.posexplode(rows).alias("line_no", "line")).select(key, "line_no", "line", F.explode(F.array(*map(F.lit, keywords))).alias("word"))
+    alike = each.where(partial_ratio(F.lower("line"), F.lower("word"), threshold) >= threshold).withColumn("value", found(F.col("line"), r"([A-Za-z0-9\-./]+)"))
+    return alike.where("value is not null").groupBy(key).agg(F.min_by("value", "line_no").alias("value"))

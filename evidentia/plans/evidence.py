@@ -92,6 +92,10 @@ def receipt_fields_regex(spark: SparkSession, d: str) -> DataFrame:
     return extraction.parse_receipts(derived.receipts(spark, d)).select("case_id", "transaction_id", "amount", "date", "verification_status")
 
 
+def receipt_fields_plain(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.parse_plain(derived.receipts(spark, d)).select("case_id", "transaction_id", "amount", "date")
+
+
 def txn_id_strategies(spark: SparkSession, d: str) -> DataFrame:
     return extraction.with_transaction_id(derived.receipts(spark, d)).drop("text")
 
@@ -216,9 +220,11 @@ def fuzzy_keyword_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_ocr_variant(spark: SparkSession, d: str) -> DataFrame:
-    docs = derived.table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "text", (F.col("doc_id") % 4 == 0).alias("blurry"))
-    cut = docs.select("case_id", "blurry", "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("variant_no"))
-    return evaluate.best_variant(cut.withColumn("text", F.substr("text", F.lit(1), ((F.col("case_id") * 37 + F.col("variant_no") * 53) % 180).cast("int")))).withColumn("text", F.md5("text"))
+    """Five readings of each whole text: without blanks, as it is, sometimes with a mark more, in lower case, on one line."""
+    t = F.col("text")
+    readings = F.array(F.replace(t, F.lit(" "), F.lit("")), t, F.when(F.col("doc_id") % 3 == 0, F.concat(t, F.lit("!"))).otherwise(t), F.lower(t), F.replace(t, F.lit("\n"), F.lit("")))
+    read = derived.table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), (F.col("doc_id") % 4 == 0).alias("blurry"), F.posexplode(readings).alias("variant_no", "text"))
+    return evaluate.best_variant(read).withColumn("text", F.md5("text"))
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -273,6 +279,7 @@ CAPTIONS = f"""with n as (
 select p_partkey, {_keyword_sql("t", text.CAPTION_CATEGORIES)} as category, {_keyword_sql("t", {c: [c] for c in text.CAPTION_COLORS})} as color, {_keyword_sql("t", text.CAPTION_SLEEVES)} as sleeve_type from n"""
 QUERIES = {
     "receipt_fields_regex": (receipt_fields_regex, f"with {FIELDS} select case_id, transaction_id, amount, date, verification_status from f"),
+    "receipt_fields_plain": (receipt_fields_plain, f"with {CASES} select case_id, case k when 0 then 'TD' || key when 1 then 'INV-' || key when 2 then 'ument' end as transaction_id, case when k <= 6 or k = 9 then amount end as amount, case when k in (0, 1, 3) then day end as date from c"),
     "txn_id_strategies": (txn_id_strategies, STRATEGIES),
     "txn_id_validator": (txn_id_validator, VALIDATOR),
     "date_pattern_filter": (date_pattern_filter, "select o_orderkey as case_id, o_orderkey % 8 <= 4 as is_date from orders"),
@@ -288,7 +295,8 @@ QUERIES = {
     "payment_verdict": (payment_verdict, f"with {VERDICTS} select case_id, status, confidence, reject_reason, mail_found, case status when 'APPROVED' then 'success' when 'MANUAL REVIEW' then 'partial' else 'failed' end as shown_as from z"),
     "verdict_distribution": (verdict_distribution, f"with {VERDICTS} select status, reject_reason, count(*) as n, round(avg(confidence), 4) as mean_confidence from z group by 1, 2"),
     "fuzzy_keyword_fields": (fuzzy_keyword_fields, None),
-    "best_ocr_variant": (best_ocr_variant, """with v as (select doc_id as case_id, doc_id % 4 = 0 as blurry, v as variant_no, substr(text, 1, ((doc_id * 37 + v * 53) % 180)::int) as text from documents, range(5) r(v)),
+    "best_ocr_variant": (best_ocr_variant, """with a as (select doc_id as case_id, doc_id % 4 = 0 as blurry, [replace(text, ' ', ''), text, case when doc_id % 3 = 0 then text || '!' else text end, lower(text), replace(text, chr(10), '')] as v from documents),
+        v as (select case_id, blurry, unnest(v) as text, unnest(range(5)) as variant_no from a),
         r as (select *, row_number() over (partition by case_id order by length(text) desc, variant_no) as n from v) select case_id, variant_no::int as variant_no, md5(text) as text, length(text) < 100 and blurry as rejected from r where n = 1"""),
     "llm_response_parse": (llm_response_parse, f"with {CASES} select case_id, case when case_id % 5 < 4 then 'T' || key end as transaction_id, case when case_id % 5 < 4 then amount end as amount, null::varchar as date, case when case_id % 5 < 4 then 0.9::double end as amount_confidence, case_id % 5 < 4 as parsed from c"),
     "text_sanitize": (text_sanitize, r"with t as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '[^\w\s.,:\-/()$@#%]', ' ', 'g'), '\s+', ' ', 'g')) as t from documents) select doc_id, md5(t) as digest, length(t)::int as n from t"),

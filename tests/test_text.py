@@ -48,6 +48,17 @@ def test_context_of_short_words_is_what_stands_around(spark):
         assert _one(spark, value, extraction.id_by_patterns) == want
 
 
+def test_first_token_of_a_line_like_a_keyword(spark):
+    rows = spark.createDataFrame([(1, ["shop", "Totai 5.00", "Total 6"]), (2, ["--"]), (3, [])], "case_id long, segments array<string>")
+    assert [tuple(r) for r in extraction.first_token(rows, "case_id", "segments", ["total", "amount"]).collect()] == [(1, "Totai")]
+
+
+def test_fuzzy_fields(spark):
+    rows = spark.createDataFrame([(1, [" Tota1 due", "12.50", "Dat3", "03/04/2024"]), (2, ["Ticket no: AB12", "Balance - 7,000"]), (3, ["nothing", "to see"]), (4, ["Ref", "RECEIPT", "Reference", "X9-1"])], "case_id long, segments array<string>")
+    got = {r.case_id: tuple(r)[1:] for r in extraction.parse_segments(rows).collect()}
+    assert got[1][1:] == ("12.50", "03/04/2024") and got[2] == ("AB12", "7,000", None) and got[3] == (None, None, None) and got[4][0] == "X9-1"
+
+
 @pytest.mark.parametrize("value,want", [("TD0O1lZvx-9yY", "fd00112y00900"), ("o" * 30, "0" * 24), ("", ""), (None, None)])
 def test_identifier_repair(spark, value, want):
     assert _one(spark, value, text.repaired_id) == want
