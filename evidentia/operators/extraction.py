@@ -139,8 +139,10 @@ def fuzzy_field(df: DataFrame, key: str, rows: str, field: str, threshold: float
     clean = df.select(key, F.filter(F.transform(rows, lambda x: F.trim(x)), lambda x: x != "").alias("_lines"))
     each = clean.select(key, "_lines", F.posexplode("_lines").alias("line_no", "line")).select(key, "line_no", "line", F.get("_lines", F.col("line_no") + 1).alias("following"), F.posexplode(words).alias("word_no", "word"))
     exact = each.withColumn("low", F.lower("line")).withColumn("stands", F.col("low").contains(F.col("word")))
-    # the similarity is asked for only where the keyword doesn't stand in the line
-    likely = exact.withColumn("alike", partial_ratio(F.when(~F.col("stands"), F.col("low")), F.col("word"), threshold)).where((F.col("stands")) | (F.col("alike") >= threshold))
+    # the similarity is asked for only where the keyword doesn't stand in the line; keywords have letters and blanks only,
+    # so all other characters of a line can be one and the same, and lines that differ in numbers are one comparison
+    shape = F.regexp_replace("low", "[^a-z ]", "0")
+    likely = exact.withColumn("alike", partial_ratio(F.when(~F.col("stands"), shape), F.col("word"), threshold)).where((F.col("stands")) | (F.col("alike") >= threshold))
     after = F.regexp_replace(F.trim(F.substr(F.col("line"), F.call_function("locate", F.col("word"), F.col("low")) + F.length("word"))), r"^[:#\s\-]+", "")
     pattern = FUZZY_VALUES[field]
     begins = pattern.replace("(?i)(", "(?i)^(", 1) if pattern.startswith("(?i)") else "^" + pattern
