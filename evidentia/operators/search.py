@@ -164,16 +164,46 @@ def with_cells(items: DataFrame, most: int = 100, seed: int = 3, fit_rows: int =
 
 
 def probed(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, probes: int = 10) -> DataFrame:
-    """The ``k`` best items in the ``probes`` cells whose centres are nearest to the query."""
+    """The ``k`` best items, as ``nearest`` over all of them finds: first those in the ``probes`` cells whose centres are
+    nearest to the query, then those in every further cell that can still hold an item as good as the last of these.
+
+    An item's product with the query is at most that of its cell's centre and the query's norm times the cell's radius.
+    """
+    id_type = dict(queries.dtypes)["query_id"]
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            far = np.linalg.norm(np.stack(batch["clip"]).astype(float) - centres[batch["cell"].to_numpy()], axis=1)
+            yield pd.DataFrame({"cell": batch["cell"], "radius": far}).groupby("cell", as_index=False).max()
+
+    def order(v: np.ndarray) -> np.ndarray:
+        return np.argsort(((v[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
+
+    def asking(batch: pd.DataFrame, rows: np.ndarray, cells: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": batch["query_id"].to_numpy()[rows], "grp": cells.astype(np.int32), "clip": batch["clip"].to_numpy()[rows]})
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            v = np.stack(batch["clip"]).astype(float)
-            order = np.argsort(((v[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), order.shape[1]), "grp": order.ravel().astype(np.int32), "clip": np.repeat(batch["clip"].to_numpy(), order.shape[1])})
+            near = order(np.stack(batch["clip"]).astype(float))[:, :probes]
+            yield asking(batch, np.repeat(np.arange(len(batch)), near.shape[1]), near.ravel())
 
-    asked = queries.select("query_id", "clip").dropna().mapInPandas(cells, f"query_id {dict(queries.dtypes)['query_id']}, grp int, clip array<float>")
-    return nearest(asked, placed.withColumn("grp", F.col("cell")), k, {"clip": 1.0})
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v = np.stack(batch["clip"]).astype(float)
+            most = v @ centres.T + np.linalg.norm(v, axis=1)[:, None] * radii
+            open_ = most + 10.0**-DIGITS >= batch["least"].fillna(-np.inf).to_numpy(float)[:, None]
+            np.put_along_axis(open_, order(v)[:, :probes], False, axis=1)
+            yield asking(batch, *np.nonzero(open_))
+
+    radii = np.full(len(centres), -np.inf)
+    for r in placed.select("cell", "clip").mapInPandas(reach, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        radii[r.cell] = r.radius
+    schema, asked, items = f"query_id {id_type}, grp int, clip array<float>", queries.select("query_id", "clip").dropna(), placed.withColumn("grp", F.col("cell"))
+    first = nearest(asked.mapInPandas(cells, schema), items, k, {"clip": 1.0})
+    last = first.where(F.col("rank_no") == k).select("query_id", F.col("score").alias("least"))
+    more = nearest(asked.join(last, "query_id", "left").mapInPandas(further, schema), items, k, {"clip": 1.0})
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "filename"))
+    return first.unionByName(more).withColumn("rank_no", rank).where(F.col("rank_no") <= k)
 
 
 def good_matches(descriptors: DataFrame, against: DataFrame, share: float = 0.7, chunk: int = CHUNK) -> DataFrame:

@@ -84,6 +84,16 @@ def test_zero_shot_fusion_cells_and_ratio(spark, items):
             assert got[query, image] == sum(a < 0.7 * b for a, b in near)
 
 
+@pytest.mark.parametrize("most", [4, 40])
+def test_cells_as_registered_lose_nothing(spark, most):
+    clip = _vectors(2000, 32)
+    table = spark.createDataFrame([(f"f{i:04d}", v.tolist()) for i, v in enumerate(clip)], "filename string, clip array<float>").cache()
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clip[:60])], "query_id long, clip array<float>")
+    got = search.probed(q, *search.with_cells(table, most), 5).select("query_id", "rank_no", "filename", "score")
+    want = search.nearest(*(x.withColumn("grp", F.lit("*")) for x in (q, table)), 5, {"clip": 1.0}).select("query_id", "rank_no", "filename", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_metrics_and_variants(spark):
     runs = spark.createDataFrame([(1, "a", "a", 10.0), (4, "a", "b", 20.0), (None, "b", None, 30.0), (11, None, "b", 40.0)], "rank_no int, true_label string, pred_label string, latency_ms double")
     assert tuple(evaluate.hit_rates(runs).first()) == (4, 0.25, 0.5, 0.5, 0.5, 25.0)
