@@ -1,9 +1,9 @@
 """Visible text of web pages, laid out.
 
 A scanner reads tags, comments and text; a tree builder closes what the next tag implies (a paragraph before a block, an
-item before an item, cells, rows, options) and opens nothing twice; rendering walks the tree: hidden elements go,
-blocks stand on lines of their own, paragraphs and headings have an empty line around them, list items a bullet or
-number by depth, and the cells of a table are padded so that columns align.
+item before an item, cells, rows, options), opens the row that a cell lacks and opens nothing twice; rendering walks
+the tree: hidden elements go, blocks stand on lines of their own, paragraphs and headings have an empty line around
+them, list items a bullet or number by depth, and the cells of a table are padded so that columns align.
 """
 
 from __future__ import annotations
@@ -44,6 +44,15 @@ IMPLIED = {
     "optgroup": (_names("option optgroup"), _names("select")),
     "body": (_names("head"), _names("html")),
 }
+#: Parts of a table: what stands between them, outside captions and cells, is seen before the table.
+PARTS = _names("table thead tbody tfoot colgroup tr")
+CELLS = _names("td th")
+#: An opening tag in a table stands in the innermost of these; a table that has no cell open ends before another one.
+IN_TABLE = {
+    **dict.fromkeys(_names("table caption colgroup thead tbody tfoot"), _names("table")),
+    "tr": _names("table thead tbody tfoot"),
+    **dict.fromkeys(CELLS, _names("table thead tbody tfoot tr")),
+}
 #: A closing tag looks no further out than these.
 CLOSE_FENCE = {**dict.fromkeys(_names("td th tr tbody thead tfoot caption"), _names("table")), "li": _names("ul ol menu"), "table": _names("")}
 MAX_DEPTH = 400
@@ -89,6 +98,20 @@ def build(html: str) -> Node:
             del stack[hit:]
         return bool(hit)
 
+    def into_table(name: str) -> None:
+        last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in IN_TABLE[name] or stack[i].name in ("td", "th", "caption", "template")), 0)
+        if not last or stack[last].name not in PARTS:
+            return
+        if name == "table":
+            del stack[last:]
+            return
+        del stack[last + 1 :]
+        if name in CELLS and stack[last].name != "tr":
+            row = Node("tr", None, stack[last].depth + 1)
+            stack[last].children.append(row)
+            if row.depth < MAX_DEPTH:
+                stack.append(row)
+
     while found := _TOKEN.search(html, at):
         text(html[at : found.start()])
         at = found.end()
@@ -104,6 +127,8 @@ def build(html: str) -> Node:
             continue
         if name in IMPLIED:
             close(*IMPLIED[name])
+        if name in IN_TABLE:
+            into_table(name)
         node = Node(name, _attributes(found[3]), stack[-1].depth + 1)
         stack[-1].children.append(node)
         if name in RAW:
@@ -177,21 +202,29 @@ def _plain(node: Node) -> str:
 
 
 def _table(node: Node) -> list[str]:
-    captions, rows, parts = [], [], [node]
+    captions, cells, loose, parts = [], [], Node("#loose"), [(c, None) for c in reversed(node.children)]
     while parts:
-        part = parts.pop()
-        for c in reversed(part.children) if part is not node and part.name != "tr" else []:
-            parts.append(c) if isinstance(c, Node) and not hidden(c) else None
-        if part is node:
-            parts += [c for c in reversed(node.children) if isinstance(c, Node) and not hidden(c)]
+        part, row = parts.pop()
+        if isinstance(part, str):
+            loose.children.append(part)
+        elif hidden(part):
+            continue
         elif part.name == "caption":
-            captions += render(part)
-        elif part.name == "tr":
-            rows.append([(render(c), max(1, min(1000, int(s))) if (s := c.attributes.get("colspan", "1")).isdecimal() else 1) for c in part.children if isinstance(c, Node) and c.name in ("td", "th") and not hidden(c)])
-    loose = _Lines()  # what stands in a table outside its cells is seen before it
-    for c in node.children:
-        if isinstance(c, str):
-            loose.text(c)
+            captions.append(part)
+        elif part.name in CELLS:
+            if row is None:
+                cells.append(row := [])
+            row.append(part)
+        elif part.name in PARTS and part.name != "table":
+            if part.name == "tr":
+                cells.append(row := [])
+            parts += [(c, row) for c in reversed(part.children)]
+        elif part.name != "col":
+            loose.children.append(part)
+    rows = [[(render(c), max(1, min(1000, int(s))) if (s := c.attributes.get("colspan", "1")).isdecimal() else 1) for c in row] for row in cells]
+    before = render(loose)  # what stands in a table outside its cells is seen before it
+    for c in captions:
+        before += render(c)
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -210,7 +243,7 @@ def _table(node: Node) -> list[str]:
                 line += cell + " " * (max(0, room - width(cell)) + 2)
                 at += span
             out.append(line.rstrip())
-    return [*loose.done(), *captions, *out]
+    return [*before, *out]
 
 
 def _walk(node: Node, out: _Lines, order: list) -> None:

@@ -36,6 +36,27 @@ def test_layout():
     assert html_text(None) is None
 
 
+TABLES = [
+    ("<table><td>a<td>b</table>", "a  b"),
+    ("<table><tbody><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><tr><td>a</tr><td>b</td></table>", "a\nb"),
+    ("<table><tr><td>a</td>x<td>b</td></tr>y<tbody>z<p>w</p></tbody></table>", "xyz\n\nw\na  b"),
+    ("<table><tr><form><td>a</form><td>b<div>c</table>d", "a  b\n   c\n\nd"),
+    ("<table><div>o</div><caption>C</caption><b>p</b><tr><td>a</table>", "o\np\nC\na"),
+    ("<table><div hidden>n<td>a</div></table>", "a"),
+    ("<table><tr>x<table><td>in</table>", "x\n\nin"),
+    ("<table><td>a<table><td>in<td>b</table><td>c</table>", "a      c\n\nin  b"),
+    ("<table><colgroup><col>x<tr><td>a</table>", "x\na"),
+    ("<td>a<td>b", "a\nb"),
+]
+
+
+def test_no_cell_or_text_of_a_table_is_lost():
+    for html, want in TABLES:
+        assert html_text(html) == want, html
+    assert html_text("<table><td>" * 20_000 + "x").strip() == "x"
+
+
 def test_very_deep_and_very_long_pages():
     assert html_text("<div>" * 20_000 + "x") == "x"
     assert html_text("<ul><li>" * 300 + "x").replace("-", "").split() == ["x"]
