@@ -27,9 +27,17 @@ def _names(text: str) -> frozenset[str]:
 #: Element names by how HTML treats them.
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 RAW = _names("script style textarea title xmp iframe noembed noframes plaintext")
-UNSEEN = _names("head script style template noscript title iframe noembed noframes object audio video canvas svg math map datalist select textarea area base link meta param source track dialog")
+UNSEEN = _names("head script style template noscript title iframe noembed noframes object audio video canvas datalist select textarea area base link meta param source track annotation annotation-xml defs symbol clippath mask marker pattern desc metadata")
+#: The parts of a drawing whose text is seen; of an input of these kinds its value (else its placeholder) is.
+DRAWN = _names("text foreignobject")
+LABELLED = _names("button submit reset")
+UNTYPED = _names("hidden password checkbox radio range color file image") | LABELLED
+#: Within svg and math a tag may close itself; these elements end both, but not inside the points where HTML goes on.
+FOREIGN = _names("svg math")
+LEAVES = _names("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var")
+WITHIN = _names("foreignobject desc title mi mo mn ms mtext annotation-xml")
 SPACED = _names("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure fieldset hr")
-BLOCKS = SPACED | _names("html body address article aside center dd details div dt figcaption footer form header hgroup legend li main nav search section summary tr caption option optgroup thead tbody tfoot td th")
+BLOCKS = SPACED | _names("html body address article aside center dd details div dt figcaption footer form header hgroup legend li main nav search section summary tr caption option optgroup dialog mtable mtr thead tbody tfoot td th")
 #: An opening tag closes these open elements, searching outwards up to the fence.
 IMPLIED = {
     **dict.fromkeys(_names("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul"), (_names("p"), _names("td th caption button object table body"))),
@@ -58,6 +66,7 @@ CLOSE_FENCE = {**dict.fromkeys(_names("td th tr tbody thead tfoot caption"), _na
 MAX_DEPTH = 400
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_CLOSED = re.compile(r"(?<![^\s\"'])/\Z|\A(?!.*=\s*[^\s\"'=<>`]+\Z).*/\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -81,7 +90,7 @@ def build(html: str) -> Node:
     """The tree. Unclosed elements end with the page; unmatched closing tags do nothing, but </p> and </br> stand for an
     empty paragraph and a break. Beyond ``MAX_DEPTH`` elements are siblings of the deepest one."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, any_foreign = [root], 0, False
 
     def text(data: str) -> None:
         if data:
@@ -98,6 +107,11 @@ def build(html: str) -> Node:
             del stack[hit:]
         return bool(hit)
 
+    def foreign() -> int:
+        """Where the svg or math begins that the next tag stands in; 0 in HTML."""
+        last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in FOREIGN or stack[i].name in WITHIN), 0)
+        return last if stack[last].name in FOREIGN else 0
+
     def into_table(name: str) -> None:
         last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in IN_TABLE[name] or stack[i].name in ("td", "th", "caption", "template")), 0)
         if not last or stack[last].name not in PARTS:
@@ -125,12 +139,17 @@ def build(html: str) -> Node:
             elif name in ("p", "br"):
                 stack[-1].children.append(Node(name, None, stack[-1].depth + 1))
             continue
+        if any_foreign and name in LEAVES and (last := foreign()):
+            del stack[last:]
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in IN_TABLE:
             into_table(name)
         node = Node(name, _attributes(found[3]), stack[-1].depth + 1)
         stack[-1].children.append(node)
+        any_foreign |= name in FOREIGN
+        if any_foreign and _CLOSED.search(found[3]) and (name in FOREIGN or foreign()):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at) if name != "plaintext" else None
             node.children.append(html[at : end.start()] if end else html[at:])
@@ -144,7 +163,7 @@ def build(html: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    return node.name in UNSEEN or "hidden" in a or bool("style" in a and _HIDING.search(a["style"])) or (node.name == "input" and a.get("type", "").lower() == "hidden")
+    return node.name in UNSEEN or "hidden" in a or bool("style" in a and _HIDING.search(a["style"])) or (node.name == "input" and a.get("type", "").lower() == "hidden") or (node.name == "dialog" and "open" not in a)
 
 
 def width(text: str) -> int:
@@ -246,6 +265,25 @@ def _table(node: Node) -> list[str]:
     return [*before, *out]
 
 
+def _label(node: Node) -> str:
+    """What an input shows: a button's value, the alternative of an image, the value or else the placeholder of a field."""
+    a = node.attributes
+    kind = a.get("type", "").lower()
+    return a.get("alt", "") if kind == "image" else a.get("value", "") if kind in LABELLED else "" if kind in UNTYPED else a.get("value") or a.get("placeholder", "")
+
+
+def _drawn(node: Node, out: _Lines) -> None:
+    """The texts of a drawing, each on a line of its own."""
+    for c in node.children:
+        if isinstance(c, Node) and not hidden(c):
+            if c.name in DRAWN:
+                out.gap(0)
+                _walk(c, out, [])
+                out.gap(0)
+            else:
+                _drawn(c, out)
+
+
 def _walk(node: Node, out: _Lines, order: list) -> None:
     for c in node.children:
         if isinstance(c, str):
@@ -258,6 +296,20 @@ def _walk(node: Node, out: _Lines, order: list) -> None:
             out.gap(1)
         elif c.name == "img":
             out.text(c.attributes.get("alt", ""))
+        elif c.name == "input":
+            out.text(_label(c))
+        elif c.name == "svg":
+            _drawn(c, out)
+        elif c.name in ("mtd", "mfrac"):  # cells and the parts of a fraction stand apart
+            for part in c.children if c.name == "mfrac" else [c]:
+                if isinstance(part, str):
+                    out.text(part)
+                elif not hidden(part):
+                    inner = Node("#part", None, part.depth)
+                    inner.children = part.children if part is c else [part]
+                    out.text(" ")
+                    _walk(inner, out, [])
+            out.text(" ")
         elif c.name == "pre":
             out.gap(1)
             out.raw([line.rstrip() for line in _plain(c).removeprefix("\n").replace("\r", "").split("\n")])

@@ -57,6 +57,24 @@ def test_no_cell_or_text_of_a_table_is_lost():
     assert html_text("<table><td>" * 20_000 + "x").strip() == "x"
 
 
+SEEN = [
+    ("a<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>\\frac</annotation></math>b", "ax= 1 2 b"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2\n3"),
+    ("<svg><title>t</title><defs><text>no</text></defs><path d='M0'/>no<g><text>one<tspan> two</tspan></text><text>three</text></g></svg>z", "one two\nthree\nz"),
+    ("<svg><defs/><rect x=1 /><text>y</text><foreignObject><p>f</p></foreignObject></svg>", "y\n\nf"),
+    ("<svg><g><text>a<p>b", "a\n\nb"),
+    ("<dialog open>yes</dialog><dialog>no</dialog>", "yes"),
+    ("<map><p>m</p><area></map>", "m"),
+    ("<input type=submit value=Go> <input value=v> <input placeholder=p> <input type=password value=no> <input type=image alt=i>", "Go v p i"),
+]
+
+
+def test_formulas_drawings_dialogs_and_inputs_are_seen():
+    for html, want in SEEN:
+        assert html_text(html) == want, html
+    assert html_text("<svg><g>" * 20_000 + "<text>x") is not None
+
+
 def test_very_deep_and_very_long_pages():
     assert html_text("<div>" * 20_000 + "x") == "x"
     assert html_text("<ul><li>" * 300 + "x").replace("-", "").split() == ["x"]
