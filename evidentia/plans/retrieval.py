@@ -307,8 +307,8 @@ def image_quality_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_preprocess(spark: SparkSession, d: str) -> DataFrame:
-    names = list(imaging.TRANSFORMS)[:7]
-    each = _images(spark, d).withColumn("method", F.get(F.array(*map(F.lit, names)), (F.col("vec_id") % len(names)).cast("int")))
+    """A row for each image and transform."""
+    each = _images(spark, d).withColumn("method", F.explode(F.array(*map(F.lit, imaging.TRANSFORMS))))
     return imaging.transformed(each, "vec_id").select("vec_id", "method", "height", "width", F.md5("data").alias("digest"))
 
 
