@@ -59,9 +59,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each unit that goes: its document, its offsets there, and the document that keeps the earliest one."""
-    found = repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", F.inline("removed"))
-    return found.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "first_doc_id")
+    """A row for each document: how much of it stands elsewhere and earlier, and where, as "start-end:first document"."""
+    spans = F.transform("removed", lambda x: F.concat(x["start"], F.lit("-"), x["end"], F.lit(":"), F.coalesce(x["first_doc_id"].cast("string"), F.lit("null"))))
+    return repeated_spans(table(spark, sf_dir, "documents"), kind="sentence").withColumn("removed", F.array_join(spans, " "))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
