@@ -23,7 +23,7 @@ from .common import lean, only, written
 
 #: Shorter units are never removed: short lines repeat by chance.
 MIN_WORDS = 10
-#: A removed run of so many words is counted as a passage.
+#: A removed run of so many words, not all of them from the document itself, is counted as a passage.
 PASSAGE_WORDS = 30
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*"), "sentence": re.compile(r"\n|(?<=[.!?])[ \t]|[。！？]")}
 
@@ -99,7 +99,7 @@ def _again(rows: DataFrame, kind: str, min_words: int) -> tuple[DataFrame, DataF
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
     held = placed.where("start is not null")
     groups = held.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low", "first")
-    again = held.join(groups, ["high", "low"]).select("row", "start", "end", "from", "upto", (rank == F.col("first")).alias("mine"), F.col("first.doc_id").alias("first_doc_id"))
+    again = held.join(groups, ["high", "low"]).select("row", "start", "end", "from", "upto", (rank == F.col("first")).alias("mine"), F.col("first.doc_id").alias("first_doc_id"), (F.col("first.row") != F.col("row")).alias("other"))
     return placed.where("start is null").select("row", "doc_id", "n_units"), again
 
 
@@ -112,8 +112,8 @@ def _spans(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
     # sentences in a row are one span, lines and paragraphs one each
     begins = F.coalesce(F.col("from") > reach, F.lit(True)) if kind == "sentence" else F.lit(True)
     runs = again.where("not mine").withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
-    spans = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_doc_id", "start").alias("first_doc_id"), (F.max("upto") - F.min("from")).alias("words"))
-    per_row = spans.groupBy("row").agg(F.count(F.lit(1)).alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"), F.sum("words").alias("removed_words"), F.count_if(F.col("words") >= PASSAGE_WORDS).alias("n_passages"), F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("removed"))
+    spans = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.bool_or("other").alias("other"), (F.max("upto") - F.min("from")).alias("words"))
+    per_row = spans.groupBy("row").agg(F.count(F.lit(1)).alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"), F.sum("words").alias("removed_words"), F.count_if((F.col("words") >= PASSAGE_WORDS) & F.col("other")).alias("n_passages"), F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("removed"))
     full = every.join(shared, "row", "left").join(per_row, "row", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_shared", "n_removed", "removed_chars", "removed_words", "n_passages")]
     empty = F.array().cast("array<struct<start:bigint,end:bigint,first_doc_id:bigint>>")
@@ -122,7 +122,7 @@ def _spans(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_units, n_shared (units that stand elsewhere, too), n_removed, removed_chars,
-    removed_words, n_passages (removed spans of ``PASSAGE_WORDS`` or more) and ``removed``, an array of
+    removed_words, n_passages (removed spans of ``PASSAGE_WORDS`` or more that repeat another document) and ``removed``, an array of
     (start, end, first_doc_id) in the order of the text; of sentences in a row first_doc_id is that of the first one.
 
     Units rank by doc_id (null last), then by place in the text; the earliest of equal units stays. Rows that share a
@@ -177,13 +177,13 @@ g as (
 ),
 k as (select *, list_filter(range(1, len(ws) + 1), lambda x: list_sum(ws[1:x]) >= {MIN_WORDS})[1] as k from g),
 u as (select r, doc_id, start, es[k] as e, w0, w0 + list_sum(ws[1:k]) as w1, array_to_string(fs[1:k], ' ') as form from k where k is not null),
-m as (select *, row_number() over (partition by form order by doc_id nulls last, r, start) as k, count(*) over (partition by form) as n, first_value(doc_id) over (partition by form order by doc_id nulls last, r, start) as first_doc_id from u),
+m as (select *, row_number() over w as k, count(*) over (partition by form) as n, first_value(doc_id) over w as first_doc_id, first_value(r) over w as first_r from u window w as (partition by form order by doc_id nulls last, r, start)),
 c as (select r, count(*) as n_units, count(*) filter (n > 1) as n_shared from m group by r),
 o as (select *, case when w0 <= max(w1) over (partition by r order by start, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as begins from m where k > 1),
 q as (select *, sum(begins) over (partition by r order by start, e) as run from o),
-s as (select r, run, min(start) as s, max(e) as e, max(w1) - min(w0) as words, arg_min(first_doc_id, start) as first_doc_id from q group by r, run),
+s as (select r, run, min(start) as s, max(e) as e, max(w1) - min(w0) as words, bool_or(first_r <> r) as other, arg_min(first_doc_id, start) as first_doc_id from q group by r, run),
 d as (
-    select r, count(*) as n_removed, sum(e - s) as removed_chars, sum(words) as removed_words, count(*) filter (words >= {PASSAGE_WORDS}) as n_passages,
+    select r, count(*) as n_removed, sum(e - s) as removed_chars, sum(words) as removed_words, count(*) filter (words >= {PASSAGE_WORDS} and other) as n_passages,
         string_agg(s || '-' || e || ':' || coalesce(first_doc_id::varchar, 'null'), ' ' order by s) as removed
     from s group by r
 )

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 from evidentia.llm import exact_dedup, substring_dedup
@@ -98,3 +99,61 @@ def test_spans_are_those_of_brute_force(spark):
     assert got == want
     assert without("ab\ncd\nef", [(3, 5)]) == "ab\nef"
     assert repeated_spans(spark.createDataFrame([(1, f"{LONG}\nx\n\n{LONG}\nx")], "doc_id long, text string"), kind="paragraph").first().n_removed == 1
+
+
+def _sentences(rows, least=substring_dedup.MIN_WORDS):
+    """By brute force: for each row the words (as places) that a removed unit covers, and whether a run repeats others."""
+    words = re.compile("[a-z0-9_\x80-\U0010ffff]+")
+    parts = {}
+    for i, text in rows:
+        at, parts[i] = 0, []
+        for piece in re.split("\n|(?<=[.!?])[ \t]", text):
+            if found := words.findall(piece.lower()):
+                parts[i].append((at, at + len(piece), found))
+            at += len(piece) + 1
+    seen, out = {}, {}
+    for i, held in parts.items():
+        count, spans = 0, []
+        for k, (start, _, _) in enumerate(held):
+            unit, j = [], k
+            while j < len(held) and len(unit) < least:
+                unit += held[j][2]
+                j += 1
+            if len(unit) < least:
+                continue
+            first = seen.setdefault(tuple(unit), (i, start))
+            if first != (i, start):
+                before = sum(len(p[2]) for p in held[:k])
+                if spans and before <= spans[-1][3]:
+                    spans[-1][1:] = [held[j - 1][1], spans[-1][2], before + len(unit), spans[-1][4] | (first[0] != i)]
+                else:
+                    spans.append([start, held[j - 1][1], before, before + len(unit), first[0] != i])
+            count += 1
+        out[i] = count, [(s, e) for s, e, *_ in spans], sum(b - a >= substring_dedup.PASSAGE_WORDS and other for _, _, a, b, other in spans)
+    return out
+
+
+def test_sentence_units_find_passages_within_lines(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice(".!?")
+    passages = [" ".join(sentence(rng.randrange(2, 9)) for _ in range(12)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        pieces = [sentence(rng.randrange(1, 16)) for _ in range(rng.randrange(6))]
+        if i % 2:
+            pieces.insert(rng.randrange(len(pieces) + 1), rng.choice(passages).replace(" ", rng.choice([" ", "  "])))
+        rows.append((i, "".join(p + rng.choice([" ", "\n", "\n\n"]) for p in pieces)))
+    got = {r.doc_id: (r.n_units, [(x.start, x.end) for x in r.removed], r.n_passages) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), kind="sentence").collect()}
+    assert got == _sentences(rows)
+    holders = {p: [i for i, t in rows if p.replace(" ", "") in t.replace(" ", "")] for p in passages}
+    assert all(got[i][2] == 1 for found in holders.values() for i in found[1:]) and not any(got[i][2] for i in range(0, 60, 2))
+
+
+def test_rows_that_share_an_id_are_cut_each(spark):
+    rows = [(1, f"{LONG}\na"), (1, f"{LONG}\nb"), (None, f"c\n{LONG}"), (None, None), (2, "語" * 12 + "。" + "文" * 12), (3, "文" * 12 + "。他")]
+    docs = spark.createDataFrame([(*r, 7, "b", 1) for r in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in remove_repeats(docs).collect()), key=str)
+    assert len(got) == 6 and sum(LONG in (t or "") for _, t in got) == 1 and sorted(t for i, t in got if i is None and t) == ["c\n"]
+    assert [r.text for r in remove_repeats(docs, kind="sentence").where("doc_id = 3").collect()] == ["。他"]
+    assert remove_repeats(docs).columns == docs.columns
