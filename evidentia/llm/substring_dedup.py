@@ -98,7 +98,8 @@ def _again(rows: DataFrame, kind: str, min_words: int) -> tuple[DataFrame, DataF
     placed = written(rows.select("row", "doc_id", "text").mapInArrow(lean(task), ", ".join(f"`{f.name}` long" for f in out)), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
     held = placed.where("start is not null")
-    groups = held.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low", "first")
+    # a table, so that adaptive execution can split the join where a unit is very frequent
+    groups = written(held.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low", "first"), "repeated-units")
     again = held.join(groups, ["high", "low"]).select("row", "start", "end", "from", "upto", (rank == F.col("first")).alias("mine"), F.col("first.doc_id").alias("first_doc_id"), (F.col("first.row") != F.col("row")).alias("other"))
     return placed.where("start is null").select("row", "doc_id", "n_units"), again
 
@@ -106,15 +107,16 @@ def _again(rows: DataFrame, kind: str, min_words: int) -> tuple[DataFrame, DataF
 def _spans(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
     """row, doc_id, n_units, n_shared, n_removed, removed_chars, removed_words, n_passages, removed."""
     every, again = _again(rows, kind, min_words)
-    shared = again.groupBy("row").agg(F.count(F.lit(1)).alias("n_shared"))
     order = Window.partitionBy("row").orderBy("start", "end")
-    reach: Column = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    reach: Column = F.max(F.when(~F.col("mine"), F.col("upto"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     # sentences in a row are one span, lines and paragraphs one each
-    begins = F.coalesce(F.col("from") > reach, F.lit(True)) if kind == "sentence" else F.lit(True)
-    runs = again.where("not mine").withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
-    spans = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.bool_or("other").alias("other"), (F.max("upto") - F.min("from")).alias("words"))
-    per_row = spans.groupBy("row").agg(F.count(F.lit(1)).alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"), F.sum("words").alias("removed_words"), F.count_if((F.col("words") >= PASSAGE_WORDS) & F.col("other")).alias("n_passages"), F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("removed"))
-    full = every.join(shared, "row", "left").join(per_row, "row", "left")
+    begins = ~F.col("mine") & (F.coalesce(F.col("from") > reach, F.lit(True)) if kind == "sentence" else F.lit(True))
+    goes = lambda c: F.when(~F.col("mine"), F.col(c))
+    runs = again.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    spans = runs.groupBy("row", "run").agg(F.count(F.lit(1)).alias("n"), F.min(goes("start")).alias("start"), F.max(goes("end")).alias("end"), F.min_by("first_doc_id", goes("start")).alias("first_doc_id"), F.coalesce(F.bool_or(goes("other")), F.lit(False)).alias("other"), (F.max(goes("upto")) - F.min(goes("from"))).alias("words"))
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end", "first_doc_id"))
+    per_row = spans.groupBy("row").agg(F.sum("n").alias("n_shared"), F.count("start").alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"), F.sum("words").alias("removed_words"), F.count_if((F.col("words") >= PASSAGE_WORDS) & F.col("other")).alias("n_passages"), F.sort_array(F.collect_list(span)).alias("removed"))
+    full = every.join(per_row, "row", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_shared", "n_removed", "removed_chars", "removed_words", "n_passages")]
     empty = F.array().cast("array<struct<start:bigint,end:bigint,first_doc_id:bigint>>")
     return full.select("row", "doc_id", "n_units", *counts, F.coalesce("removed", empty).alias("removed"))
