@@ -79,10 +79,27 @@ class Node:
         self.name, self.attributes, self.depth, self.children = name, attributes or {}, depth, []
 
 
+#: A number of more digits is out of range, as browsers have it.
+MAX_DIGITS = 9
+_LONG_REFERENCE = re.compile(r"(?<=&#)[0-9]{8,}")
+
+
+def number(text: str | None, otherwise: int) -> int:
+    """The decimal number of an attribute; ``otherwise`` where there is none or it is out of range."""
+    text = (text or "").strip(" \t\n\r\f")
+    digits = text.lstrip("0") or text[-1:]
+    return int(digits) if digits.isdecimal() and len(digits) <= MAX_DIGITS else otherwise
+
+
+def plain(text: str) -> str:
+    """Character references resolved; a number beyond all characters gives U+FFFD, however long it is."""
+    return unescape(_LONG_REFERENCE.sub(lambda found: found[0].lstrip("0")[:8] or "0", text) if "&#" in text else text)
+
+
 def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), unescape(next(filter(None, values), "")))
+        found.setdefault(name.lower(), plain(next(filter(None, values), "")))
     return found
 
 
@@ -94,7 +111,7 @@ def build(html: str) -> Node:
 
     def text(data: str) -> None:
         if data:
-            stack[-1].children.append(unescape(data))
+            stack[-1].children.append(plain(data))
 
     def close(names: frozenset[str], fence: frozenset[str]) -> bool:
         hit = None
@@ -240,7 +257,7 @@ def _table(node: Node) -> list[str]:
             parts += [(c, row) for c in reversed(part.children)]
         elif part.name != "col":
             loose.children.append(part)
-    rows = [[(render(c), max(1, min(1000, int(s))) if (s := c.attributes.get("colspan", "1")).isdecimal() else 1) for c in row] for row in cells]
+    rows = [[(render(c), max(1, min(1000, number(c.attributes.get("colspan"), 1)))) for c in row] for row in cells]
     before = render(loose)  # what stands in a table outside its cells is seen before it
     for c in captions:
         before += render(c)
@@ -322,8 +339,7 @@ def _walk(node: Node, out: _Lines, order: list) -> None:
             out.gap(0)
             mark = "- "
             if order and order[-1] is not None:
-                if c.attributes.get("value", "").isdecimal():
-                    order[-1] = int(c.attributes["value"])
+                order[-1] = number(c.attributes.get("value"), order[-1])
                 mark = f"{order[-1]}. "
                 order[-1] += 1
             lines = render(c)
@@ -332,8 +348,7 @@ def _walk(node: Node, out: _Lines, order: list) -> None:
         elif c.name in ("ul", "ol", "menu"):
             nested = node.name == "li"
             out.gap(0 if nested else 1)
-            start = c.attributes.get("start", "1")
-            _walk(c, out, [int(start) if start.isdecimal() else 1] if c.name == "ol" else [None])
+            _walk(c, out, [number(c.attributes.get("start"), 1)] if c.name == "ol" else [None])
             out.gap(0 if nested else 1)
         elif c.name in ("dd", "blockquote"):
             out.gap(c.name == "blockquote")

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -108,3 +110,69 @@ def test_extract(spark):
     for i, (_, want) in enumerate(CASES):
         assert (got[i].text, got[i].n_chars, got[i].n_lines) == (want, len(want), len(want.split("\n")) if want else 0)
     assert (got[900].text, got[900].n_chars, got[900].n_lines) == (None, 0, 0)
+
+
+def test_long_numbers_do_not_fail():
+    many = "9" * 5000
+    assert html_text(f"<ol start={many}><li>a<li value={many}>b<li value={'0' * 5000}7>c</ol>") == "1. a\n2. b\n7. c"
+    assert html_text(f"<table><tr><td colspan={many}>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert html_text(f"&#{many};x<p title='&#{many}'>&#{'0' * 5000}65;") == "�x\n\nA"
+    assert html_text("<ol start=-3><li>a</ol><ol start=' 4 '><li>b</ol><ol start=²><li>c</ol>") == "1. a\n\n4. b\n\n1. c"
+
+
+def _words(rng, n=6):
+    return " ".join("".join(rng.choices("abcxyzäß", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, n)))
+
+
+def _inline(rng, words):
+    """Markup of words in which blanks, comments and inline elements change nothing."""
+    out = []
+    for w in words.split(" "):
+        out.append(rng.choice(["{}", "<b>{}</b>", "<i><a href='x>y'>{}</a></i>", "<!-- <p>no -->{}", "<span hidden>no</span>{}", "<script>no</script>{}"]).format(w))
+    return rng.choice([" ", "\n\t", "&#32;"]).join(out)
+
+
+def _end(rng, name):
+    return rng.choice(["", f"</{name}>"])
+
+
+def _block(rng, depth):
+    """(markup, lines, whether an empty line stands around it), made side by side from one random model."""
+    kind = rng.choice(["p", "div", "h2", "ul", "ol", "table", "pre", "blockquote"] if depth else ["p", "div", "h2"])
+    if kind in ("p", "div", "h2"):
+        words = _words(rng)
+        return f"<{kind}>{_inline(rng, words)}" + (_end(rng, kind) if kind == "p" else f"</{kind}>"), [words], kind != "div"
+    if kind == "pre":
+        lines = [_words(rng).replace(" ", "  ") for _ in range(rng.randrange(1, 4))]
+        return "<pre>\n" + "\n".join(lines) + "</pre>", lines, True
+    if kind == "blockquote":
+        markup, lines = _page(rng, 0)
+        return f"<blockquote>{markup}</blockquote>", ["  " + x if x else x for x in lines], True
+    if kind == "table":
+        rows = [[_words(rng, 4) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 5))]
+        widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
+        body = "".join("<tr>" + "".join(f"<{c}>{_inline(rng, x)}{_end(rng, c)}" for x in r for c in [rng.choice(["td", "th"])]) + _end(rng, "tr") for r in rows)
+        return f"<table>{rng.choice(['', '<tbody>'])}{body}</table>", ["  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows], True
+    first, markup, lines = rng.randrange(1, 12), "", []
+    for k in range(rng.randrange(1, 4)):
+        words, mark = _words(rng), f"{first + k}. " if kind == "ol" else "- "
+        inner, below, _ = (_block(rng, 0) if rng.random() < 0.3 else ("", [], False))
+        markup += f"<li>{_inline(rng, words)}" + (f"<div>{inner}</div>" if inner.startswith("<div") else "") + _end(rng, "li")
+        lines += [mark + words, *([" " * len(mark) + x for x in below] if inner.startswith("<div") else [])]
+    return f"<{kind}" + (f" start={first}" if kind == "ol" else "") + f">{markup}</{kind}>", lines, True
+
+
+def _page(rng, depth=1):
+    markup, lines, before = "", [], None
+    for _ in range(rng.randrange(1, 6)):
+        part, own, spaced = _block(rng, depth)
+        lines += [""] * (before is not None and (spaced or before)) + own
+        markup, before = markup + rng.choice(["", "\n", " "]) + part, spaced
+    return markup, lines
+
+
+def test_pages_are_those_of_a_model_that_lays_out_itself():
+    rng = random.Random(17)
+    for _ in range(1500):
+        markup, lines = _page(rng)
+        assert html_text(markup) == "\n".join(lines), markup
