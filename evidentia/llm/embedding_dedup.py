@@ -115,13 +115,16 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors link only at equal, non-null labels and equal lengths. Null or empty vectors, zero vectors, those with null
     or non-finite components, and rows with a null id link with nothing: 0 links, their own component, kept. Rows that
-    repeat an id are vectors each. An empty table gives no rows. Other columns are not read.
+    repeat an id are vectors each, with links of their own; a component's id is the smallest id among its rows. An empty
+    table gives no rows. Other columns are not read.
     """
     rows = only(vectors, vec_id=id_col, vector=vector_col, label=label_col).select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>"), F.col("label").cast("string"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("vector", number) & F.exists("vector", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
-    nodes = written(good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
+    # numbered as they are written: a node is a vector under a label, whatever ids its rows have
+    distinct = good.groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
     keys_out = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("t", pa.int32()), ("code", pa.int64()), ("node", pa.int64()), ("resident", pa.bool_())])
     data_out = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary()), ("both", pa.binary())])
@@ -147,9 +150,10 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in both], pa.binary())], schema=data_out)
 
     bucket = ["label", "dims", "t", "code"]
-    placed = nodes.mapInArrow(lean(lambda b: hashed(b, keys)), "label string, dims int, t int, code long, node long, resident boolean")
+    hashable = nodes.select("label", "vector", "node", "copies")
+    placed = hashable.mapInArrow(lean(lambda b: hashed(b, keys)), "label string, dims int, t int, code long, node long, resident boolean")
     blocks = in_blocks(placed, bucket, "node", side, F.bool_or("resident"))
-    full = nodes.mapInArrow(lean(lambda b: hashed(b, data)), "node long, copies long, unit binary, both binary")
+    full = hashable.mapInArrow(lean(lambda b: hashed(b, data)), "node long, copies long, unit binary, both binary")
     block = [*bucket, "low", "high"]
     met = blocks.join(full, "node").select(*block, "node", "copies", "part", "resident", "unit", "both").repartition(shuffle_partitions(rows.sparkSession), *block).sortWithinPartitions(*block)
     out = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("near", pa.int64())])
@@ -162,7 +166,9 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = written(met.mapInArrow(lean(compare), "node long, links long, near long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("near <> node").select(F.col("node").alias("a"), F.col("near").alias("b")))
-    per_node = nodes.join(links, "node", "left").join(roots, "node", "left").select("label", "vector", F.coalesce("root", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    in_root = nodes.select("node", "first_id").join(roots, "node").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = roots.join(written(in_root, "components"), "root").select("node", "least_id")
+    per_node = nodes.join(links, "node", "left").join(named, "node", "left").select("label", "vector", F.coalesce("least_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = good.join(per_node, ["label", "vector"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)

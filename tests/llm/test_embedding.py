@@ -71,3 +71,14 @@ def test_links_are_those_of_brute_force(spark):
 def test_components(spark, edges, want):
     table = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.root for r in components(table).collect()} == want
+
+
+def test_rows_that_share_an_id_have_links_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    a, b, c = ([float(np.float32(x)) for x in rng.normal(size=32)] for _ in range(3))
+    near = [float(np.float32(x + 0.01)) for x in a]
+    rows = [(5, a, 1), (5, b, 1), (6, near, 1), (7, c, 1), (7, c, 1), (8, a, 2), (5, c, 2), (3, c, 2), (9, near, 2), (4, b, 3), (4, near, 3), (2, near, 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, near_embeddings(table).collect()), key=str)
+    assert got == _brute(rows)
+    assert (5, 1, 5, True) in got and (5, 0, 5, True) in got and got.count((7, 1, 7, True)) == 2 and (5, 1, 3, False) in got
