@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -22,7 +23,10 @@ def session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
 
@@ -56,11 +60,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 def only_kept(docs: DataFrame, kept: DataFrame, mark: str) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, ``mark``) is in ``kept``, null ids included; of rows that agree in both one
-    stays. ``docs`` has ``mark`` as a further column, which goes."""
-    wanted = kept.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark")).distinct()
-    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_mark"))).drop("_id", "_mark")
-    order = Window.partitionBy("doc_id", mark).orderBy(mark)
-    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", mark)
+    stays. ``docs`` has ``mark`` as a further column, which goes. Texts are shuffled once: the join and the choice among
+    equal rows go by one column."""
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(mark))
+    wanted = kept.select(name.alias("_name")).distinct()
+    found = docs.withColumn("_name", name).join(wanted, "_name")
+    order = Window.partitionBy("_name").orderBy("_name")
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns if c != mark])
 
 
 def give_back() -> None:

@@ -3,27 +3,31 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from evidentia.llm import exact_dedup, substring_dedup
-from evidentia.llm.exact_dedup import directory, exact_groups
+from evidentia.llm.exact_dedup import Directory, build_index, exact_groups
 from evidentia.llm.substring_dedup import normal, remove_repeats, repeated_spans, without
 
 SCHEMA = "doc_id long, text string, key long, bytes string, removed int"
 
 
-def test_directory_covers_all_keys_and_splits_overfull_buckets():
+def test_directory_splits_overfull_buckets_and_keeps_doubling():
     rng = random.Random(3)
-    for _ in range(50):
-        counts = {rng.randrange(256): rng.randrange(1, 40) for _ in range(rng.randrange(60))}
-        slots = directory(counts, 8, 25)
-        depth = len(slots).bit_length() - 1
-        assert len(slots) == 1 << depth <= 256
-        held = defaultdict(int)
-        for prefix, n in counts.items():
-            bucket, local = slots[prefix >> (8 - depth)]
-            assert prefix >> (8 - local) == bucket >> (8 - local)
-            held[bucket, local] += n
-        assert all(n <= 25 or local == 8 for (_, local), n in held.items())
-        assert max(local for _, local in slots) == depth, "it doubles only for a bucket as deep as itself"
+    for capacity, bits in [(1, 64), (3, 64), (25, 64), (2, 12)] * 10:
+        keys = {rng.randrange(1 << bits) for _ in range(rng.randrange(200))}
+        keys |= {k ^ x << (bits - 10) for k in list(keys)[:5] for x in (1, 2, 3)}  # alike in their first bits
+        directory = Directory(bits, capacity)
+        for key in keys:
+            directory.insert(key, [key])
+        assert len(directory.slots) == 1 << directory.depth
+        found = {}
+        for prefix, depth, chains in directory.buckets():
+            assert len(chains) <= capacity and all(k >> (bits - depth) == prefix for k in chains)
+            assert directory.depth == 0 or depth <= directory.depth
+            found |= chains
+        assert found == {k: [k] for k in keys}
+        assert max(d for _, d, _ in directory.buckets()) == directory.depth, "it doubles only for a bucket as deep as itself"
 
 
 def _want(rows):
@@ -51,15 +55,21 @@ def test_groups_are_those_of_the_bytes(spark):
     assert exact_groups(docs.where("doc_id = -1")).count() == 0
 
 
-def test_colliding_keys_are_chained(spark, monkeypatch):
-    real = exact_dedup.digests
-
-    def clash(docs, with_text):  # every text gets one of two keys
-        return real(docs, with_text).selectExpr("doc_id", "key & 1 as key", "sha256", *["bytes"] * with_text)
-
-    monkeypatch.setattr(exact_dedup, "digests", clash)
+def test_colliding_keys_are_chained_and_bytes_compared(spark):
     docs = spark.createDataFrame([(*r, 0, "b", 1) for r in ROWS], SCHEMA)
-    assert sorted(map(tuple, exact_groups(docs, capacity=2).collect()), key=str) == _want(ROWS)
+    for bits in (1, 3):  # every text gets one of two or eight keys
+        assert sorted(map(tuple, exact_groups(docs, capacity=2, key_bits=bits).collect()), key=str) == _want(ROWS)
+    index = build_index(docs.select("doc_id", "text"), bits=1)
+    assert index.select("key").distinct().count() == 2 and index.count() == len({r[4] for r in _want(ROWS)})
+    chains = index.groupBy("key").agg({"chain": "max", "*": "count"}).collect()
+    assert all(r["max(chain)"] + 1 == r["count(1)"] for r in chains)
+
+
+def test_the_index_decides_the_groups(spark, monkeypatch):
+    real = exact_dedup.build_index
+    monkeypatch.setattr(exact_dedup, "build_index", lambda *a: real(*a).withColumn("keep_id", F.col("keep_id") - 100))
+    docs = spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")
+    assert [r.keep_id for r in exact_groups(docs).collect()] == [-98, -98]
 
 
 LONG = " ".join(f"word{i}" for i in range(60))
