@@ -3,9 +3,9 @@
 Documents lie in blocks of their source by a hash of their id; the blocks of a source have a permuted order. A
 source's target, in words, is as many whole passes over its blocks and, of one more pass, the first blocks in that
 order, the last of them in part. Over the exact number of block draws of each source stands a tree: a node hands half
-of its draws to its left child, and how many of each source these are is a multivariate-hypergeometric draw, made by
-selection sampling. The leaves are output shards; each takes the next blocks of each source's order, so the shards'
-blocks are disjoint, and shuffles its documents by a hash. All of it is DataFrame expressions.
+of its draws, in the order of their hashes, to its left child, so how many of each source these are is a
+multivariate-hypergeometric draw. The leaves are output shards; each takes the next blocks of each source's order, so
+the shards' blocks are disjoint, and shuffles its documents by a hash. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -19,16 +19,16 @@ from .common import only, shuffle_partitions, written
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 SHARE, MOST = 1.5, 2.0
-BLOCK_DOCS, MAX_BLOCKS, SEED = 64, 4096, 7
+BLOCK_DOCS, SEED = 64, 7
+#: A source has a block for so many documents, but no more blocks than this for each output shard: the plan stays small,
+#: and a block stays a small part of a shard.
+BLOCKS_PER_SHARD, LEAST_BLOCKS = 16, 4096
+#: Output shards of the registered query.
+OUTPUT_SHARDS = 16
 #: A table of sources is broadcast up to so many rows (some tens of bytes each), else joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 
-def _draw(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
-
-
 def _place(seed: int, *parts: Column | str) -> Column:
     """60 bits of an MD5 of the seed and the parts that are not null: an order that any SQL engine can repeat."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
@@ -52,35 +52,25 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, w
     return filled.select("no", "source", "source_size", "n_docs", F.least("limit", F.greatest(F.lit(0.0), F.round(F.col("weight") * F.col("level"), 6))).alias("target"))
 
 
-def _halved(node: DataFrame, seed: int) -> DataFrame:
-    """Each node's two children: item by item of the node's draws, left with probability free places / items to come."""
-
-    def source(state: Column, pair: Column) -> Column:
-        start = F.struct(state["places"].alias("places"), state["items"].alias("items"), F.lit(0).cast("long").alias("left"))
-        items = F.when(pair["n"] > 0, F.sequence(F.lit(1).cast("long"), pair["n"])).otherwise(F.array().cast("array<bigint>"))
-
-        def item(s: Column, i: Column) -> Column:
-            goes = (_draw(F.lit(seed), F.col("node"), pair["no"], i) * s["items"] < s["places"]).cast("long")
-            return F.struct((s["places"] - goes).alias("places"), (s["items"] - 1).alias("items"), (s["left"] + goes).alias("left"))
-
-        end = F.aggregate(items, start, item)
-        return F.struct(end["places"].alias("places"), end["items"].alias("items"), F.concat(state["out"], F.array(end["left"])).alias("out"))
-
-    pairs = F.transform("quota", lambda n, i: F.struct(i.alias("no"), n.alias("n")))
-    total = F.aggregate("quota", F.lit(0).cast("long"), lambda a, x: a + x)
-    begin = F.struct(F.floor(F.col("total") / 2).alias("places"), F.col("total").alias("items"), F.array().cast("array<bigint>").alias("out"))
-    drawn = node.withColumn("total", total).withColumn("left", F.aggregate(pairs, begin, source)["out"])
-    children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("quota", "left", lambda a, b: a - b).alias("quota")))
-    return drawn.select(F.explode(children).alias("c")).select("c.node", "c.quota")
+def _halved(quotas: DataFrame, seed: int) -> DataFrame:
+    """The quotas (node, no, n) of each node's two children: of the node's draws the half with the smallest hashes goes
+    left, one less than right if they are odd."""
+    items = quotas.select("node", "no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    node = Window.partitionBy("node")
+    ranked = items.withColumn("rank", F.row_number().over(node.orderBy(_place(seed, "node", "no", "i"), "no", "i"))).withColumn("total", F.count(F.lit(1)).over(node))
+    goes = F.col("rank") <= F.floor(F.col("total") / 2)
+    split = ranked.groupBy("node", "no").agg(F.count_if(goes).alias("left"), F.count_if(~goes).alias("right"))
+    children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), F.col("right").alias("n")))
+    return split.select("no", F.inline(children)).where("n > 0").select("node", "no", "n")
 
 
 def shard_quotas(draws: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """(no, n_draws) per source -> (no, shard, n): how many of each source's draws each of ``shards`` (a power of two) gets."""
-    root = draws.agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "n_draws"))), lambda x: x["n_draws"]).alias("quota")).select(F.lit(1).cast("long").alias("node"), "quota")
-    node, n = root, 1
+    """(no, n_draws) per source -> (no, shard, n): how many of each source's draws each of ``shards`` (a power of two)
+    gets; a row for each that gets any."""
+    quotas, n = draws.where("n_draws > 0").select(F.lit(1).cast("long").alias("node"), "no", F.col("n_draws").cast("long").alias("n")), 1
     while n < shards:
-        node, n = _halved(node, seed), n * 2
-    return node.select((F.col("node") - n).cast("int").alias("shard"), F.posexplode("quota").alias("no", "n"))
+        quotas, n = _halved(quotas, seed), n * 2
+    return quotas.select("no", (F.col("node") - n).cast("int").alias("shard"), "n")
 
 
 def default_shards(docs: DataFrame) -> int:
@@ -95,7 +85,7 @@ def draws_of(docs: DataFrame, share: float = SHARE, most: float = MOST, weights:
     sizes = written(_sized(docs).select("doc_id", "source", "size"), "sizes")
     targets = written(source_targets(sizes, share, most, weights), "targets")
     small = targets.count() <= BROADCAST_ROWS
-    n_blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("long")
+    n_blocks = F.least(F.lit(max(LEAST_BLOCKS, BLOCKS_PER_SHARD * shards)), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("long")
     sources = targets.select("no", F.col("source").alias("_source"), "source_size", "target", n_blocks.alias("_blocks"))
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -113,9 +103,9 @@ def draws_of(docs: DataFrame, share: float = SHARE, most: float = MOST, weights:
     drawn = ranked.select("no", "block", "place", F.inline(copies)).where("words > 0")
     drawn = written(drawn.withColumn("at", F.row_number().over(Window.partitionBy("no").orderBy("copy", "place")) - 1), "draws")
 
-    every = targets.select("no").join(drawn.groupBy("no").agg(F.count(F.lit(1)).alias("n_draws")), "no", "left").fillna(0, ["n_draws"])
+    every = drawn.groupBy("no").agg(F.count(F.lit(1)).alias("n_draws"))
     upto = F.sum("n").over(Window.partitionBy("no").orderBy("shard"))
-    ranges = shard_quotas(every, shards, seed + 2).withColumn("first", upto - F.col("n")).where("n > 0")
+    ranges = shard_quotas(every, shards, seed + 2).withColumn("first", upto - F.col("n"))
     owner = ranges.select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("at"))
     draws = written(drawn.join(owner, ["no", "at"]).groupBy("no", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "words"))).alias("draws")), "block-draws")
 
@@ -163,7 +153,19 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = SEED
     return rows.select(*[(own[c] if c in own else F.col(f"_row.`{c}`")).alias(c) for c in columns])
 
 
-#: DuckDB SQL for ``op3_mixing``. Which shard gets a draw does not change what a document gives.
+def _tree_sql(shards: int, seed: int) -> str:
+    """CTEs t1, t2, ..: the quotas of each level of the tree, from quotas t1 (node, no, n)."""
+    level, n, out = 1, 1, []
+    while n < shards:
+        rank = f"row_number() over (partition by node order by ('0x' || substr(md5('{seed}|' || node || '|' || no || '|' || i), 1, 15))::bigint, no, i)"
+        out.append(f"i{level} as (select node, no, i, {rank} as k, count(*) over (partition by node) as total from (select node, no, unnest(range(1, n + 1)) as i from t{level}))")
+        out.append(f"h{level} as (select node, no, count(*) filter (k <= total // 2) as l, count(*) filter (k > total // 2) as g from i{level} group by node, no)")
+        out.append(f"t{level + 1} as (select node * 2 as node, no, l as n from h{level} where l > 0 union all select node * 2 + 1, no, g from h{level} where g > 0)")
+        level, n = level + 1, n * 2
+    return ",\n".join([*out, f"leaf as (select no, node - {n} as shard, n, sum(n) over (partition by no order by node) - n as first from t{level})"])
+
+
+#: DuckDB SQL for ``op3_mixing``, for up to ``LEAST_BLOCKS`` blocks a source.
 ORACLE_SQL = f"""
 with sizes as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 s as (
@@ -175,7 +177,7 @@ v as (
     from w window a as (order by lim / weight, no)
 ),
 t as (
-    select source, no, source_size::bigint as source_size, least({MAX_BLOCKS}, ceil(n / {BLOCK_DOCS}))::bigint as blocks,
+    select source, no, source_size::bigint as source_size, ceil(n / {BLOCK_DOCS})::bigint as blocks,
         least(lim, greatest(0, round(weight * max(level) over (), 6))) as target
     from v
 ),
@@ -184,18 +186,25 @@ d as (
     from sizes z join t on z.source is not distinct from t.source
 ),
 b as (
-    select no, block, sum(size) as words, any_value(source_size) as source_size, any_value(target) as target,
+    select no, block, sum(size)::bigint as words, any_value(source_size) as source_size, any_value(target) as target,
         ('0x' || substr(md5('{SEED + 1}|' || no || '|' || block), 1, 15))::bigint as place
     from d group by no, block
 ),
 r as (
-    select *, case when source_size > 0 then floor(target / source_size) else 0 end as passes, sum(words) over (partition by no order by place, block) - words as before from b
+    select *, case when source_size > 0 then floor(target / source_size) else 0 end as passes, sum(words) over o - words as before, row_number() over o as rank
+    from b window o as (partition by no order by place, block)
 ),
-q as (select no, block, passes, least(words, greatest(0, round(target - passes * source_size) - before)) as rest from r),
+q as (select no, block, rank, passes, words, least(words, greatest(0, round(target - passes * source_size)::bigint - before)) as rest from r),
+c as (select no, block, rank, copy, case when copy <= passes then words else rest end as words from (select *, unnest(range(1, passes::bigint + 2)) as copy from q)),
+y as (select *, row_number() over (partition by no order by copy, rank) - 1 as at from c where words > 0),
+t1 as (select 1::bigint as node, no, count(*) as n from y group by no),
+{_tree_sql(OUTPUT_SHARDS, SEED + 2)},
+z as (select y.no, y.block, y.copy, y.words, leaf.shard from y join leaf on y.no = leaf.no and y.at >= leaf.first and y.at < leaf.first + leaf.n),
 e as (
-    select d.*, q.passes, q.rest,
-        sum(size) over (partition by d.no, d.block order by ('0x' || substr(md5('{SEED + 3}|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint, doc_id, size rows unbounded preceding) - size as before
-    from d join q on d.no = q.no and d.block = q.block
-)
-select doc_id, size, source_size, target, (passes * size + least(size, greatest(0, rest - before)))::bigint as taken from e
+    select *, row_number() over () as r, sum(size) over (partition by no, block order by ('0x' || substr(md5('{SEED + 3}|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint, doc_id, size rows unbounded preceding) - size as before
+    from d
+),
+x as (select e.r, z.copy, z.shard, least(e.size, greatest(0, z.words - e.before))::bigint as words from e join z on e.no = z.no and e.block = z.block),
+m as (select r, sum(words)::bigint as taken, string_agg(copy || ':' || shard || ':' || words, ' ' order by copy) as shards from x where words > 0 group by r)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, coalesce(shards, '') as shards from e left join m using (r)
 """

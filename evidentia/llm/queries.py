@@ -31,7 +31,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("copies")
+    """A row for each document, with what each of its copies gives and to which output shard, as "copy:shard:words"."""
+    found = mix(table(spark, sf_dir, "documents"), shards=mixing.OUTPUT_SHARDS)
+    given = F.transform(F.sort_array("copies"), lambda d: F.concat_ws(":", d["copy"].cast("string"), d["shard"].cast("string"), d["words"].cast("string")))
+    return found.withColumn("shards", F.array_join(given, " ")).drop("copies")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def test_targets_and_taken_words(spark):
 
 def test_shards_get_exact_quotas_and_balanced_shares(spark):
     draws = spark.createDataFrame([(0, 400), (1, 0), (2, 37), (3, 163)], "no int, n_draws long")
-    got = shard_quotas(draws, 8, 3).groupBy("shard").pivot("no", [0, 1, 2, 3]).agg(F.sum("n")).orderBy("shard").collect()
+    got = shard_quotas(draws, 8, 3).groupBy("shard").pivot("no", [0, 1, 2, 3]).agg(F.sum("n")).fillna(0).orderBy("shard").collect()
     assert [sum(r[str(i)] for r in got) for i in range(4)] == [400, 0, 37, 163]
     assert {sum(r[1:]) for r in got} == {75}
 
