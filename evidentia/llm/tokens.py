@@ -1,8 +1,9 @@
 """Exact token ids and token counts from public tokenizer files, one pre-token at a time.
 
 A pre-token's ids depend on nothing around it, so a worker asks the library once for each different pre-token and
-looks up the rest. Texts are cut into pre-tokens here only when every character is of a range in which the cut is
-beyond doubt; any other text goes to the library as a whole. Either way the ids are the library's.
+looks up the rest. Where every character of a text is of a range in which the cut is beyond doubt, one pattern cuts it;
+any other text is cut by the library's own normaliser and pre-tokeniser. Only texts that may hold special strings go to
+the library as a whole. Either way the ids are the library's.
 """
 
 from __future__ import annotations
@@ -100,24 +101,30 @@ class PreTokens:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def safe(self, text: str) -> bool:
-        """Special strings begin with "<|"; texts with that go to the library."""
-        return "<|" not in text and SAFE_TEXT.fullmatch(text) is not None
+    def special(self, text: str) -> bool:
+        """Whether a special string may be in the text; all of them begin with "<|"."""
+        return "<|" in text
 
     def cut(self, text: str) -> Iterator[list[str]]:
-        """Lists of pre-tokens of a safe text."""
+        """Lists of pre-tokens, normalised, of a text without special strings."""
+        safe = SAFE_TEXT.fullmatch(text) is not None
         for part in steps(text):
-            yield self.pattern.findall(part.lower() if self.lower else part)
+            yield self.pattern.findall(part.lower() if self.lower else part) if safe else self._cut_by_library(part)
+
+    def _cut_by_library(self, part: str) -> list[str]:
+        if normalizer := self.library.normalizer:
+            part = normalizer.normalize_str(part)
+        return [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
 
     def ids(self, text: str) -> bytes:
-        if not self.safe(text):
+        if self.special(text):
             return self._encode(text)
         known = self._ids.__getitem__
         return b"".join([b"".join(map(known, words)) for words in self.cut(text)])
 
     def count(self, text: str) -> int:
-        if not self.safe(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
+        if self.special(text):
+            return len(self._encode(text)) // 4
         known = self._lengths.__getitem__
         return sum(sum(map(known, words)) for words in self.cut(text))
 

@@ -26,6 +26,37 @@ def test_ids_are_the_librarys(path, kind, text):
     assert known.count(text) == len(want)
 
 
+TEXTS = ["it's 5 o’clock — ok", "Привет, мир! ΣΑΣ Ωmega", "日本語のテキスト。 漢字 12３", "naïve “quotes” … ½ ﬁ ǅ", "e\u0301 a \u0301b \u0130x", "ภาษาไทย हिन्दी עברית", "a\u2003b\u00a0 c\u3000\u3000d", "👩‍👩‍👧 ok"]
+
+
+@pytest.mark.parametrize("path,kind", [(WORD, "word"), (BYTE, "byte")])
+def test_only_special_strings_go_to_the_library_as_a_whole(path, kind, monkeypatch):
+    known, asked = PreTokens(path, kind), []
+    monkeypatch.setattr(known, "_encode", lambda text: asked.append(text) or b"")
+    for text in [*TEXTS, " ".join(TEXTS) * 50]:
+        want = known.library.encode(text, add_special_tokens=False).ids
+        assert known.ids(text) == struct.pack(f"<{len(want)}I", *want), text
+        assert known.count(text) == len(want)
+        misses = []
+        monkeypatch.setattr(known, "_word", lambda word: misses.append(word) or [])
+        assert known.ids(text) and known.count(text) == len(want) and not misses, "all pre-tokens are known by now"
+        monkeypatch.undo()
+        monkeypatch.setattr(known, "_encode", lambda text: asked.append(text) or b"")
+    assert not asked
+    known.ids("a <|endoftext|>")
+    assert asked == ["a <|endoftext|>"]
+
+
+@pytest.mark.parametrize("path,kind", [(WORD, "word"), (BYTE, "byte")])
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), st.text(alphabet="aΣé\u0301’ \n\u2003日ก5½", max_size=40))
+def test_any_text_has_the_librarys_ids(path, kind, text, other):
+    known = _known(path, kind)
+    for t in (text, other, text + " " + other):
+        want = known.library.encode(t, add_special_tokens=False).ids
+        assert known.ids(t) == struct.pack(f"<{len(want)}I", *want)
+
+
 _made = {}
 
 
