@@ -32,8 +32,9 @@ def html_to_text(html: str) -> str:
 
 
 def _decoded(part: dict) -> str | None:
-    data = (part.get("body") or {}).get("data")
-    if not data:
+    body = part.get("body")
+    data = body.get("data") if isinstance(body, dict) else None
+    if not data or not isinstance(data, str):
         return None
     try:
         return base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)).decode()
@@ -41,27 +42,40 @@ def _decoded(part: dict) -> str | None:
         return None
 
 
-def mime_parts(payload: str | None, most: int = 10_000) -> Iterator[tuple[str, str]]:
-    """(mime type, decoded content) of the text parts in order, however deep; unreadable ones are skipped."""
+def _kind(part: dict) -> str:
+    kind = part.get("mimeType")
+    return kind if isinstance(kind, str) else ""
+
+
+def _below(part: dict) -> list:
+    parts = part.get("parts")
+    return parts[::-1] if isinstance(parts, list) else []
+
+
+def mime_parts(payload: str | None) -> Iterator[tuple[str, str]]:
+    """(mime type, decoded content) of the text parts in order, however many or deep; unreadable ones are skipped, and so
+    is what is no object where one belongs. A payload that nests deeper than JSON can be read has no parts."""
     try:
         root = json.loads(payload) if payload else None
-    except ValueError:
+    except (ValueError, RecursionError):
         root = None
     if not isinstance(root, dict):
         return
     if "parts" not in root:
         content = _decoded(root)
         if content is not None:
-            yield root.get("mimeType") or "", content
+            yield _kind(root), content
         return
-    stack = list(reversed(root["parts"] or []))
-    while stack and most:
-        part, most = stack.pop(), most - 1
-        kind, content = part.get("mimeType") or "", _decoded(part)
+    stack = _below(root)
+    while stack:
+        part = stack.pop()
+        if not isinstance(part, dict):
+            continue
+        kind, content = _kind(part), _decoded(part)
         if kind in ("text/plain", "text/html") and content is not None:
             yield kind, content
         elif "parts" in part:
-            stack.extend(reversed(part["parts"] or []))
+            stack.extend(_below(part))
 
 
 def flat_text(payload: str | None) -> str:

@@ -62,7 +62,12 @@ def _lcs(a: str, b: str) -> int:
 def partial_ratio_of(a: str, b: str, cutoff: float = 0.0) -> float:
     """The best ratio (0-100) of the shorter string with any stretch of the longer one that is as long, or cut by an end.
     Below ``cutoff`` it is 0 where the characters in common show that without a comparison."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) == len(b) and a != b:  # either may be the one that is cut
+        return max(_best_stretch(a, b, cutoff), _best_stretch(b, a, cutoff))
+    return _best_stretch(a, b, cutoff) if len(a) <= len(b) else _best_stretch(b, a, cutoff)
+
+
+def _best_stretch(short: str, long: str, cutoff: float) -> float:
     if not short:
         return 0.0
     if short in long:

@@ -22,6 +22,7 @@ LABEL_WORDS = [
     "DATE", "INVOICE NO", "RECEIPT NO", "BILL NO", "DOC NO", "REF NO", "ORDER NO", "TRANSACTION ID", "INVOICE NUMBER", "BILL NUMBER",
     "RECEIPT NUMBER", "DOCUMENT NUMBER", "ORDER NUMBER", "TRANS ID", "ID", "NO", "NUMBER", "INV", "NO.",
 ]
+FIELD_LABELS = ["RECEIPT", "INVOICE", "BILL", "DOCUMENT", "DOC", "REFERENCE", "REF", "ORDER", "TRANSACTION", "TRANS", "TXN", "PAYMENT", "ID"]
 BRAND_WORDS = ["TANTRA", "SHOP", "STORE", "MALL", "CENTER", "CENTRE", "MARKET", "SUPERMARKET", "DEPARTMENT", "OUTLET", "BRANCH", "LOCATION"]
 ID_CONTEXT = "transaction|invoice|bill|receipt|doc|ref|order|id|no|number"
 AMOUNT_CONTEXT = r"total|amount|paid|sum|grand\s*total"
@@ -180,10 +181,9 @@ def field_category(value: Column, field: str) -> Column:
     if field != "transaction_id":
         return F.when(missing, verdict(False, "missing", 0.0)).otherwise(verdict(True, field, 0.7))
     upper = F.upper(value)
-    labels = [w for w in LABEL_WORDS if " " not in w and w not in ("AMOUNT", "TOTAL", "DATE", "NO", "NUMBER", "INV", "NO.")]
     return (
         F.when(missing, verdict(False, "missing", 0.0))
-        .when(F.trim(upper).isin(labels), verdict(False, "label_word", 0.0))
+        .when(F.trim(upper).isin(FIELD_LABELS), verdict(False, "label_word", 0.0))
         .when(is_date(value), verdict(False, "date_pattern", 0.0))
         .when(upper.rlike("[A-Z]") & value.rlike("[0-9]"), verdict(True, "transaction_id", 0.8))
         .when(F.length(value) >= 8, verdict(True, "transaction_id", 0.6))
@@ -236,3 +236,8 @@ def first_keyword(text: Column, words: dict[str, list[str]]) -> Column:
 
 def caption_attributes(caption: Column) -> Column:
     return F.struct(first_keyword(caption, CAPTION_CATEGORIES).alias("category"), first_keyword(caption, {c: [c] for c in CAPTION_COLORS}).alias("color"), first_keyword(caption, CAPTION_SLEEVES).alias("sleeve_type"))
+
+
+def decimals(value: Column, n: int = 2) -> Column:
+    """A number with ``n`` decimals, a tie to the even one."""
+    return F.bround(value, n)

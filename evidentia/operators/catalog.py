@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The product classes that are searched, and the numbers of the classes of weak labels.
+MASTER_CATEGORY = "Apparel"
+SUBCATEGORIES = ("Topwear", "Bottomwear", "Saree", "Dress", "Loungewear", "Nightwear", "Apparel Set", "Mufflers", "Gloves")
 CLASSES = {"company": 0, "date": 1, "total": 2, "address": 3}
 
 
@@ -17,6 +19,11 @@ def with_metadata(items: DataFrame, metadata: DataFrame, columns: list[str]) ->
     return joined.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in columns}).drop("_id", "_meta")
 
 
+def apparel(metadata: DataFrame, master: str = "masterCategory", sub: str = "subCategory") -> DataFrame:
+    """Metadata rows of the product classes that are searched."""
+    return metadata.where((F.col(master) == MASTER_CATEGORY) & F.col(sub).isin(*SUBCATEGORIES))
+
+
 def sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows in the order of a hash of their key: the same ones every time, whatever the partitions."""
     return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)

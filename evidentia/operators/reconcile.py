@@ -9,7 +9,8 @@ from ..functions.similarity import alike, partial_ratio, positional_ratio
 
 # Points and limits of the score.
 AMOUNT_POINTS, ID_POINTS, TIME_POINTS, ORDER_POINTS, RECEIVER_POINTS, BASE_POINTS = 40.0, 25.0, 15.0, 10.0, 15.0, 5.0
-NO_MAIL_PENALTY, LATE_CHAT_PENALTY = 55.0, 55.0
+NO_MAIL_PENALTY, LATE_CHAT_PENALTY, PARTIAL_MAIL_PENALTY = 55.0, 55.0, 20.0
+MAIL_KEYS = ("amount", "transaction_id", "timestamp")
 APPROVE_FROM, REVIEW_FROM, OCR_GATE, ID_THRESHOLD = 90, 50, 50, 80
 #: A receipt's id is cut into up to so many whole pieces of so many characters.
 PIECES, PIECE = 8, 3
@@ -43,8 +44,10 @@ def _minutes(later: Column, earlier: Column) -> Column:
     return (F.unix_timestamp(later) - F.unix_timestamp(earlier)) / 60.0
 
 
-def confidence(merchant: str, partial: bool = True) -> Column:
-    """0-100 from columns fraud, ocr_score, amount, transaction_id, timestamp, receiver, mail, chat_amount, chat_time."""
+def confidence(merchant: str, partial: bool = True, keys: Column | None = None) -> Column:
+    """0-100 from columns fraud, ocr_score, amount, transaction_id, timestamp, receiver, mail, chat_amount, chat_time.
+    ``keys``: the names of the fields that the mail's source had at all, where sources differ in that; a null field is
+    none that is missing."""
     mail, own = F.col("mail"), F.col("timestamp")
     zero = F.lit(0.0)
     paid = F.coalesce(mail["amount"], F.when(F.col("amount") != 0, F.col("amount")))
@@ -59,7 +62,8 @@ def confidence(merchant: str, partial: bool = True) -> Column:
     name = F.lower("receiver")
     likeness = F.round(partial_ratio(name, F.lit(merchant.lower()))) if partial else F.when(name.contains(merchant.lower()), 100.0).otherwise(0.0)
     receiver = F.when(F.coalesce(F.col("receiver"), F.lit("")) == "", zero).when(likeness > 93, RECEIVER_POINTS).when(likeness > 88, RECEIVER_POINTS / 2).otherwise(-(100 - likeness) / 100 * RECEIVER_POINTS)
-    score = 0.5 * F.col("ocr_score") + amount + tid + time + order + receiver + F.when(mail.isNull(), -NO_MAIL_PENALTY).otherwise(0.0) + BASE_POINTS
+    lacks = F.lit(False) if keys is None else F.size(F.array_except(F.array(*map(F.lit, MAIL_KEYS)), keys)) > 0
+    score = 0.5 * F.col("ocr_score") + amount + tid + time + order + receiver + F.when(mail.isNull(), -NO_MAIL_PENALTY).when(lacks, -PARTIAL_MAIL_PENALTY).otherwise(0.0) + BASE_POINTS
     return F.when(F.col("fraud"), zero).otherwise(F.greatest(zero, F.least(F.lit(100.0), score)))
 
 

@@ -32,7 +32,7 @@ def _chunked(df: DataFrame, group: str, key: str, name: str, chunk: int) -> Data
     return joined.withColumn(name, F.pmod(F.xxhash64(key), f"{name}_chunks").cast("int"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, weights: dict[str, float], chunk: int = CHUNK, least: dict[str, float] | None = None) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, weights: dict[str, float], chunk: int = CHUNK) -> DataFrame:
     """The ``k`` best items for each query of the same ``grp``.
 
     ``queries``: query_id, grp and the vectors that ``weights`` names; ``items``: filename, grp and the same vectors.
@@ -50,14 +50,14 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, weights: dict[str, flo
     id_type, file_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)["filename"]
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "filename": [], "score": [], **{s: [] for s in sims}})
-        if left.empty or right.empty:
-            return empty
+        lengths = [list(zip(*[x[n].map(len) for n in names], strict=True)) for x in (left, right)]
+        found = [pd.DataFrame({"query_id": [], "filename": [], "score": [], **{s: [] for s in sims}})]
+        for size in set(lengths[0]) & set(lengths[1]):
+            found.append(best(*[x[[y == size for y in own]] for x, own in zip((left, right), lengths, strict=True)]))
+        return pd.concat(found[1:] or found)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("filename").reset_index(drop=True)
-        size = left[names[0]].map(len).mode().iloc[0]
-        left, right = left[left[names[0]].map(len) == size], right[right[names[0]].map(len) == size].reset_index(drop=True)
-        if left.empty or right.empty:
-            return empty
         each = [np.round(np.stack(left[n]).astype(float) @ np.stack(right[n]).astype(float).T, DIGITS) for n in names]
         score = np.round(sum(w * s for w, s in zip(weights.values(), each, strict=True)), DIGITS)
         top = np.argsort(-score, axis=1, kind="stable")[:, :k]
@@ -234,6 +234,86 @@ def good_matches(descriptors: DataFrame, against: DataFrame, share: float = 0.7,
     return counted.groupBy("query_id", "image").agg(F.sum("good").alias("good"))
 
 
-def cosine_softmax(sim: Column, by: str) -> Column:
-    """Softmax of a column over the rows of ``by``."""
-    return F.exp(sim) / F.sum(F.exp(sim)).over(Window.partitionBy(by))
+def category_cells(items: DataFrame, most: int = 100, flat_below: int = 100, fit_rows: int = 10_000, rounds: int = 10, seed: int = 3) -> DataFrame:
+    """category, centres: the coarse cells of each category, as many as half its items, ``most`` at most. A category
+    of fewer than ``flat_below`` items has one cell. Centres are fitted on at most ``fit_rows`` items of the category that a
+    hash picks."""
+    usable = items.where("clip is not null").select("category", "filename", "clip")
+    pick = F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("filename", F.lit(seed)), "filename"))
+    sizes = usable.groupBy(F.col("category").alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+    fit = usable.withColumn("_n", pick).where(F.col("_n") <= fit_rows).join(sizes, F.col("category").eqNullSafe(F.col("_c"))).drop("_c", "_n")
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("filename")
+        pdf = pdf[pdf["clip"].map(len) == pdf["clip"].map(len).mode().iloc[0]]
+        v, n = np.stack(pdf["clip"]).astype(float), int(pdf["n"].iloc[0])
+        cells = 1 if n < flat_below else max(1, min(most, n // 2, len(v)))
+        centres = v[np.random.default_rng(seed).choice(len(v), cells, replace=False)]
+        for _ in range(rounds if cells > 1 else 1):
+            own = _nearest_cell(v, centres)
+            for c in np.unique(own):
+                centres[c] = v[own == c].mean(axis=0)
+        return pd.DataFrame({"category": pdf["category"].iloc[:1], "centres": [centres.tolist()]})
+
+    kind = dict(items.dtypes)["category"]
+    return fit.groupBy("category").applyInPandas(fitted, f"category {kind}, centres array<array<double>>")
+
+
+def _nearest_cell(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * v @ centres.T).argmin(axis=1)
+
+
+def probed_by_category(queries: DataFrame, items: DataFrame, cells: DataFrame, k: int, probes: int = 10) -> DataFrame:
+    """The ``k`` best items of a query's category, as an exact search finds: those of the ``probes`` cells nearest to the
+    query, then those of every further cell that can still hold an item as good as the last of these (see ``probed``)."""
+
+    def with_centres(df: DataFrame) -> DataFrame:
+        named = cells.select(F.col("category").alias("_c"), "centres")
+        return df.join(named, F.col("category").eqNullSafe(F.col("_c"))).where(F.size("clip") == F.size(F.col("centres")[0])).drop("_c")
+
+    file_type, id_type, kind = dict(items.dtypes)["filename"], dict(queries.dtypes)["query_id"], dict(items.dtypes)["category"]
+
+    def by_category(batches: Iterator[pd.DataFrame]):
+        for batch in batches:
+            for _, part in batch.groupby(batch["category"].fillna("\0"), sort=False):
+                yield part, np.stack([np.asarray(c, float) for c in part["centres"].iloc[0]]), np.stack(part["clip"]).astype(float)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, centres, v in by_category(batches):
+            own = _nearest_cell(v, centres)
+            yield pd.DataFrame({"filename": part["filename"], "category": part["category"], "cell": own.astype(np.int32), "clip": part["clip"], "far": np.linalg.norm(v - centres[own], axis=1)})
+
+    placed = with_centres(items.where("clip is not null").select("filename", "category", "clip")).mapInPandas(place, f"filename {file_type}, category {kind}, cell int, clip array<float>, far double")
+    group = lambda cell: F.concat_ws("#", F.coalesce("category", F.lit("")), F.col(cell).cast("string"))
+    held = placed.select("filename", "clip", group("cell").alias("grp"))
+    radii = placed.groupBy("category", "cell").agg(F.max("far").alias("far")).groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("cell", "far"))).alias("radii"))
+    asked = with_centres(queries.select("query_id", "category", "clip").dropna(subset=["query_id", "clip"]))
+
+    def order(centres: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.argsort((centres**2).sum(axis=1) - 2 * v @ centres.T, axis=1, kind="stable")
+
+    def asking(part: pd.DataFrame, rows: np.ndarray, cell: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], "category": part["category"].to_numpy()[rows], "cell": cell.astype(np.int32), "clip": part["clip"].to_numpy()[rows]})
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, centres, v in by_category(batches):
+            cell = order(centres, v)[:, :probes]
+            yield asking(part, np.repeat(np.arange(len(part)), cell.shape[1]), cell.ravel())
+
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, centres, v in by_category(batches):
+            radius = np.full(len(centres), -np.inf)
+            for cell, far in part["radii"].iloc[0].items():
+                radius[cell] = far
+            open_ = v @ centres.T + np.linalg.norm(v, axis=1)[:, None] * radius + 10.0**-DIGITS >= part["least"].fillna(-np.inf).to_numpy(float)[:, None]
+            np.put_along_axis(open_, order(centres, v)[:, :probes], False, axis=1)
+            yield asking(part, *np.nonzero(open_))
+
+    schema = f"query_id {id_type}, category {kind}, cell int, clip array<float>"
+    sent = lambda df: df.select("query_id", "clip", group("cell").alias("grp"))
+    first = nearest(sent(asked.mapInPandas(near, schema)), held, k, {"clip": 1.0})
+    last = first.where(F.col("rank_no") == k).select("query_id", F.col("score").alias("least"))
+    known = asked.join(radii.withColumnRenamed("category", "_c"), F.col("category").eqNullSafe(F.col("_c"))).drop("_c").join(last, "query_id", "left")
+    more = nearest(sent(known.mapInPandas(further, schema)), held, k, {"clip": 1.0})
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "filename"))
+    return first.unionByName(more).withColumn("rank_no", rank).where(F.col("rank_no") <= k)

@@ -299,7 +299,9 @@ def _images(spark: SparkSession, d: str, size: int = 24) -> DataFrame:
                 out.append((vec_id, size, size, 3, np.stack([big, big[::-1], big[:, ::-1]], axis=2).tobytes()))
             yield pd.DataFrame(out, columns=["vec_id", "height", "width", "channels", "data"])
 
-    return derived.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(paint, "vec_id long, height int, width int, channels int, data binary")
+    # painting and what follows is work of the processor: a small table is dealt to all cores
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return derived.table(spark, d, "embeddings").select("vec_id", "embedding").repartition(parts, "vec_id").mapInPandas(paint, "vec_id long, height int, width int, channels int, data binary")
 
 
 def image_quality_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -314,8 +316,7 @@ def image_preprocess(spark: SparkSession, d: str) -> DataFrame:
 
 def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The inventory saved by category and read again, from the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/index-{spark.sparkContext.applicationId}"
+    path = files.shared_folder(spark, "index")
     built = files.load_or_build(spark, path, lambda: derived.inventory(spark, d))
     files.save_index(derived.inventory(spark, d), f"{path}-fresh")
     fresh = files.load_index(spark, f"{path}-fresh")

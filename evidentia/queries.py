@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evidence, retrieval
+from .plans import connectors, evidence, retrieval
 
-_ALL = evidence.QUERIES | retrieval.QUERIES
+_ALL = evidence.QUERIES | retrieval.QUERIES | connectors.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from ..operators.catalog import box_lines
 
@@ -38,15 +42,20 @@ def metadata_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, mode="DROPMALFORMED")
 
 
-def boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Annotated boxes, one file for each document: doc is the file's name without ending, lines are numbered."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("doc"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("line_no", "value"))
+def _stem() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
+
+
+def boxes(spark: SparkSession, path: str, doc: str | None = None) -> DataFrame:
+    """Annotated boxes, one file for each document: doc is the file's name without ending, or its folder's value of the
+    partition column ``doc``; lines are numbered."""
+    raw = spark.read.text(path, wholetext=True).select((F.col(doc) if doc else _stem()).alias("doc"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("line_no", "value"))
     return box_lines(raw)
 
 
-def entities(spark: SparkSession, path: str) -> DataFrame:
-    """Entities of documents: doc, place (order in the file), name, value."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("doc"), F.from_json("value", "map<string,string>").alias("m"))
+def entities(spark: SparkSession, path: str, doc: str | None = None) -> DataFrame:
+    """Entities of documents: doc (see ``boxes``), place (order in the file), name, value."""
+    raw = spark.read.text(path, wholetext=True).select((F.col(doc) if doc else _stem()).alias("doc"), F.from_json("value", "map<string,string>").alias("m"))
     return raw.select("doc", F.posexplode(F.map_entries("m")).alias("place", "e")).select("doc", "place", F.col("e.key").alias("name"), F.col("e.value").alias("value"))
 
 
@@ -83,9 +92,32 @@ def save_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def _finite(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, DoubleType | FloatType):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[_finite(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share; on one machine alone a
+    temporary folder does where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir() + "/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def as_json(df: DataFrame, name: str = "response") -> DataFrame:
-    """One JSON document for each row; not-a-number and infinite values become null."""
-    clean = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    """One JSON document for each row; not-a-number and infinite values become null, however deep they lie."""
+    clean = [_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias(name))
 
 
