@@ -1,8 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-Shingles are five words; a shingle weighs its count in the text times a damped inverse document frequency. Document
-frequencies are counted over all documents in hashed counters of a fixed number, so the table that is broadcast has a
-fixed size. A sample of each text's weighted shingles agrees between two texts with the probability of their weighted
+Shingles are five words; a shingle weighs its count in the text times its inverse document frequency, from 1 (in every
+document) to 2 (in one). Document frequencies are counted over all documents in hashed counters of a fixed number, so
+the table that is broadcast has a fixed size; what a counter holds of other shingles on average is taken off, so rare
+shingles stay rare however many there are. A sample of each text's weighted shingles agrees between two texts with the probability of their weighted
 Jaccard similarity; samples are banded, texts that share a band are candidates, and the similarity of candidates is
 computed from the whole texts.
 
@@ -39,8 +40,9 @@ BANDS, BAND_ROWS, SEED = 12, 4, 23
 #: Of 48 samples, a pair at the threshold agrees in so few with probability 0.00003.
 LEAST_AGREEMENT = 26
 #: Counters of document frequencies, and how far they move a weight: from 1 (in every document) to 1 + ``IDF_GAIN``.
-#: A large group of copies makes its own shingles frequent; the damping keeps its members' similarity what it is.
-COUNTERS, IDF_GAIN = 1 << 20, 0.1
+#: A large group of near copies makes its own shingles frequent; weights that went on from there would take the similarity
+#: of its members below the threshold.
+COUNTERS, IDF_GAIN = 1 << 20, 1.0
 _COUNTER_BLOCK = 1 << 16
 _CHUNK = 1024
 
@@ -58,7 +60,10 @@ def counter(hashes: np.ndarray, counters: int) -> np.ndarray:
 
 
 def inverse_frequencies(frequencies: np.ndarray, docs: int, gain: float = IDF_GAIN) -> np.ndarray:
-    rare = np.log((1.0 + docs) / (1.0 + np.minimum(frequencies, docs))) / np.log(1.0 + max(docs, 1))
+    """Weights by counter. A counter's own shingle is taken to have what it holds beyond the mean of the others."""
+    beside = (frequencies.sum() - frequencies) / max(1, len(frequencies) - 1)
+    own = np.clip(np.round(frequencies - beside), 1, max(docs, 1))
+    rare = np.log((1.0 + docs) / (1.0 + own)) / np.log(1.0 + max(docs, 1))
     return (1.0 + gain * rare).astype(np.float32)
 
 
@@ -226,7 +231,7 @@ def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     that has most of the bucket."""
     held = members.select("band", "key", "node").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp"))
     counts = held.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-    return held.join(counts.where("comps > 1").drop("comps"), ["band", "key"])
+    return held.join(written(counts.where("comps > 1").drop("comps"), "mixed-buckets"), ["band", "key"])
 
 
 def by_band_leader(mixed: DataFrame) -> DataFrame:
@@ -313,7 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(signed.where("has_words").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sampled").alias("sampled")), "nodes")
 
     placed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = placed.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table, so that adaptive execution can split the join where a bucket is very large
+    buckets = written(placed.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = written(placed.join(buckets, ["band", "key"]).select("band", "key", "node", "leader"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "first_doc"), "node")
     texts = written(table.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("node", "text"), "texts")

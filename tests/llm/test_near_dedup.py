@@ -31,7 +31,7 @@ def _plain(text):
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def _brute(rows, gain=0.1):
+def _brute(rows, gain=near_dedup.IDF_GAIN):
     """Classes by all pairs, with exact document frequencies."""
     bags = [_plain(t) for _, t in rows]
     docs = sum(1 for b in bags if b)
@@ -78,7 +78,7 @@ def _corpus(rng, groups, most):
 
 @pytest.mark.parametrize("side", [256, 5])
 def test_classes_are_those_of_brute_force(spark, side):
-    rows = _corpus(random.Random(6), 60, 8)
+    rows = _corpus(random.Random(7), 60, 8)  # no pair lies at the threshold
     rows += [(9000, None), (9001, ""), (9002, " .. "), (9003, "one two"), (9004, "One, two!"), (9005, "one two three")]
     want, near = _brute(rows)
     assert sum(s >= 0.8 for s in near) > 100 and not any(abs(s - 0.8) < 1e-3 for s in near)
@@ -109,3 +109,16 @@ def test_frequencies_and_odd_rows(spark):
     assert {(r.class_id, r.class_size) for r in got} == {(0, 68), (1, 67), (2, 66), (500, 2), (501, 1), (502, 2)}
     assert sorted(r.doc_id for r in got if r.kept) == [0, 1, 2, 500, 501, 502]
     assert near_duplicates(docs.where("doc_id = -1")).count() == 0
+
+
+def test_rare_shingles_stay_rare_when_counters_fill_up():
+    rng = np.random.default_rng(4)
+    docs, counters = 100_000, 1 << 12
+    counts = rng.poisson(5000, counters)  # thousands of rare shingles in each
+    counts[:3] += [100_000, 30_000, 3000]
+    weights = inverse_frequencies(counts, docs)
+    exact = [1 + np.log((1 + docs) / (1 + f)) / np.log(1 + docs) for f in (100_000, 30_000, 3000)]
+    assert np.abs(weights[:3] - exact).max() < 0.02
+    assert np.median(weights[3:]) > 1.6 and weights.min() >= 1 and weights.max() <= 2
+    plain = inverse_frequencies(np.array([1, 2, 50] + [0] * 1000), 50)
+    assert plain.dtype == np.float32 and (np.diff(plain[:3]) < 0).all()
