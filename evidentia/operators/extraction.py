@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import partial_ratio
+from ..functions.similarity import partial_ratio, words_alike
 from ..functions.text import AMOUNT_CONTEXT, RECEIPT_AMOUNTS, RECEIPT_DATES, all_found, extraction_method, first_of, found, has_context, is_date, is_transaction_id, lines, receipt_status
 
 # Where an identifier is looked for, in this order.
@@ -129,36 +129,57 @@ def parse_receipts(df: DataFrame, text: str = "text", engine: str = "pytesseract
     return clean.withColumn("verification_status", receipt_status([F.col(c) for c in ("transaction_id", "amount", "date")])).withColumn("extraction_method", extraction_method(F.lit(engine), engine))
 
 
-def fuzzy_field(df: DataFrame, key: str, rows: str, field: str, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """(key, value): for each row the first value after a keyword that a line has or nearly has.
+def with_fuzzy_values(df: DataFrame, rows: str, fields: tuple[str, ...] = tuple(FUZZY_KEYWORDS), threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """Adds a column for each field (``_fuzzy_`` and its name): of an array of lines the first value after a keyword that a
+    line has or nearly has; null: none.
 
     Lines in order, keywords in order: a keyword that stands in the line gives what follows it there, and any keyword,
-    also one of which the line has something alike by ``threshold``, how the next line begins.
+    also one of which the line has something alike by ``threshold``, how the next line begins. All in one row: nothing is
+    exploded, shuffled or joined back, and only the shapes of lines go to Python, once for all fields.
     """
-    words = F.array(*map(F.lit, FUZZY_KEYWORDS[field]))
-    clean = df.select(key, F.filter(F.transform(rows, lambda x: F.trim(x)), lambda x: x != "").alias("_lines"))
-    each = clean.select(key, "_lines", F.posexplode("_lines").alias("line_no", "line")).select(key, "line_no", "line", F.get("_lines", F.col("line_no") + 1).alias("following"), F.posexplode(words).alias("word_no", "word"))
-    exact = each.withColumn("low", F.lower("line")).withColumn("stands", F.col("low").contains(F.col("word")))
-    # the similarity is asked for only where the keyword doesn't stand in the line; keywords have letters and blanks only,
-    # so all other characters of a line can be one and the same, and lines that differ in numbers are one comparison
-    shape = F.regexp_replace("low", "[^a-z ]", "0")
-    likely = exact.withColumn("alike", partial_ratio(F.when(~F.col("stands"), shape), F.col("word"), threshold)).where((F.col("stands")) | (F.col("alike") >= threshold))
-    after = F.regexp_replace(F.trim(F.substr(F.col("line"), F.call_function("locate", F.col("word"), F.col("low")) + F.length("word"))), r"^[:#\s\-]+", "")
-    pattern = FUZZY_VALUES[field]
-    begins = pattern.replace("(?i)(", "(?i)^(", 1) if pattern.startswith("(?i)") else "^" + pattern
-    both = F.array(F.struct(F.lit(0).alias("stage"), F.when(F.col("stands"), found(after, pattern)).alias("value")), F.struct(F.lit(1).alias("stage"), found(F.col("following"), begins).alias("value")))
-    tried = likely.select(key, "line_no", "word_no", F.inline(both))
-    if field == "transaction_id":
-        tried = tried.withColumn("value", F.upper("value")).where(is_transaction_id(F.col("value"), F.lit(None).cast("string")))
-    return tried.where("value is not null").groupBy(key).agg(F.min_by("value", F.struct("line_no", "word_no", "stage")).alias(field))
+    keywords = [word for field in fields for word in FUZZY_KEYWORDS[field]]
+    words = F.array(*map(F.lit, keywords))
+    clean = df.withColumn("_clean", F.filter(F.transform(rows, lambda x: F.trim(x)), lambda x: x != ""))
+    # keywords have letters and blanks only, so all other characters of a line can be one and the same
+    shapes = F.transform("_clean", lambda x: F.regexp_replace(F.lower(x), "[^a-z ]", "0"))
+    likely = clean.withColumn("_likely", words_alike(shapes, keywords, threshold))
+    following = F.slice("_clean", F.lit(2), F.size("_clean"))
+    pairs = F.filter(F.arrays_zip(F.col("_clean").alias("line"), following.alias("following"), F.col("_likely").alias("likely")), lambda x: F.size(x["likely"]) > 0)
+    paired = likely.withColumn("_pairs", pairs)
+
+    def value(field: str) -> Column:
+        first = sum(len(FUZZY_KEYWORDS[f]) for f in fields[: fields.index(field)])
+        pattern = FUZZY_VALUES[field]
+        begins = pattern.replace("(?i)(", "(?i)^(", 1) if pattern.startswith("(?i)") else "^" + pattern
+
+        def after(line: Column, word: Column) -> Column:
+            at = F.call_function("locate", word, F.lower(line))
+            rest = F.regexp_replace(F.trim(F.substr(line, at + F.length(word))), r"^[:#\s\-]+", "")
+            return F.when(at > 0, found(rest, pattern))
+
+        def of_line(x: Column) -> Column:
+            mine = F.filter(x["likely"], lambda n: (n >= first) & (n < first + len(FUZZY_KEYWORDS[field])))
+            return F.flatten(F.transform(mine, lambda n: F.array(after(x["line"], F.get(words, n)), found(x["following"], begins))))
+
+        tried = F.filter(F.flatten(F.transform("_pairs", of_line)), lambda x: x.isNotNull())
+        if field == "transaction_id":
+            tried = F.filter(F.array_distinct(F.transform(tried, lambda x: F.upper(x))), lambda x: is_transaction_id(x, F.lit(None).cast("string")))
+        return F.get(tried, F.lit(0))
+
+    return paired.withColumns({f"_fuzzy_{field}": value(field) for field in fields}).drop("_clean", "_likely", "_pairs")
+
+
+def fuzzy_field(df: DataFrame, key: str, rows: str, field: str, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(key, value): one field of ``with_fuzzy_values`` for each row that has it."""
+    fuzzy = with_fuzzy_values(df.select(key, rows), rows, (field,), threshold)
+    return fuzzy.select(key, F.col(f"_fuzzy_{field}").alias(field)).where(F.col(field).isNotNull())
 
 
 def parse_segments(df: DataFrame, key: str = "case_id", rows: str = "segments") -> DataFrame:
     """Fields of receipts whose OCR gave separate segments (an array of strings): patterns first, fuzzy keywords next."""
-    base = with_transaction_id(df.withColumn("_text", F.array_join(F.filter(rows, lambda x: F.trim(x) != ""), "\n")), "_text").select(key, F.col("transaction_id").alias("_by_rule"))
-    for field in FUZZY_KEYWORDS:
-        base = base.join(fuzzy_field(df, key, rows, field), key, "left")
-    return base.select(key, F.coalesce("_by_rule", "transaction_id").alias("transaction_id"), "amount", "date")
+    text = F.array_join(F.filter(rows, lambda x: F.trim(x) != ""), "\n")
+    parsed = with_fuzzy_values(with_transaction_id(df.select(key, rows, text.alias("_text")), "_text"), rows)
+    return parsed.select(key, F.coalesce("transaction_id", "_fuzzy_transaction_id").alias("transaction_id"), F.col("_fuzzy_amount").alias("amount"), F.col("_fuzzy_date").alias("date"))
 
 
 def parse_plain(df: DataFrame, text: str = "text") -> DataFrame:
