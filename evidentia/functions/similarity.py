@@ -7,7 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 
 def _chars(text: Column) -> Column:
@@ -61,19 +61,6 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def nearly(a: Column, b: Column, threshold: int) -> Column:
-    """``alike`` by batches: the table is computed bit-parallel, and only where places in common do not show the answer."""
-
-    @F.pandas_udf(BooleanType())
-    def reached(a: pd.Series, b: pd.Series) -> pd.Series:
-        known = {}
-        for x, y in set(zip(a, b, strict=True)):
-            known[x, y] = None if x is None or y is None else bool(x or y) and round(200.0 * _lcs(x, y) / (len(x) + len(y))) >= threshold
-        return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype=object)
-
-    return F.when(a == b, F.length(a) > 0).otherwise(reached(F.when(a != b, a), F.when(a != b, b)))
-
-
 def words_alike(texts: Column, words: list[str], threshold: float) -> Column:
     """For each string of an array the numbers of the words that stand in it or are alike to a stretch of it by
     ``threshold`` (``partial_ratio``), in order. Workers remember so many different strings."""
