@@ -20,6 +20,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .substring_dedup import repeated_spans
 from .token_count import count_tokens
+from .transducer import decode, encode
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), kind="sentence").withColumn("removed", F.array_join(spans, " "))
 
 
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and what they decode to, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumn("ids_sha256", F.sha2("ids", 256))
+    return decode(encoded, ranks).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -79,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_substring_dedup": op10_substring_dedup,
+        "op12_bpe_transducer": op12_bpe_transducer,
     }
 
 
