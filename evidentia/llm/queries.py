@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, exact_dedup, lm_scoring, mixing, substring_dedup
+from .alignment import align
 from .common import table
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_groups
@@ -75,6 +76,10 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encoded, ranks).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_substring_dedup": op10_substring_dedup,
         "op12_bpe_transducer": op12_bpe_transducer,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
