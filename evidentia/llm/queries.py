@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, lm_scoring, mixing, substring_dedup
+from . import embedding_dedup, exact_dedup, hard_negatives, lm_scoring, mixing, substring_dedup
 from .alignment import align
 from .common import table
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_groups
+from .hard_negatives import mine
 from .html_text import extract
 from .language import identify
 from .lm_scoring import score_documents
@@ -69,6 +70,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), kind="sentence").withColumn("removed", F.array_join(spans, " "))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mine(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and what they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_bpe_transducer": op12_bpe_transducer,
         "op13_token_alignment": op13_token_alignment,
     }
@@ -104,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_lm_scoring": lm_scoring.ORACLE_SQL,
         "op9_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     }
