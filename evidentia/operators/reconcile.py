@@ -5,39 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import alike, partial_ratio, positional_ratio
+from ..functions.similarity import partial_ratio, positional_ratio
+from ..sources.files import settled
+from .idmatch import alike_ids
 
 # Points and limits of the score.
 AMOUNT_POINTS, ID_POINTS, TIME_POINTS, ORDER_POINTS, RECEIVER_POINTS, BASE_POINTS = 40.0, 25.0, 15.0, 10.0, 15.0, 5.0
 NO_MAIL_PENALTY, LATE_CHAT_PENALTY, PARTIAL_MAIL_PENALTY = 55.0, 55.0, 20.0
 MAIL_KEYS = ("amount", "transaction_id", "timestamp")
 APPROVE_FROM, REVIEW_FROM, OCR_GATE, ID_THRESHOLD = 90, 50, 50, 80
-#: A receipt's id is cut into up to so many whole pieces of so many characters.
-PIECES, PIECE = 8, 3
 
 
 def match_mails(receipts: DataFrame, mails: DataFrame, sender: str, threshold: int = ID_THRESHOLD) -> DataFrame:
     """Adds ``mail`` (transaction_id, amount, timestamp) to each receipt (case_id, transaction_id, timestamp): of the
     sender's e-mails of the same day whose id is alike by ``threshold``, the latest, then that with the smallest id.
 
-    All three-letter strings of the e-mail's id meet the pieces of the receipt's in an equi-join on day and piece, so a day
-    with many payments is not a cross product. Each character that the receipt's id has besides the common ones spoils one
-    piece at most: ids are compared only where as many pieces are found as the threshold's errors leave, one at least.
+    Receipts are written and read again, so what they are made of is evaluated once. Equal ids of a day are compared once,
+    however many receipts or e-mails have them; receipts that repeat a case_id are matched each for itself. Receipts
+    without id or time, and e-mails without id, amount or time, match nothing.
     """
-    usable = mails.where((F.col("sender") == sender) & F.col("transaction_id").isNotNull() & F.col("amount").isNotNull())
-    strings = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("transaction_id") - PIECE + 1)), lambda i: F.substr(F.lower("transaction_id"), i, F.lit(PIECE)))
-    theirs = usable.select(F.col("id").alias("mail_id"), F.to_date("received").alias("day"), "received", F.struct("transaction_id", "amount", "timestamp").alias("mail"), F.explode(F.array_distinct(strings)).alias("piece"))
-    whole = F.least(F.lit(PIECES), F.floor(F.length("transaction_id") / PIECE)).cast("int")
-    pieces = F.transform(F.slice(F.sequence(F.lit(0), F.lit(PIECES - 1)), F.lit(1), whole), lambda i: F.substr(F.lower("transaction_id"), i * PIECE + 1, F.lit(PIECE)))
-    ours = receipts.where("transaction_id is not null and timestamp is not null").select("case_id", F.col("transaction_id").alias("own"), F.to_date("timestamp").alias("day"), whole.alias("whole"), F.explode(pieces).alias("piece"))
-    pairs = ours.join(theirs, ["day", "piece"]).groupBy("case_id", "mail_id").agg(F.first("own").alias("own"), F.first("whole").alias("whole"), F.count(F.lit(1)).alias("found"), F.first("received").alias("received"), F.first("mail").alias("mail"))
-    size = F.length("own")
-    errors = F.floor(size - (threshold - 0.5) / 200 * (size + F.length("mail.transaction_id")))
-    pairs = pairs.where(F.col("found") >= F.greatest(F.lit(1), F.col("whole") - errors))
-    near = pairs.where(alike(F.lower("own"), F.lower(F.col("mail.transaction_id")), threshold))
-    first = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("received"), "mail_id"))
-    best = near.withColumn("_n", first).where("_n = 1").select("case_id", "mail")
-    return receipts.join(best, "case_id", "left")
+    ours = settled(receipts, "receipts")
+    usable = mails.where((F.col("sender") == sender) & F.col("transaction_id").isNotNull() & F.col("amount").isNotNull() & F.col("received").isNotNull())
+    place = F.struct((-F.unix_micros(F.col("received").cast("timestamp"))).alias("before"), F.col("id").alias("mail_id"))
+    latest = usable.select(F.to_date("received").alias("day"), F.lower("transaction_id").alias("id"), place.alias("place"), F.struct("transaction_id", "amount", "timestamp").alias("mail"))
+    theirs = settled(latest.groupBy("day", "id").agg(F.min("place").alias("place"), F.min_by("mail", "place").alias("mail")).withColumn("n", F.monotonically_increasing_id()), "mails")
+    own = [F.to_date("timestamp").alias("day"), F.lower("transaction_id").alias("id")]
+    different = settled(ours.select(*own).where("day is not null and id is not null").distinct().withColumn("n", F.monotonically_increasing_id()), "ids")
+    pairs = alike_ids(different, theirs.select("n", "day", "id"), threshold)
+    found = pairs.join(theirs.select(F.col("n").alias("r"), "place", "mail"), "r").groupBy("l").agg(F.min_by("mail", "place").alias("mail"))
+    best = different.join(found.withColumnRenamed("l", "n"), "n").select(F.col("day").alias("_day"), F.col("id").alias("_id"), "mail")
+    return ours.join(best, (own[0] == F.col("_day")) & (own[1] == F.col("_id")), "left").drop("_day", "_id")
 
 
 def _minutes(later: Column, earlier: Column) -> Column:

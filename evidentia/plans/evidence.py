@@ -52,7 +52,8 @@ MATCHED = f"""{DIGITAL}, m as (
     select *, (case_id // 10) % 10 as e, j <> 2 and (case_id // 10) % 10 not in (0, 3, 7) and not (j = 3 and (case_id // 10) % 10 = 2) as hit from x
 ), w as (
     select *,
-        case when not hit then null when e = 2 then substr(tid, 1, 1) || 'x' || substr(tid, 3, 6) || 'x' || substr(tid, 10, 6) || 'x' || substr(tid, 17) else tid end as mail_id,
+        case when not hit then null when e = 2 then substr(tid, 1, 1) || 'x' || substr(tid, 3, 6) || 'x' || substr(tid, 10, 6) || 'x' || substr(tid, 17)
+            when e = 8 then substr(tid, 1, 4) || substr(tid, 6, 4) || 'x' || substr(tid, 10, 7) || substr(tid, 18, 4) || 'z' || substr(tid, 22) else tid end as mail_id,
         case when hit then rupees + case when e = 1 then 10 else 0 end end as mail_amount,
         case when hit and e <> 6 then paid_at + to_minutes(case e when 4 then 10 when 5 then 40 else 2 end) end as mail_time
     from m
@@ -68,12 +69,12 @@ VERDICTS = f"""{MATCHED}, h as (
             else said end as chat_time
     from h
 ), p as (
-    select *, coalesce(mail_amount, nullif(amount, 0)) as paid, epoch(coalesce(mail_time, timestamp)) / 60 - epoch(chat_time) / 60 as after from w join t on case_id = hid
+    select *, list_sum(list_transform(range(1, 25), lambda i: (substr(mail_id, i, 1) = substr(tid, i, 1) and i <= case when j = 3 then 20 else 24 end)::int)) / 24.0 as places, coalesce(mail_amount, nullif(amount, 0)) as paid, epoch(coalesce(mail_time, timestamp)) / 60 - epoch(chat_time) / 60 as after from w join t on case_id = hid
 ), s as (
     select *, case when ocr_score < 50 then 'unreadable' when chat_amount is null then 'no_chat_amount' when timestamp is null then 'no_timestamp' end as reject_reason,
         0.5 * ocr_score + 5
         + case when paid is null then 0 when paid = chat_amount then 40 else -least(40, abs(chat_amount - paid)) end
-        + case when not hit then 0 when j = 3 then -25 * (1 - 20 / 24.0) when e = 2 then -25 * 0.125 else 25 end
+        + case when not hit then 0 when places > 0.95 then 25 else -25 * (1 - places) end
         + case when mail_time is null then 0 when e = 4 then 7.5 when e = 5 then -15 else 15 end
         + case when after is null then 0 when after >= -15 then 10 else -55 end
         + case when receiver is null then 0 when receiver = 'zzz' then -15 else 15 end
@@ -186,7 +187,8 @@ MAILS = f"""{CASES}, ms as (
     from c where (case_id // 10) % 10 <> 0
 ), mm as (
     select *, case e when 2 then substr(tid, 1, 1) || 'x' || substr(tid, 3, 6) || 'x' || substr(tid, 10, 6) || 'x' || substr(tid, 17)
-        when 3 then substr(tid, 1, 1) || 'x' || substr(tid, 3, 3) || 'x' || substr(tid, 7, 3) || 'x' || substr(tid, 11, 3) || 'x' || substr(tid, 15, 3) || 'x' || substr(tid, 19, 3) || 'x' || substr(tid, 23) else tid end as transaction_id
+        when 3 then substr(tid, 1, 1) || 'x' || substr(tid, 3, 3) || 'x' || substr(tid, 7, 3) || 'x' || substr(tid, 11, 3) || 'x' || substr(tid, 15, 3) || 'x' || substr(tid, 19, 3) || 'x' || substr(tid, 23)
+        when 8 then substr(tid, 1, 4) || substr(tid, 6, 4) || 'x' || substr(tid, 10, 7) || substr(tid, 18, 4) || 'z' || substr(tid, 22) else tid end as transaction_id
     from ms
 )"""
 

@@ -115,6 +115,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what reads them again does not make them again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_json(df: DataFrame, name: str = "response") -> DataFrame:
     """One JSON document for each row; not-a-number and infinite values become null, however deep they lie."""
     clean = [_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]

@@ -107,3 +107,12 @@ def test_mails_are_those_of_all_pairs(spark):
         near = [m for m in mails if m[1] == "bank" and m[4] and m[2].date() == at.date() and round(200 * _lcs(tid, m[3].lower()) / (len(tid) + len(m[3]))) >= 80]
         assert got[n] == (max(near, key=lambda m: m[2])[3] if near else None)
     assert len(got) == 40 and sum(v is not None for v in got.values()) > 10
+
+
+def test_receipts_that_share_a_case_are_matched_each_for_itself(spark):
+    other = "fedcba9876543210fedcba98"
+    left = spark.createDataFrame([(1, TID, NOON), (1, other, NOON), (2, None, NOON), (3, TID, None), (4, TID, NOON)], "case_id long, transaction_id string, timestamp timestamp")
+    mails = [("m1", "bank", minutes(1), TID, 5, NOON), ("m2", "bank", minutes(2), other.upper(), 6, None), ("m3", "bank", minutes(1), TID, 7, NOON), ("m4", "bank", None, TID, 8, NOON)]
+    right = spark.createDataFrame(mails, "id string, sender string, received timestamp, transaction_id string, amount long, timestamp timestamp")
+    got = sorted((r.case_id, str(r.transaction_id), r.mail and r.mail.amount) for r in reconcile.match_mails(left, right, "bank").collect())
+    assert got == [(1, TID, 5), (1, other, 6), (2, "None", None), (3, TID, None), (4, TID, 5)]
