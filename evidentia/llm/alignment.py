@@ -12,21 +12,21 @@ task, so only pairs that few documents have are shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, only, remembered, written
-from .tokens import CACHE_ENTRIES, PreTokens, byte_letters
+from .tokens import PreTokens, byte_letters
 
 #: Pairs that are broadcast, at most.
 FREQUENT = 1 << 18
-#: Units of more characters are not remembered.
-UNIT_CHARS = 48
+#: Units that a worker remembers, in all; units of more characters are not remembered.
+UNITS, UNIT_CHARS = 480_000, 48
 
 
 class _Plain(PreTokens):
@@ -38,10 +38,13 @@ class _Plain(PreTokens):
 
 def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
     """Slices (a from, a to, b from, b to) between the ends that both rows of tokens have."""
-    in_a = {end: i for i, end in enumerate(a_ends, 1)}
-    in_b = {end: j for j, end in enumerate(b_ends, 1)}
-    cuts = [(in_a[end], in_b[end]) for end in sorted(in_a.keys() & in_b.keys())]
-    return [(i, to_i, j, to_j) for (i, j), (to_i, to_j) in zip([(0, 0), *cuts], cuts, strict=False)]
+    in_a, in_b = dict(zip(a_ends, count(1))), dict(zip(b_ends, count(1)))  # noqa: B905
+    cuts, i, j = [], 0, 0
+    for end in sorted(in_a.keys() & in_b.keys()):
+        to_i, to_j = in_a[end], in_b[end]
+        cuts.append((i, to_i, j, to_j))
+        i, j = to_i, to_j
+    return cuts
 
 
 def links(a_ends: list[int], b_ends: list[int], cut: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
@@ -60,11 +63,9 @@ class Unit:
 
     __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs")
 
-    def __init__(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], span: int):
-        cuts = groups(a_ends, b_ends)
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(cuts)
-        self.text = ";".join([f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}" for i, to_i, j, to_j in cuts])
-        self.pairs = [a[i] * span + b[j] for cut in cuts for i, j in links(a_ends, b_ends, cut)]
+    def __init__(self, n_a: int, n_b: int, shown: list[str], pairs: list[int]):
+        self.n_a, self.n_b, self.n_groups = n_a, n_b, len(shown)
+        self.text, self.pairs = ";".join(shown), pairs
 
 
 class Aligner:
@@ -74,7 +75,7 @@ class Aligner:
     #: What the model joins to nothing, so that a unit can be encoded after it as it is within a text.
     APART = "\n"
 
-    def __init__(self, a_path: str, b_path: str, cache: int = CACHE_ENTRIES):
+    def __init__(self, a_path: str, b_path: str, cache: int = UNITS):
         import sentencepiece
 
         self.a, self.b = _Plain(a_path, "byte"), sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -86,6 +87,8 @@ class Aligner:
         self.near = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.before = self.b.encode(self.APART)
         self.by_units = not any(self.APART in p for p in pieces) and b"".join(self.b_bytes[i] for i in self.before) == b" " + self.APART.encode()
+        self.a_size, self.b_size = {i: len(x) for i, x in self.a_bytes.items()}, list(map(len, self.b_bytes))
+        self.a_shown, self.b_shown = {i: str(i) for i in self.a_bytes}, [str(i) for i in range(self.span)]
         self.half, self.old, self.new = max(1, cache // 2), {}, {}
 
     def _piece(self, i: int) -> bytes:
@@ -123,16 +126,43 @@ class Aligner:
             return found
         texts = ["".join(key) for key in missing]
         rows = self.b.encode([self.APART + t for t in texts] if self.by_units else [t[1:] for t in texts], num_threads=1)
-        for key, text, b in zip(missing, texts, rows, strict=True):
-            a = [t.id for word in ([key] if isinstance(key, str) else key) for t in self.a._word(word)]
-            b = b[len(self.before) :] if self.by_units else b
-            a_bytes, b_bytes, whole = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], text.encode()
-            same = b"".join(a_bytes) == whole == b"".join(b_bytes)
-            unit = found[key] = Unit(a, b, list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes))), self.span) if same else None
+        a = [[t.id for t in self.a._word(key)] if isinstance(key, str) else [t.id for word in key for t in self.a._word(word)] for key in missing]
+        b = [row[len(self.before) :] for row in rows] if self.by_units else rows
+        made = self._made(texts, a, b) or [(self._made([t], [i], [j]) or [None])[0] for t, i, j in zip(texts, a, b, strict=True)]
+        for key, text, unit in zip(missing, texts, made, strict=True):
+            found[key] = unit
             if len(text) <= UNIT_CHARS:
                 self._keep(key, unit)
         return found
 
+    def _made(self, texts: list[str], a_rows: list[list[int]], b_rows: list[list[int]]) -> list[Unit] | None:
+        """Units of a row of texts, which are aligned as one; None if the tokens of any do not give its bytes back."""
+        a, b = list(chain.from_iterable(a_rows)), list(chain.from_iterable(b_rows))
+        whole = [t.encode() for t in texts]
+        if not b"".join([self.a_bytes[i] for i in a]) == b"".join(whole) == b"".join([self.b_bytes[i] for i in b]):
+            return None
+        a_ends, b_ends = list(accumulate([self.a_size[i] for i in a])), list(accumulate([self.b_size[i] for i in b]))
+        ends = list(accumulate(map(len, whole)))
+        cuts, a_shown, b_shown, span = groups(a_ends, b_ends), [self.a_shown[i] for i in a], [self.b_shown[i] for i in b], self.span
+        units, shown, pairs, unit, from_a, from_b = [], [], [], 0, 0, 0
+        for cut in cuts:
+            i, to_i, j, to_j = cut
+            if to_i - i == 1:
+                shown.append(f"{a_shown[i]}|{b_shown[j]}" if to_j - j == 1 else f"{a_shown[i]}|{','.join(b_shown[j:to_j])}")
+                pairs += [a[i] * span + x for x in b[j:to_j]]
+            elif to_j - j == 1:
+                shown.append(f"{','.join(a_shown[i:to_i])}|{b_shown[j]}")
+                pairs += [x * span + b[j] for x in a[i:to_i]]
+            else:
+                shown.append(f"{','.join(a_shown[i:to_i])}|{','.join(b_shown[j:to_j])}")
+                pairs += [a[x] * span + b[y] for x, y in links(a_ends, b_ends, cut)]
+            if a_ends[to_i - 1] >= ends[unit]:
+                if a_ends[to_i - 1] != ends[unit]:
+                    return None
+                units.append(Unit(to_i - from_a, to_j - from_b, shown, pairs))
+                shown, pairs, unit, from_a, from_b = [], [], unit + 1, to_i, to_j
+        return units
+
     def _keep(self, key, unit: Unit | None) -> None:
         if len(self.new) >= self.half:
             self.old, self.new = self.new, {}
@@ -163,17 +193,16 @@ def aligned(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: s
         if not found:
             return 0, 0, 0, 0, "", [], []
         units, times, known = found
-        n_a = n_b = n_groups = n_links = 0
-        pairs: dict[int, int] = {}
+        n_a = n_b = n_groups = 0
+        pairs: defaultdict[int, int] = defaultdict(int)
         for key, n in times.items():
             unit = known[key]
             n_a += n * unit.n_a
             n_b += n * unit.n_b
             n_groups += n * unit.n_groups
-            n_links += n * len(unit.pairs)
             for pair in unit.pairs:
-                pairs[pair] = pairs.get(pair, 0) + n
-        return n_a, n_b, n_groups, n_links, ";".join([known[u].text for u in units]), list(pairs), list(pairs.values())
+                pairs[pair] += n
+        return n_a, n_b, n_groups, sum(pairs.values()), ";".join([known[u].text for u in units]), list(pairs), list(pairs.values())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = remembered(("alignment", a, b), lambda: Aligner(a, b))
