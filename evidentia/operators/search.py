@@ -7,6 +7,7 @@ which multiplies two small matrices and sends on the k best of each query. A win
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, percent
+from ..sources.files import settled
 
 #: Rows of a side of a block.
 CHUNK = 4096
@@ -32,21 +34,33 @@ def _chunked(df: DataFrame, group: str, key: str, name: str, chunk: int) -> Data
     return joined.withColumn(name, F.pmod(F.xxhash64(key), f"{name}_chunks").cast("int"))
 
 
+def _dealt(queries: DataFrame, items: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``q`` and ``i``, the numbers of the chunks that meet: of all rows, which are counted once, or within
+    each ``grp`` where there is one."""
+    if "grp" not in queries.columns:
+        n_q, n_i = (max(1, -(-df.count() // chunk)) for df in (queries.select("query_id"), items.select("filename")))
+        everyone = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        return queries.withColumn("q", own("query_id", n_q)).withColumn("i", everyone(n_i)), items.withColumn("i", own("filename", n_i)).withColumn("q", everyone(n_q))
+    q, i = _chunked(queries, "grp", "query_id", "q", chunk), _chunked(items, "grp", "filename", "i", chunk)
+    i_chunks = i.groupBy("grp").agg(F.max("i_chunks").alias("_ic")).withColumnRenamed("grp", "_g")
+    q_chunks = q.groupBy("grp").agg(F.max("q_chunks").alias("_qc")).withColumnRenamed("grp", "_g")
+    q = q.join(i_chunks, F.col("grp").eqNullSafe(F.col("_g"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_ic") - 1))).drop("_g", "_ic", "q_chunks")
+    return q, i.join(q_chunks, F.col("grp").eqNullSafe(F.col("_g"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_qc") - 1))).drop("_g", "_qc", "i_chunks")
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, weights: dict[str, float], chunk: int = CHUNK) -> DataFrame:
-    """The ``k`` best items for each query of the same ``grp``.
+    """The ``k`` best items for each query, of the same ``grp`` where both sides have that column.
 
-    ``queries``: query_id, grp and the vectors that ``weights`` names; ``items``: filename, grp and the same vectors.
-    Gives query_id, filename, score (the weighted sum of dot products), one column ``<vector>_sim`` for each, and
-    rank_no; ties go to the smaller filename. Vectors that are null or of another length match nothing.
+    ``queries``: query_id and the vectors that ``weights`` names; ``items``: filename and the same vectors. Gives query_id,
+    filename, score (the weighted sum of dot products), one column ``<vector>_sim`` for each, and rank_no; ties go to the
+    smaller filename. Vectors that are null or of another length match nothing.
     """
     names = list(weights)
     sims = [f"{n}_sim" for n in names]
-    q = _chunked(queries.select("query_id", "grp", *names).dropna(subset=["query_id", *names]), "grp", "query_id", "q", chunk)
-    i = _chunked(items.select("filename", "grp", *names).dropna(subset=["filename", *names]), "grp", "filename", "i", chunk)
-    i_chunks = i.groupBy("grp").agg(F.max("i_chunks").alias("_ic")).withColumnRenamed("grp", "_g")
-    q_chunks = q.groupBy("grp").agg(F.max("q_chunks").alias("_qc")).withColumnRenamed("grp", "_g")
-    q = q.join(i_chunks, F.col("grp").eqNullSafe(F.col("_g"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_ic") - 1))).select("grp", "q", "i", "query_id", *names)
-    i = i.join(q_chunks, F.col("grp").eqNullSafe(F.col("_g"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_qc") - 1))).select("grp", "q", "i", "filename", *names)
+    grp = ["grp"] if "grp" in queries.columns and "grp" in items.columns else []
+    q, i = _dealt(queries.select("query_id", *grp, *names).dropna(subset=["query_id", *names]), items.select("filename", *grp, *names).dropna(subset=["filename", *names]), chunk)
+    block_of = [*grp, "q", "i"]
     id_type, file_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)["filename"]
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -66,7 +80,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, weights: dict[str, flo
         return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "filename": right["filename"].to_numpy()[cols], "score": score[rows, cols], **{s: e[rows, cols] for s, e in zip(sims, each, strict=True)}})
 
     schema = f"query_id {id_type}, filename {file_type}, score double, " + ", ".join(f"{s} double" for s in sims)
-    found = q.groupBy("grp", "q", "i").cogroup(i.groupBy("grp", "q", "i")).applyInPandas(block, schema)
+    found = q.groupBy(*block_of).cogroup(i.groupBy(*block_of)).applyInPandas(block, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "filename"))
     return found.withColumn("rank_no", rank).where(F.col("rank_no") <= k)
 
@@ -94,7 +108,7 @@ def hybrid(queries: DataFrame, items: DataFrame, k: int, clip: float = 0.5, visu
 
 def everywhere(queries: DataFrame, items: DataFrame, k: int, reason: str | None = None) -> DataFrame:
     """The ``k`` best of all categories by the first vector, then one of each source: possibly fewer than ``k``."""
-    found = nearest(queries.withColumn("grp", F.lit("*")), items.withColumn("grp", F.lit("*")), k, {"clip": 1.0})
+    found = nearest(queries.drop("grp"), items.drop("grp"), k, {"clip": 1.0})
     named = found.join(items.select("filename", "source_file", "category"), "filename").withColumn("name", F.coalesce("source_file", "filename"))
     best = F.row_number().over(Window.partitionBy("query_id", "name").orderBy("rank_no"))
     one = named.withColumn("_n", best).where("_n = 1").withColumn("rank_no", F.row_number().over(Window.partitionBy("query_id").orderBy("rank_no")))
@@ -112,7 +126,8 @@ def routed(queries: DataFrame, items: DataFrame, k: int, clip: float = 0.5, visu
     named = queries.withColumn("by_user", user.isNotNull()).withColumn("category", F.coalesce(user, "predicted")).join(stock, F.col("category") == F.col("_stock"), "left")
     there = F.col("_stock").isNotNull()
     way = F.when(there, "category").when(F.col("by_user"), "none").otherwise("everywhere")
-    sent = named.withColumn("way", way)
+    # a row for each query, read by both branches and the status
+    sent = settled(named.withColumn("way", way), "queries")
     status = F.when(F.col("way") == "none", "no_matches").when(~F.col("by_user") & (F.col("predicted") == UNKNOWN), "needs_confirmation").otherwise("success")
     near = hybrid(sent.where("way = 'category'"), items, k, clip, visual).withColumn("reason", F.lit(None).cast("string"))
     far = everywhere(sent.where("way = 'everywhere'"), items, k, "smart_fallback_clip")
@@ -149,16 +164,16 @@ def rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("query_id", "filename").agg(F.round(F.sum(1.0 / (k + F.col("rank_no"))), 8).alias("score"))
 
 
-def with_cells(items: DataFrame, most: int = 100, seed: int = 3, fit_rows: int = 100_000) -> tuple[DataFrame, np.ndarray]:
+def with_cells(items: DataFrame, most: int | None = None, seed: int = 3, fit_rows: int = 100_000) -> tuple[DataFrame, np.ndarray]:
     """Items with the coarse cell that each vector is nearest to, and the cells' centres: k-means fitted on at most
-    ``fit_rows`` items, all items assigned."""
+    ``fit_rows`` items, all items assigned. There are as many cells as the root of the number of items, or ``most``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     usable = items.where("clip is not null")
     n = usable.count()
     fit = usable if n <= fit_rows else usable.orderBy(F.xxhash64("filename", F.lit(seed))).limit(fit_rows)
-    model = KMeans(k=max(2, min(most, n // 39)), seed=seed, featuresCol="_v").fit(fit.select(array_to_vector(F.col("clip").cast("array<double>")).alias("_v")))
+    model = KMeans(k=max(2, min(most or math.isqrt(n), n // 39)), seed=seed, featuresCol="_v").fit(fit.select(array_to_vector(F.col("clip").cast("array<double>")).alias("_v")))
     placed = model.transform(usable.withColumn("_v", array_to_vector(F.col("clip").cast("array<double>")))).withColumnRenamed("prediction", "cell").drop("_v")
     return placed, np.array(model.clusterCenters())
 

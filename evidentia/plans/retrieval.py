@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2, norm, percent, unit
-from ..operators import catalog, evaluate, imaging, quality, search
+from ..operators import catalog, evaluate, imaging, pq, quality, search
 from ..sources import derived, files
 
 #: A confidence below this is no label: the vocabulary here has 30 templates, so chance is 0.033.
@@ -35,8 +35,9 @@ select query_id, filename, rank_no::int as rank_no, score{extra} from t where ra
 
 def _weighted(spark: SparkSession, d: str, k: int, weights: dict[str, float], by_category: bool) -> DataFrame:
     q, i = derived.queries(spark, d), derived.inventory(spark, d)
-    grp = F.col("category") if by_category else F.lit("*")
-    found = search.nearest(q.withColumn("grp", grp), i.withColumn("grp", grp), k, weights)
+    if by_category:
+        q, i = q.withColumn("grp", F.col("category")), i.withColumn("grp", F.col("category"))
+    found = search.nearest(q, i, k, weights)
     return found.select("query_id", "filename", "rank_no", "score")
 
 
@@ -136,7 +137,7 @@ def search_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    q, i = derived.queries(spark, d).withColumn("grp", F.lit("*")), derived.inventory(spark, d).withColumn("grp", F.lit("*"))
+    q, i = derived.queries(spark, d), derived.inventory(spark, d)
     cross = q.withColumn("clip", F.reverse("clip"))
     return search.rank_fusion([search.nearest(q, i, 10, {"clip": 1.0}), search.nearest(cross, i, 10, {"clip": 1.0})])
 
@@ -152,6 +153,13 @@ def ivf_search(spark: SparkSession, d: str) -> DataFrame:
     return search.probed(derived.queries(spark, d), placed, centres, 5).select("query_id", "filename", "rank_no", "score")
 
 
+def ivfpq_search(spark: SparkSession, d: str) -> DataFrame:
+    """The compressed index written and read again; all that its error bounds leave open is scored from the vectors."""
+    items = derived.inventory(spark, d)
+    index, quantiser = pq.build(items)
+    return pq.search(derived.queries(spark, d), items, files.settled(index, "codes"), quantiser, 5)
+
+
 def ratio_test_matches(spark: SparkSession, d: str) -> DataFrame:
     asked = derived.queries(spark, d).select(F.floor(F.col("query_id") / 100).alias("query_id"), F.col("query_id").alias("descriptor"), "clip")
     held = derived.inventory(spark, d).select((F.col("vec_id") % 10).alias("image"), F.col("vec_id").alias("descriptor"), "clip")
@@ -208,7 +216,7 @@ def sample_inventory(spark: SparkSession, d: str) -> DataFrame:
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """Searches with the vector reversed: where does the query's own item come?"""
     q, i = derived.queries(spark, d), derived.inventory(spark, d)
-    found = search.nearest(q.withColumn("clip", F.reverse("clip")).withColumn("grp", F.lit("*")), i.withColumn("grp", F.lit("*")), 10, {"clip": 1.0})
+    found = search.nearest(q.withColumn("clip", F.reverse("clip")), i, 10, {"clip": 1.0})
     own = found.where(F.col("filename") == F.concat(F.col("query_id").cast("string"), F.lit(".jpg"))).select("query_id", "rank_no")
     said = _labelled(spark, d).select("query_id", F.col("label").alias("pred_label"))
     return q.join(own, "query_id", "left").join(said, "query_id", "left").select("query_id", "rank_no", F.col("category").alias("true_label"), "pred_label", ((F.col("query_id") % 7) * 1.5).alias("latency_ms"))
@@ -334,7 +342,8 @@ QUERIES = {
     "hybrid_search_routed": (hybrid_search_routed, ROUTED + " select query_id, rank_no::int as rank_no, filename, score, clip_sim, visual_sim, category, reason from near where rank_no <= 5 union all select query_id, rank_no::int, filename, score, clip_sim, visual_sim, category, reason from far"),
     "search_status": (search_status, ROUTED + " select query_id, case when way = 'none' then 'no_matches' when not by_user and cat = 'unknown' then 'needs_confirmation' else 'success' end as status, cat as category_used, confidence, way from way"),
     "rrf_fusion": (rrf_fusion, RRF),
-    "ivf_search": (ivf_search, None),
+    "ivf_search": (ivf_search, _topk_sql("clip_sim", 5)),
+    "ivfpq_search": (ivfpq_search, _topk_sql("clip_sim", 5)),
     "ratio_test_matches": (ratio_test_matches, RATIO),
     "vector_math": (vector_math, f"with {ITEMS} select vec_id, round(list_dot_product(clip, visual), 6) as dot, round(sqrt(list_dot_product(clip, clip)), 6) as norm, round(list_distance(clip, visual), 6) as l2, round(clip[1] / sqrt(list_dot_product(clip, clip)), 6) as unit_first from i"),
     "category_availability": (category_availability, "with w as (select distinct 'cat' || (p_size % 15)::varchar as category from part) select category, category in (select 'cat' || label::varchar from embeddings) as in_stock from w"),
