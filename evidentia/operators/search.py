@@ -225,28 +225,51 @@ def good_matches(descriptors: DataFrame, against: DataFrame, share: float = 0.7,
     """Lowe's ratio test: for descriptors (query_id, descriptor, clip) and images (image, descriptor, clip) how many of a
     query's descriptors have a nearest neighbour in the image closer than ``share`` of the second nearest.
 
-    An image's descriptors are one row, queries come in blocks of ``chunk`` descriptors, and every block meets every
-    image in a join on the block's number. An image of one descriptor has no good match. Vectors are of unit length.
+    Queries come in blocks of ``chunk`` descriptors, images in parts of as many, and every block meets every part in a join on
+    the block's number. The two best of a descriptor are counted where an image is one part, and brought together first
+    where it is several. An image of one descriptor has no good match. Vectors are of unit length.
     """
-    n = descriptors.count()
-    blocks = max(1, -(-n // chunk))
-    asked = descriptors.select(F.pmod(F.xxhash64("query_id", "descriptor"), F.lit(blocks)).alias("q"), F.struct("query_id", "clip").alias("d")).groupBy("q").agg(F.collect_list("d").alias("asked"))
-    images = against.groupBy("image").agg(F.collect_list("clip").alias("held")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    blocks = max(1, -(-descriptors.count() // chunk))
+    asked = descriptors.select(F.pmod(F.xxhash64("query_id", "descriptor"), F.lit(blocks)).alias("q"), F.struct("query_id", "descriptor", "clip").alias("d")).groupBy("q").agg(F.collect_list("d").alias("asked"))
+    sizes = against.groupBy(F.col("image").alias("_image")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    parted = against.join(sizes, F.col("image").eqNullSafe(F.col("_image"))).withColumn("part", F.pmod(F.xxhash64("descriptor" if "descriptor" in against.columns else "clip"), "parts"))
+    images = parted.groupBy("image", "parts", "part").agg(F.collect_list("clip").alias("held")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    types = dict(descriptors.dtypes), dict(against.dtypes)
+    names = ["query_id", "image", "descriptor", "good", "best"]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 held, vectors = np.stack(row.held).astype(float), np.stack([d["clip"] for d in row.asked]).astype(float)
-                good = np.zeros(len(vectors), bool)
-                if len(held) > 1:
-                    sims = np.sort(np.round(vectors @ held.T, DIGITS), axis=1)[:, ::-1]
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * sims[:, :2]))
-                    good = apart[:, 0] < share * apart[:, 1]
-                yield pd.DataFrame({"query_id": [d["query_id"] for d in row.asked], "image": row.image, "good": good.astype(np.int64)})
-
-    types = dict(descriptors.dtypes), dict(against.dtypes)
-    counted = images.join(asked, "q").select("image", "held", "asked").mapInPandas(task, f"query_id {types[0]['query_id']}, image {types[1]['image']}, good long")
-    return counted.groupBy("query_id", "image").agg(F.sum("good").alias("good"))
+                sims = np.round(vectors @ held.T, DIGITS)
+                best = -np.sort(-sims, axis=1)[:, :2]
+                found = pd.DataFrame({"query_id": [d["query_id"] for d in row.asked], "image": row.image, "descriptor": [d["descriptor"] for d in row.asked]})
+                if row.parts == 1:
+                    found["good"] = _apart(best, share)
+                    found = found.groupby("query_id", as_index=False, dropna=False).agg({"image": "first", "good": "sum"})
+                    found = found.assign(descriptor=None, best=None)
+                else:
+                    found = found.assign(good=None, best=list(best))
+                yield found[names]
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [int(_apart(-np.sort(-np.asarray(b, float))[None, :2], share)[0]) for b in batch["best"]]
+            yield pd.DataFrame({"query_id": batch["query_id"], "image": batch["image"], "good": good})
+
+    ids = f"query_id {types[0]['query_id']}, image {types[1]['image']}"
+    counted = images.join(asked, "q").select("image", "parts", "held", "asked").mapInPandas(task, f"{ids}, descriptor {types[0]['descriptor']}, good long, best array<double>")
+    several = counted.where("best is not null").groupBy("query_id", "image", "descriptor").agg(F.flatten(F.collect_list("best")).alias("best")).select("query_id", "image", "best")
+    every = counted.where("best is null").select("query_id", "image", "good").unionByName(several.mapInPandas(settle, f"{ids}, good long"))
+    return every.groupBy("query_id", "image").agg(F.sum("good").alias("good"))
+
+
+def _apart(best: np.ndarray, share: float) -> np.ndarray:
+    """Whether the first of the two best similarities is closer than ``share`` of the second's distance."""
+    if best.shape[1] < 2:
+        return np.zeros(len(best), np.int64)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * best))
+    return (apart[:, 0] < share * apart[:, 1]).astype(np.int64)
 
 
 def category_cells(items: DataFrame, most: int = 100, flat_below: int = 100, fit_rows: int = 10_000, rounds: int = 10, seed: int = 3) -> DataFrame:

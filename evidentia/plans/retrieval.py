@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2, norm, percent, unit
-from ..operators import catalog, evaluate, imaging, pq, quality, search
+from ..operators import catalog, evaluate, imaging, keypoints, pq, quality, search
 from ..sources import derived, files
 
 #: A confidence below this is no label: the vocabulary here has 30 templates, so chance is 0.033.
@@ -175,6 +175,23 @@ g as (select query_id, image, count(*) filter (d1 < 0.7 * d2) as good from p gro
 select query_id, image, good, rank_no::int as rank_no from (select *, row_number() over (partition by query_id order by good desc, image) as rank_no from g) where rank_no <= 3"""
 
 
+def keypoint_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Images turned by a quarter and brightened, against all images by their keypoints' descriptors: the three with most good
+    matches. Descriptors are found once."""
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [imaging.byte(np.rot90(imaging.decode(r.data, r.height, r.width, r.channels)) * 0.9 + 12) for r in batch.itertuples(index=False)]
+            yield batch.assign(data=[m.tobytes() for m in made])
+
+    images = _images(spark, d, 32)
+    held = files.settled(keypoints.with_keypoints(images, "vec_id").select(F.col("vec_id").alias("image"), "descriptor", "clip"), "keypoints")
+    turned = images.where("vec_id % 20 = 0").mapInPandas(turn, images.schema)
+    asked = files.settled(keypoints.with_keypoints(turned, "vec_id").select(F.col("vec_id").alias("query_id"), "descriptor", "clip"), "asked")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("good"), "image"))
+    return search.good_matches(asked, held).withColumn("rank_no", rank).where("rank_no <= 3")
+
+
 def vector_math(spark: SparkSession, d: str) -> DataFrame:
     i = derived.inventory(spark, d)
     return i.select("vec_id", F.round(dot(F.col("clip"), F.col("visual")), 6).alias("dot"), F.round(norm(F.col("clip")), 6).alias("norm"), F.round(l2(F.col("clip"), F.col("visual")), 6).alias("l2"), F.round(F.get(unit(F.transform("clip", lambda x: x * 3)), F.lit(0)), 6).alias("unit_first"))
@@ -345,6 +362,7 @@ QUERIES = {
     "ivf_search": (ivf_search, _topk_sql("clip_sim", 5)),
     "ivfpq_search": (ivfpq_search, _topk_sql("clip_sim", 5)),
     "ratio_test_matches": (ratio_test_matches, RATIO),
+    "keypoint_matches": (keypoint_matches, None),
     "vector_math": (vector_math, f"with {ITEMS} select vec_id, round(list_dot_product(clip, visual), 6) as dot, round(sqrt(list_dot_product(clip, clip)), 6) as norm, round(list_distance(clip, visual), 6) as l2, round(clip[1] / sqrt(list_dot_product(clip, clip)), 6) as unit_first from i"),
     "category_availability": (category_availability, "with w as (select distinct 'cat' || (p_size % 15)::varchar as category from part) select category, category in (select 'cat' || label::varchar from embeddings) as in_stock from w"),
     "category_counts": (category_counts, f"with {ITEMS} select category, count(*) as n, count(distinct source_file) as sources from i group by 1"),
