@@ -67,7 +67,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: how much of it stands elsewhere and earlier, and where, as "start-end:first document"."""
     spans = F.transform("removed", lambda x: F.concat(x["start"], F.lit("-"), x["end"], F.lit(":"), F.coalesce(x["first_doc_id"].cast("string"), F.lit("null"))))
-    return repeated_spans(table(spark, sf_dir, "documents"), kind="sentence").withColumn("removed", F.array_join(spans, " "))
+    return repeated_spans(table(spark, sf_dir, "documents"), kind="words").withColumn("removed", F.array_join(spans, " "))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,18 @@ A pass over the texts cuts them into units and gives each a 128-bit digest of it
 the digests are grouped: each keeps the place of its earliest unit, combined before the shuffle. Units of a digest that
 occurs again are joined with that place and removed unless it is their own; the original offsets stay with them.
 
-A passage may stand in the middle of a line, so the default of the query cuts lines at sentence ends, too. A unit then
-begins at every sentence or line and takes in what follows until it has enough words: units overlap, each is long
-enough not to repeat by chance, and two texts that share a passage share all units that lie within it.
+A passage may begin and end anywhere in a line, so the query cuts lines further, where their own words say so: after each
+word whose hash is a multiple of ``EVERY`` (kind ``words``), or at sentence ends (``sentence``). A unit then begins at every cut
+and takes in what follows up to the first cut that gives it enough words: units overlap, each is long enough not to
+repeat by chance, and two texts that share a passage share all units that lie within it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -23,8 +26,12 @@ from .common import lean, only, written
 
 #: Shorter units are never removed: short lines repeat by chance.
 MIN_WORDS = 10
+#: One of so many different words, on average, ends a part of a line.
+EVERY = 10
 #: A removed run of so many words, not all of them from the document itself, is counted as a passage.
-PASSAGE_WORDS = 30
+PASSAGE_WORDS = 20
+#: Kinds whose units overlap and make one span in a row.
+RUNS = ("sentence", "words")
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*"), "sentence": re.compile(r"\n|(?<=[.!?])[ \t]|[。！？]")}
 
 
@@ -44,8 +51,38 @@ def size(form: str) -> int:
     return form.count(" ") + 1 + (0 if form.isascii() else len(_UNSPACED.findall(form))) if form else 0
 
 
+#: Word characters that are not of those scripts.
+SPACED = "a-zA-Z0-9_\x80-\u0dff\u0f00-\u0fff\u10a0-\u177f\u1800-\u303f\u3100-\u33ff\u4dc0-\u4dff\ua000-\uf8ff\ufb00-\U0010ffff"
+_WORD = re.compile(f"[{UNSPACED}]|[{SPACED}]+")
+
+
+@lru_cache(1 << 17)
+def ends_part(word: str) -> bool:
+    """Whether a word (in lower case) is one after which lines are cut."""
+    return hashlib.md5(word.encode(errors="surrogatepass"), usedforsecurity=False).hexdigest()[:4] < f"{0x10000 // EVERY:04x}"
+
+
+def _cut_by_words(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of lines up to the end of a word that ends a part."""
+    at = 0
+    for line in text.split("\n"):
+        start = at
+        for found in _WORD.finditer(line):
+            if ends_part(found.group().lower()):
+                yield start, at + found.end()
+                start = at + found.end()
+        at += len(line) + 1
+        yield start, at - 1
+
+
 def parts(text: str, kind: str) -> Iterator[tuple[int, int, str, int]]:
     """(start, end, normal form, size) of what stands between breaks, if it has words; offsets are of characters."""
+    if kind == "words":
+        for start, end in _cut_by_words(text):
+            form = normal(text[start:end])
+            if form:
+                yield start, end, form, size(form)
+        return
     at = 0
     for found in [*_BREAKS[kind].finditer(text), None]:
         end = found.start() if found else len(text)
@@ -56,8 +93,8 @@ def parts(text: str, kind: str) -> Iterator[tuple[int, int, str, int]]:
 
 
 def units(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str, int, int]]:
-    """(start, end, normal form, words before it, words up to its end) of the units that count. A sentence that is too
-    short goes on into the next ones; a line or paragraph that is too short does not count."""
+    """(start, end, normal form, words before it, words up to its end) of the units that count. A sentence or a part of a line
+    that is too short goes on into the next ones; a line or paragraph that is too short does not count."""
     held = list(parts(text, kind))
     before = [0]
     for *_, n in held:
@@ -66,7 +103,7 @@ def units(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> Iterator
     for i, (start, end, form, n) in enumerate(held):
         if n >= min_words:
             yield start, end, form, before[i], before[i + 1]
-        elif kind == "sentence":
+        elif kind in RUNS:
             last = max(last, i)
             while last < len(held) and before[last + 1] - before[i] < min_words:
                 last += 1
@@ -109,8 +146,8 @@ def _spans(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
     every, again = _again(rows, kind, min_words)
     order = Window.partitionBy("row").orderBy("start", "end")
     reach: Column = F.max(F.when(~F.col("mine"), F.col("upto"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # sentences in a row are one span, lines and paragraphs one each
-    begins = ~F.col("mine") & (F.coalesce(F.col("from") > reach, F.lit(True)) if kind == "sentence" else F.lit(True))
+    # sentences or parts in a row are one span, lines and paragraphs one each
+    begins = ~F.col("mine") & (F.coalesce(F.col("from") > reach, F.lit(True)) if kind in RUNS else F.lit(True))
     goes = lambda c: F.when(~F.col("mine"), F.col(c))
     runs = again.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
     spans = runs.groupBy("row", "run").agg(F.count(F.lit(1)).alias("n"), F.min(goes("start")).alias("start"), F.max(goes("end")).alias("end"), F.min_by("first_doc_id", goes("start")).alias("first_doc_id"), F.coalesce(F.bool_or(goes("other")), F.lit(False)).alias("other"), (F.max(goes("upto")) - F.min(goes("from"))).alias("words"))
@@ -125,7 +162,7 @@ def _spans(rows: DataFrame, kind: str, min_words: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_units, n_shared (units that stand elsewhere, too), n_removed, removed_chars,
     removed_words, n_passages (removed spans of ``PASSAGE_WORDS`` or more that repeat another document) and ``removed``, an array of
-    (start, end, first_doc_id) in the order of the text; of sentences in a row first_doc_id is that of the first one.
+    (start, end, first_doc_id) in the order of the text; of sentences or parts in a row first_doc_id is that of the first one.
 
     Units rank by doc_id (null last), then by place in the text; the earliest of equal units stays. Rows that share a
     doc_id rank one after the other, so a repeated row loses what the first has. Null and empty texts have no units.
@@ -160,14 +197,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(*[(F.col("_text") if c == text_col else F.col("doc").getField(c)).alias(c) for c in columns])
 
 
-#: DuckDB SQL for ``op10_substring_dedup``: units from each sentence on.
+def _sql_class(characters: str) -> str:
+    return "".join(c if c.isascii() and c.isprintable() else f"\\x{{{ord(c):04X}}}" for c in characters)
+
+
+_SQL_UNSPACED, _SQL_SPACED = _sql_class(UNSPACED), _sql_class(SPACED)
+#: DuckDB SQL for ``op10_substring_dedup``: units from each part of a line on.
 ORACLE_SQL = f"""
-with t as (select row_number() over () as r, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t]|[\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]', '\\1' || chr(10), 'g'), chr(10)) as l from documents),
-n as (select r, doc_id, l, unnest(range(1, len(l) + 1)) as i from t),
+with t as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+n as (select r, doc_id, regexp_extract_all(unnest(l), '[^{_SQL_SPACED}{_SQL_UNSPACED}]*(?:[{_SQL_UNSPACED}]|[{_SQL_SPACED}]+)|[^{_SQL_SPACED}{_SQL_UNSPACED}]+') as ps, unnest(range(len(l))) as li from t),
+w as (select r, doc_id, li, unnest(ps) as piece, unnest(range(len(ps))) as pi from n),
+x as (select *, coalesce(substr(md5(nullif(lower(regexp_extract(piece, '(?:[{_SQL_UNSPACED}]|[{_SQL_SPACED}]+)$')), '')), 1, 4) < '{0x10000 // EVERY:04x}', false)::int as cut from w),
+y as (select *, sum(cut) over before as c, coalesce(sum(length(piece)) over before, 0) + li as pos from x window before as (partition by r order by li, pi rows between unbounded preceding and 1 preceding)),
+z as (select r, doc_id, li, coalesce(c, 0) as c, min(pos) as start, sum(length(piece)) as n, string_agg(piece, '' order by pi) as piece from y group by r, doc_id, li, coalesce(c, 0)),
 f as (
-    select r, doc_id, i, length(l[i]) as n, trim(regexp_replace(lower(l[i]), '[^a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) as form,
-        sum(length(l[i]) + 1) over (partition by r order by i) - length(l[i]) - 1 as start
-    from n
+    select r, doc_id, row_number() over (partition by r order by start) as i, n, start, trim(regexp_replace(lower(piece), '[^a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')) as form from z
 ),
 p as (
     select *, length(form) - length(replace(form, ' ', '')) + 1 + length(regexp_replace(form, '[^\\x{{0E00}}-\\x{{0EFF}}\\x{{1000}}-\\x{{109F}}\\x{{1780}}-\\x{{17FF}}\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]+', '', 'g')) as words

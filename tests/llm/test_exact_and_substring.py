@@ -167,3 +167,32 @@ def test_rows_that_share_an_id_are_cut_each(spark):
     assert len(got) == 6 and sum(LONG in (t or "") for _, t in got) == 1 and sorted(t for i, t in got if i is None and t) == ["c\n"]
     assert [r.text for r in remove_repeats(docs, kind="sentence").where("doc_id = 3").collect()] == ["。他"]
     assert remove_repeats(docs).columns == docs.columns
+
+
+def test_parts_of_lines_are_cut_where_their_words_say():
+    rng = random.Random(9)
+    text = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(rng.randrange(40))) for _ in range(30)) + "\n文字をここで切る。Ｗörd, mixed漢字word; end "
+    held = list(substring_dedup.parts(text, "words"))
+    for (start, end, form, n), (after, *_) in zip(held, [*held[1:], (len(text),)], strict=True):
+        assert form == normal(text[start:end]) and n == substring_dedup.size(form) and end <= after
+        between = text[end:after]
+        last = re.findall(f"[{substring_dedup.UNSPACED}]|[{substring_dedup.SPACED}]+", text[start:end])[-1]
+        assert substring_dedup.ends_part(last.lower()) or "\n" in between or not normal(text[end:])
+    share = sum(substring_dedup.ends_part(f"w{i}") for i in range(20_000)) / 20_000
+    assert 0.09 < share < 0.11
+
+
+def test_planted_passages_are_found_wherever_they_begin(spark):
+    """Passages of 60 words, cut out of documents at any word and planted at any word of others, none of which is alike."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    prose = lambda n: [w + rng.choice(["", "", "", "", ",", "", "", "", ".", "\n"]) if rng.random() < 0.3 else w for w in (word() for _ in range(n))]
+    docs, planted = [prose(300) for _ in range(250)], range(100, 200)
+    for i in planted:
+        at, to = rng.randrange(240), rng.randrange(300)
+        docs[i] = docs[i][:to] + docs[i - 100][at : at + 60] + docs[i][to:]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: r for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), kind="words").collect()}
+    assert sum(got[i].n_removed > 0 for i in planted) >= 95
+    assert sum(got[i].n_passages > 0 for i in planted) >= 85
+    assert all(got[i].n_removed == 0 for i in range(250) if i not in planted)
