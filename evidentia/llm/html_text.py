@@ -27,7 +27,7 @@ def _names(text: str) -> frozenset[str]:
 #: Element names by how HTML treats them.
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 RAW = _names("script style textarea title xmp iframe noembed noframes plaintext")
-UNSEEN = _names("head script style template noscript title iframe noembed noframes object audio video canvas datalist select textarea area base link meta param source track annotation annotation-xml defs symbol clippath mask marker pattern desc metadata")
+UNSEEN = _names("head script style template noscript title iframe noembed noframes object audio video canvas datalist area base link meta param source track annotation annotation-xml defs symbol clippath mask marker pattern desc metadata")
 #: The parts of a drawing whose text is seen; of an input of these kinds its value (else its placeholder) is.
 DRAWN = _names("text foreignobject")
 LABELLED = _names("button submit reset")
@@ -68,7 +68,10 @@ MAX_DEPTH = 400
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLOSED = re.compile(r"(?<![^\s\"'])/\Z|\A(?!.*=\s*[^\s\"'=<>`]+\Z).*/\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\s*(?:!important\s*)?(?=;|$)", re.I)
+#: Where neither stands in a page, nothing but ``hidden`` hides its elements.
+_PARTLY = re.compile("visibility|<details", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -183,6 +186,29 @@ def hidden(node: Node) -> bool:
     return node.name in UNSEEN or "hidden" in a or bool("style" in a and _HIDING.search(a["style"])) or (node.name == "input" and a.get("type", "").lower() == "hidden") or (node.name == "dialog" and "open" not in a)
 
 
+def _settle(node: Node, seen: bool = True) -> bool:
+    """Takes out what an invisible element has of its own, while what is made visible again within it stays, and what a closed
+    ``details`` has besides its summary. Whether anything is left to be seen."""
+    if node.name == "details" and "open" not in node.attributes:
+        node.children = [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    kept, left = [], False
+    for c in node.children:
+        if isinstance(c, str):
+            if seen:
+                kept.append(c)
+                left = True
+            continue
+        said = _VISIBILITY.findall(c.attributes.get("style", ""))
+        own = said[-1].lower() == "visible" if said else seen
+        if _settle(c, own) or own:
+            if not own and c.name == "li":
+                c.name = "div"  # no mark
+            kept.append(c)
+            left = True
+    node.children = kept
+    return left
+
+
 def width(text: str) -> int:
     return len(text) if text.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in text)
 
@@ -237,10 +263,33 @@ def _plain(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else "" if hidden(c) else _plain(c) for c in node.children)
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    return min(most, number(cell.attributes.get(name), 1))
+
+
+def _placed(rows: list[tuple[Node, list[Node]]]) -> list[tuple[int, int, int, int, list[str]]]:
+    """(row, column, rows, columns, lines) of the cells of rows (their part of the table, cells): a cell that spans rows keeps
+    its columns free in those below, to the end of its part at most."""
+    ends, out, taken = {id(part): n + 1 for n, (part, _) in enumerate(rows)}, [], {}
+    for n, (part, cells) in enumerate(rows):
+        taken = {k: end for k, end in taken.items() if end > n}
+        at = 0
+        for cell in cells:
+            while at in taken:
+                at += 1
+            wide, tall = max(1, _span(cell, "colspan", 1000)), _span(cell, "rowspan", 65534)
+            end = ends[id(part)] if tall == 0 else min(ends[id(part)], n + tall)
+            out.append((n, at, end - n, wide, render(cell)))
+            if end > n + 1:
+                taken |= dict.fromkeys(range(at, at + wide), end)
+            at += wide
+    return out
+
+
 def _table(node: Node) -> list[str]:
-    captions, cells, loose, parts = [], [], Node("#loose"), [(c, None) for c in reversed(node.children)]
+    captions, rows, loose, parts = [], [], Node("#loose"), [(c, node, None) for c in reversed(node.children)]
     while parts:
-        part, row = parts.pop()
+        part, group, row = parts.pop()
         if isinstance(part, str):
             loose.children.append(part)
         elif hidden(part):
@@ -249,37 +298,71 @@ def _table(node: Node) -> list[str]:
             captions.append(part)
         elif part.name in CELLS:
             if row is None:
-                cells.append(row := [])
+                rows.append((group, row := []))
             row.append(part)
         elif part.name in PARTS and part.name != "table":
             if part.name == "tr":
-                cells.append(row := [])
-            parts += [(c, row) for c in reversed(part.children)]
+                rows.append((group, row := []))
+            parts += [(c, group if part.name == "tr" else part, row) for c in reversed(part.children)]
         elif part.name != "col":
             loose.children.append(part)
-    rows = [[(render(c), max(1, min(1000, number(c.attributes.get("colspan"), 1)))) for c in row] for row in cells]
     before = render(loose)  # what stands in a table outside its cells is seen before it
     for c in captions:
         before += render(c)
+    cells = _placed(rows)
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                widths[at] = max([widths.get(at, 0), *map(width, lines)])
-            at += span
-    out = []
-    for row in rows:
-        height = max([len(lines) for lines, _ in row], default=0)
-        for i in range(height):
-            line, at = "", 0
-            for lines, span in row:
-                cell = lines[i] if i < len(lines) else ""
-                room = sum(widths.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
-                line += cell + " " * (max(0, room - width(cell)) + 2)
-                at += span
-            out.append(line.rstrip())
-    return [*before, *out]
+    heights = [0] * len(rows)
+    for row, at, tall, wide, lines in cells:
+        if wide == 1:
+            widths[at] = max([widths.get(at, 0), *map(width, lines)])
+        heights[row] = max(heights[row], len(lines) if tall == 1 else min(1, len(lines)))
+    for row, _, tall, _, lines in sorted(cells, key=lambda c: c[0] + c[2]):
+        if tall > 1:  # the last of a cell's rows takes what the others have no room for
+            heights[row + tall - 1] += max(0, len(lines) - sum(heights[row : row + tall]))
+    tops = [0]
+    for h in heights:
+        tops.append(tops[-1] + h)
+    out: list[list[tuple[int, str]]] = [[] for _ in range(tops[-1])]
+    for row, at, _, _, lines in cells:
+        for i, line in enumerate(lines):
+            out[tops[row] + i].append((at, line))
+    left = {0: 0}
+    for k in range(max([at for _, at, *_ in cells], default=0)):
+        left[k + 1] = left[k] + widths.get(k, 0) + 2
+    drawn = []
+    for pieces in out:
+        line = ""
+        for at, piece in sorted(pieces, key=lambda p: p[0]):
+            if at:
+                line += " " * max(left[at] - width(line), 2 if line else 0)
+            line += piece
+        drawn.append(line.rstrip())
+    return [*before, *drawn]
+
+
+def _choices(node: Node) -> Iterator[Node]:
+    for c in node.children:
+        if isinstance(c, Node) and not hidden(c):
+            if c.name in ("option", "optgroup"):
+                yield c
+            if c.name != "option":
+                yield from _choices(c)
+
+
+def _select(node: Node, out: _Lines) -> None:
+    """All options of a list, with the labels of their groups; of a drop-down that which is selected, else the first."""
+    a, all_ = node.attributes, list(_choices(node))
+    shown = lambda c: c.attributes.get("label") or ("" if c.name == "optgroup" else _plain(c))
+    if "multiple" in a or number(a.get("size"), 1) > 1:
+        for c in all_:
+            out.gap(0)
+            out.text(shown(c))
+        out.gap(0)
+        return
+    options = [c for c in all_ if c.name == "option"]
+    chosen = [c for c in options if "selected" in c.attributes][-1:] or [c for c in options if "disabled" not in c.attributes][:1] or options[:1]
+    for c in chosen:
+        out.text(f" {shown(c)} ")
 
 
 def _label(node: Node) -> str:
@@ -315,6 +398,15 @@ def _walk(node: Node, out: _Lines, order: list) -> None:
             out.text(c.attributes.get("alt", ""))
         elif c.name == "input":
             out.text(_label(c))
+        elif c.name == "select":
+            _select(c, out)
+        elif c.name == "textarea":
+            lines = plain("".join(x for x in c.children if isinstance(x, str))).removeprefix("\n").replace("\r", "").split("\n")
+            if len(lines) == 1:
+                out.text(f" {lines[0]} ")
+            else:
+                out.raw([line.rstrip() for line in lines])
+                out.gap(0)
         elif c.name == "svg":
             _drawn(c, out)
         elif c.name in ("mtd", "mfrac"):  # cells and the parts of a fraction stand apart
@@ -370,7 +462,12 @@ def render(node: Node) -> list[str]:
 
 def html_text(html: str | None) -> str | None:
     """Null for null; the visible text otherwise, lines joined by line feeds."""
-    return None if html is None else "\n".join(render(build(html)))
+    if html is None:
+        return None
+    root = build(html)
+    if _PARTLY.search(html):
+        _settle(root)
+    return "\n".join(render(root))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

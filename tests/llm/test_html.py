@@ -23,11 +23,11 @@ CASES = [
     ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"),
     ("<blockquote>q<p>r</blockquote>", "  q\n\n  r"),
     ("<h1>H</h1>text<hr>more", "H\n\ntext\n\nmore"),
-    ("<select><option>a<option>b</select>c <img alt='pic'> <input type=hidden value=q>", "c pic"),
+    ("<select><option>a<option>b</select>c <img alt='pic'> <input type=hidden value=q>", "a c pic"),
     ("1 < 2 and 3 > 2 <", "1 < 2 and 3 > 2 <"),
     ("<b><i>x</b>y</i>", "xy"),
     ("<table><tr><td><table><tr><td>in</table><td>out</table>", "in  out"),
-    ("<noscript>no</noscript><template>no</template><textarea>no</textarea>", ""),
+    ("<noscript>no</noscript><template>no</template><textarea>yes</textarea>", "yes"),
     ("", ""),
 ]
 
@@ -176,3 +176,68 @@ def test_pages_are_those_of_a_model_that_lays_out_itself():
     for _ in range(1500):
         markup, lines = _page(rng)
         assert html_text(markup) == "\n".join(lines), markup
+
+
+SPANS = [
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td>a<td rowspan=3>tall<br>cell<br>here<br>now<td>b<tr><td>c<td>d<tr><td>e</table>", "a  tall  b\nc  cell  d\ne  here\n   now"),
+    ("<table><tr><td rowspan=0>x<td>1<tr><td>2<tr><td>3<tbody><tr><td>y<td>4</table>", "x  1\n   2\n   3\ny  4"),
+    ("<table><thead><tr><td rowspan=9>h<td>i</thead><tbody><tr><td>j<td>k</table>", "h  i\nj  k"),
+    ("<table><tr><td rowspan=2 colspan=2>wide<td>r<tr><td>s<tr><td>aa<td>bb<td>t</table>", "wide    r\n        s\naa  bb  t"),
+    ("<table><tr><td>a<td rowspan=2>b<td rowspan=2>c<tr><td>d<tr><td>e<td>f<td>g</table>", "a  b  c\nd\ne  f  g"),
+    (f"<table><tr><td rowspan={'9' * 40}>a<td>b<tr><td>c</table>", "a  b\nc"),
+]
+PARTLY = [
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<ul style='visibility: hidden'><li>no<li style='visibility: visible'>yes<li>no <i style='visibility:visible'>this</i></ul>", "- yes\nthis"),
+    ("a<p style='visibility:collapse'>no</p>b", "ab"),
+    ("<p style='visibility:hidden; visibility:visible !important'>yes", "yes"),
+    ("<p style='visibility:hidden'><img alt=no><input value=no><img alt=yes style='visibility:visible'>", "yes"),
+    ("<div style='display:none'>no<b style='display:block;visibility:visible'>no</b></div>yes", "yes"),
+    ("<details><summary>more</summary>no<p>no</details>z", "more\nz"),
+    ("<details open><summary>more</summary>yes</details>", "more\nyes"),
+    ("<details>no</details><details><p>no<summary>s</summary><summary>no</summary></details>", "s"),
+    ("<details><summary>a<details open><summary>b</summary>c</details></summary>no</details>", "a\nb\nc"),
+]
+FIELDS = [
+    ("x<select><option>a<option selected>b</select>y", "x b y"),
+    ("<select><option disabled>pick<option>b<option>c</select>", "b"),
+    ("<select multiple><optgroup label=G><option>a<option label=B>b</optgroup><option>c</select>z", "G\na\nB\nc\nz"),
+    ("<select size=2><option>a<option hidden>no<option>c</select>", "a\nc"),
+    ("a<textarea>one &amp; two</textarea>b", "a one & two b"),
+    ("<textarea>\nfirst\n  second</textarea>z", "first\n  second\nz"),
+    ("<select></select>a<textarea></textarea>b", "a b"),
+]
+
+
+def test_spans_visibility_details_and_fields():
+    for html, want in SPANS + PARTLY + FIELDS:
+        assert html_text(html) == want, html
+
+
+def test_tables_with_spans_are_those_of_a_grid():
+    """Random grids tiled by cells: each cell's word stands in its column, at its first row."""
+    rng = random.Random(23)
+    for _ in range(400):
+        height, columns = rng.randrange(1, 6), rng.randrange(1, 6)
+        owner, cells = {}, []
+        for r in range(height):
+            for c in range(columns):
+                if (r, c) in owner:
+                    continue
+                tall = rng.randrange(1, height - r + 1)
+                wide = 1
+                while c + wide < columns and (r, c + wide) not in owner and rng.random() < 0.2:
+                    wide += 1
+                cells.append((r, c, tall, wide, "".join(rng.choices("abcdef", k=rng.randrange(1, 4 + 2 * (wide == 1))))))
+                owner |= {(r + i, c + j): len(cells) for i in range(tall) for j in range(wide)}
+        markup = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={t} colspan={w}>{x}" for rr, _, t, w, x in cells if rr == r) for r in range(height)) + "</table>"
+        widths = [max([len(x) for _, cc, _, w, x in cells if cc == c and w == 1], default=0) for c in range(columns)]
+        drawn = []
+        for r in range(height):
+            line = ""
+            for rr, c, _, _, x in cells:
+                if rr == r:
+                    line += " " * max(sum(w + 2 for w in widths[:c]) - len(line), 2 if line else 0) + x
+            drawn.append((any(rr == r for rr, *_ in cells), line))
+        assert html_text(markup) == "\n".join(line for there, line in drawn if there), markup
