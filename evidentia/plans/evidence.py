@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mail, text
-from ..operators import evaluate, extraction, reconcile
+from ..operators import evaluate, extraction, reconcile, temporal
 from ..sources import derived
 
 CASES = """
@@ -216,6 +218,32 @@ def verdict_distribution(spark: SparkSession, d: str) -> DataFrame:
     return _verdicts(spark, d).groupBy("status", "reject_reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
+def _paid(spark: SparkSession, d: str) -> DataFrame:
+    customers = derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("customer"))
+    return derived.cases(spark, d).select("case_id", "paid_at").join(customers, "case_id")
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    customers = derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("customer"))
+    return derived.chats(spark, d).select("case_id", "said_at").join(customers, "case_id").withColumnRenamed("case_id", "chat_id")
+
+
+def latest_chat(spark: SparkSession, d: str) -> DataFrame:
+    """For each payment the customer's latest chat at most 15 minutes after it and less than 60 days before."""
+    found = temporal.as_of(_paid(spark, d), _said(spark, d), "paid_at", "said_at", timedelta(days=60), timedelta(minutes=15), on=["customer"], ties="chat_id", name="chat")
+    return found.select("case_id", "customer", F.col("chat.chat_id").alias("chat_id"), ((F.unix_timestamp("paid_at") - F.unix_timestamp("chat.said_at")) / 60).cast("long").alias("minutes_before"))
+
+
+def chats_near_payments(spark: SparkSession, d: str) -> DataFrame:
+    """All chats, whoever's, from 5 minutes before to 15 minutes after a payment."""
+    pairs = temporal.interval_join(_paid(spark, d), _said(spark, d).withColumnRenamed("customer", "chat_customer"), "paid_at", "said_at", timedelta(minutes=5), timedelta(minutes=15))
+    return pairs.select("case_id", "chat_id", ((F.unix_timestamp("said_at") - F.unix_timestamp("paid_at")) / 60).cast("long").alias("minutes_after"), (F.col("customer") == F.col("chat_customer")).alias("same_customer"))
+
+
+TIMES = f"""{CHATS}, p as (select case_id, o_custkey as customer, paid_at from c join orders on o_orderkey = case_id),
+s as (select case_id as chat_id, o_custkey as chat_customer, said from h join orders on o_orderkey = case_id)"""
+
+
 def fuzzy_keyword_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = derived.receipts(spark, d).select("case_id", F.split(F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit("Total"), F.lit("Tota1")), "\n").alias("segments"))
     return extraction.parse_segments(rows)
@@ -296,6 +324,10 @@ QUERIES = {
     "email_match_sameday": (email_match_sameday, f"with {MATCHED} select case_id, mail_id, mail_amount, mail_time from w"),
     "payment_verdict": (payment_verdict, f"with {VERDICTS} select case_id, status, confidence, reject_reason, mail_found, case status when 'APPROVED' then 'success' when 'MANUAL REVIEW' then 'partial' else 'failed' end as shown_as from z"),
     "verdict_distribution": (verdict_distribution, f"with {VERDICTS} select status, reject_reason, count(*) as n, round(avg(confidence), 4) as mean_confidence from z group by 1, 2"),
+    "latest_chat": (latest_chat, f"""with {TIMES}, m as (select case_id, chat_id, said, row_number() over (partition by case_id order by said desc, chat_id desc) as n
+        from p join s on chat_customer = customer and said <= paid_at + interval 15 minutes and said > paid_at - interval 60 days)
+        select p.case_id, customer, m.chat_id, ((epoch(paid_at) - epoch(said)) / 60)::bigint as minutes_before from p left join m on m.case_id = p.case_id and n = 1"""),
+    "chats_near_payments": (chats_near_payments, f"with {TIMES} select case_id, chat_id, ((epoch(said) - epoch(paid_at)) / 60)::bigint as minutes_after, customer = chat_customer as same_customer from p join s on said between paid_at - interval 5 minutes and paid_at + interval 15 minutes"),
     "fuzzy_keyword_fields": (fuzzy_keyword_fields, None),
     "best_ocr_variant": (best_ocr_variant, """with a as (select doc_id as case_id, doc_id % 4 = 0 as blurry, [replace(text, ' ', ''), text, case when doc_id % 3 = 0 then text || '!' else text end, lower(text), replace(text, chr(10), '')] as v from documents),
         v as (select case_id, blurry, unnest(v) as text, unnest(range(5)) as variant_no from a),
