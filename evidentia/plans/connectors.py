@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decimals
 from ..functions.vectors import unit
-from ..operators import catalog, extraction, imaging, models, reconcile, search
+from ..operators import batch, catalog, extraction, imaging, models, reconcile, search
 from ..sources import derived, files
-from . import retrieval
+from . import evidence, retrieval
 
 #: The day of the mailbox scan, and the mailbox's own sender.
 MAIL_DAY = "1995-03-15"
@@ -30,33 +29,31 @@ def _png(bgr: np.ndarray) -> bytes:
 
 
 def _painted_files(spark: SparkSession, d: str) -> str:
-    """A folder with a PNG file for each vector; every fiftieth is no image. Tasks write the files, so the shared folder has
-    to be a mounted one."""
+    """A folder with a PNG file for each vector; every fiftieth is no image."""
     path = files.shared_folder(spark, "images")
-    local = path.removeprefix("file://")
-    if "://" in local:
-        raise ValueError(f"image files are written to mounted folders only, not to {path}")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(local, exist_ok=True)
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                with open(f"{local}/{r.vec_id}.png", "wb") as out:
-                    out.write(b"no image" if r.vec_id % 50 == 0 else _png(imaging.decode(r.data, r.height, r.width, r.channels)))
-            yield batch[["vec_id"]]
+            made = [b"no image" if r.vec_id % 50 == 0 else _png(imaging.decode(r.data, r.height, r.width, r.channels)) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "content": made})
 
-    retrieval._images(spark, d).mapInPandas(write, "vec_id long").write.format("noop").mode("overwrite").save()
+    files.save_files(retrieval._images(spark, d).mapInPandas(encode, "vec_id long, content binary"), path, "vec_id")
     return path
 
 
-def _file_id(path: Column) -> Column:
-    return F.regexp_extract(path, r"(\d+)\.\w+$", 1).cast("long").alias("vec_id")
+def _samples(data: Column, step: int, first: int, width: int, channels: int, channel: int = 0) -> Column:
+    """The values of an image's 64 tiles, ``step`` pixels apart, as a text."""
+    place = lambda n: ((first + step * F.floor(n / 8)) * width + first + step * (n % 8)) * channels + channel + 1
+    value = lambda n: F.conv(F.hex(F.substring(data, place(n).cast("int"), F.lit(1))), 16, 10)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), value), ",")
 
 
 def image_files(spark: SparkSession, d: str) -> DataFrame:
     """Image files read and decoded; files that are no images go."""
     found = files.images(spark, _painted_files(spark, d))
-    return found.select(_file_id(F.col("path")), "height", "width", "channels", F.length("data").alias("n_bytes"))
+    own = F.regexp_extract("path", r"vec_id=(\d+)/", 1).cast("long").alias("vec_id")
+    tiles = [_samples(F.col("data"), 3, 1, 24, 3, c).alias(name) for c, name in enumerate(("blue", "green", "red"))]
+    return found.select(own, "height", "width", "channels", F.length("data").alias("n_bytes"), *tiles)
 
 
 def file_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +114,7 @@ def processed_images(spark: SparkSession, d: str) -> DataFrame:
     made = imaging.transformed(retrieval._images(spark, d).withColumn("method", F.lit("visual_search")), "vec_id")
     files.save_processed(made.withColumn("path", F.col("vec_id").cast("string")), path)
     named = F.col("name").rlike(r"^[0-9a-f]{8}_\d{8}_\d{6}\.jpg$") & F.col("name").startswith(F.substring(F.sha2("path", 256), 1, 8))
-    return spark.read.parquet(path).select("vec_id", named.alias("named"), "height", "width", F.length("data").alias("n_bytes"))
+    return spark.read.parquet(path).select("vec_id", named.alias("named"), "height", "width", F.length("data").alias("n_bytes"), _samples(F.col("data"), 50, 25, 400, 1).alias("tiles"))
 
 
 def json_response(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +128,8 @@ def json_response(spark: SparkSession, d: str) -> DataFrame:
 
 def image_variants(spark: SparkSession, d: str) -> DataFrame:
     """Five readings of each image."""
-    return imaging.with_variants(retrieval._images(spark, d), "vec_id").select("vec_id", "variant_no", "height", "width", F.length("data").alias("n_bytes"))
+    tiles = F.when(F.col("variant_no") == 0, _samples(F.col("data"), 3, 1, 24, 1))
+    return imaging.with_variants(retrieval._images(spark, d), "vec_id").select("vec_id", "variant_no", "height", "width", F.length("data").alias("n_bytes"), tiles.alias("tiles"))
 
 
 def color_histograms(spark: SparkSession, d: str) -> DataFrame:
@@ -240,6 +238,33 @@ def ivf_by_category(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "filename", "rank_no", "score")
 
 
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts as payloads; some are missing, no base64, empty or no UTF-8."""
+    k = F.col("case_id")
+    sent = F.base64(F.encode("text", "UTF-8"))
+    broken = F.when(k % 11 == 0, F.lit(None)).when(k % 11 == 1, F.concat(F.lit("%"), sent)).when(k % 11 == 2, F.lit("")).when(k % 11 == 3, F.base64(F.unhex(F.lit("54ff fe".replace(" ", ""))))).otherwise(sent)
+    return batch.verified_batch(derived.receipts(spark, d).select("case_id", broken.alias("payload")))
+
+
+def verify_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A batch with broken payloads, written with the broken rows apart, and read again."""
+    path = files.shared_folder(spark, "batch")
+    batch.save_batch(_batch(spark, d), path)
+    return batch.read_batch(spark, path).select("case_id", "transaction_id", "amount", "date", "verification_status", "error", "quarantined")
+
+
+def batch_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The totals that were counted as the batch was written."""
+    totals = batch.save_batch(_batch(spark, d), files.shared_folder(spark, "batch"))
+    return spark.createDataFrame([tuple(totals.values())], ", ".join(f"{k} long" for k in totals))
+
+
+BATCH_SQL = f"""with {evidence.FIELDS}, b as (
+    select *, case case_id % 11 when 0 then 'no payload' when 1 then 'not base64' when 2 then 'empty payload' when 3 then 'not UTF-8' end as error from f
+)"""
+TILES_SQL = """with e as (select vec_id, list_transform(range(64), lambda n: trunc(least(255, greatest(0, (embedding[n + 1]::double + 0.4) * 320)))::int) as t from embeddings),
+c as (select vec_id, t as b, list_transform(range(64), lambda n: t[(7 - n // 8) * 8 + n % 8 + 1]) as g, list_transform(range(64), lambda n: t[(n // 8) * 8 + 8 - n % 8]) as r from e),
+y as (select *, array_to_string(list_transform(range(1, 65), lambda n: floor(0.114::double * b[n] + 0.587::double * g[n] + 0.299::double * r[n] + 0.5::double)::int), ',') as grey from c)"""
 FILES_SQL = "with c as (select count(distinct label) as n from embeddings) select way, n * f as n_files, n as n_categories from c, (values ('suffix', 2), ('suffix_bmp', 3), ('glob', 1)) w(way, f)"
 MAILS_SQL = f"""
 with c as (
@@ -255,20 +280,22 @@ JSON_SQL = """
 with o as (select o_orderkey as k, o_orderstatus as s, case when o_orderkey % 3 = 2 then '0.5' else 'null' end as x from orders),
 h as (select k, x, '{"name":"' || s || '","score":' || x || ',"note":null}' as hit from o)
 select '{"case_id":' || k || ',"confidence":' || x || ',"hits":[' || hit || ',' || hit || ']}' as response from h"""
-SIZES_SQL = "with v as (select vec_id, unnest(range(5)) as variant_no from embeddings), s as (select *, case when variant_no = 4 then 36 else 24 end::int as side from v) select vec_id, variant_no::int as variant_no, side as height, side as width, side * side as n_bytes from s"
+SIZES_SQL = TILES_SQL + ", v as (select vec_id, grey, unnest(range(5)) as variant_no from y), s as (select *, case when variant_no = 4 then 36 else 24 end::int as side from v) select vec_id, variant_no::int as variant_no, side as height, side as width, side * side as n_bytes, case when variant_no = 0 then grey end as tiles from s"
 EMBED_SQL = "with v as (select p_partkey, length(p_name)::double as x, (length(p_name) - length(replace(p_name, '1', '')))::double as y from part) select p_partkey, round(x / sqrt(x * x + y * y), 6) as a, round(y / sqrt(x * x + y * y), 6) as b from v"
 ANSWERS_SQL = "with o as (select o_orderkey as k, o_orderkey % 4 as m, o_orderkey % 40 = 0 as none from orders) select k as case_id, case when m <> 3 and not none then 'T' || k end as transaction_id, case when m <> 3 and not none then '1.00' end as amount, case when none or m = 3 then null when m = 1 then 'llm_retry' else 'llm' end as answer_source from o"
 APPAREL_SQL = "with p as (select p_partkey, case when p_partkey % 5 = 0 then 'Footwear' when p_partkey % 31 <> 0 then 'Apparel' end as m, ['Topwear', 'Shoes', 'Bottomwear', 'Saree', 'Bags', 'Dress', 'Loungewear', 'Nightwear', 'Apparel Set', 'Mufflers', 'Gloves', 'topwear'][p_partkey % 12 + 1] as s from part) select p_partkey, m as \"masterCategory\", s as \"subCategory\" from p where p_partkey % 5 <> 0 and p_partkey % 31 <> 0 and p_partkey % 12 not in (1, 4, 11)"
 ROUND_SQL = "select l_orderkey as order_id, l_linenumber as line_no, " + ", ".join(f"round(((l_orderkey * {a} + l_linenumber * {b}) % 101)::double / 7, 2) as {c}" for c, a, b in (("noise", 7, 13), ("contrast", 11, 29), ("brightness", 3, 17), ("blur", 19, 5))) + " from lineitem"
 QUERIES = {
-    "image_files": (image_files, "select vec_id, 24::int as height, 24::int as width, 3::int as channels, 1728::int as n_bytes from embeddings where vec_id % 50 <> 0"),
+    "image_files": (image_files, TILES_SQL + " select vec_id, 24::int as height, 24::int as width, 3::int as channels, 1728::int as n_bytes, array_to_string(b, ',') as blue, array_to_string(g, ',') as green, array_to_string(r, ',') as red from y where vec_id % 50 <> 0"),
+    "verify_batch": (verify_batch, BATCH_SQL + " select case_id, case when error is null then transaction_id end as transaction_id, case when error is null then amount end as amount, case when error is null then date end as date, case when error is null then verification_status else 'error' end as verification_status, error, error is not null as quarantined from b"),
+    "batch_totals": (batch_totals, BATCH_SQL + " select count(*) as total_processed, " + ", ".join(f"count(*) filter (error is null and verification_status = '{s}') as {s}" for s in batch.STATUSES[:3]) + ", count(error) as error from b"),
     "file_scan": (file_scan, FILES_SQL),
     "text_scan": (text_scan, "select s_suppkey, s_name || '|said é|' || s_suppkey || '|' as text from supplier"),
     "mailbox_day": (mailbox_day, MAILS_SQL),
     "metadata_scan": (metadata_scan, "select p_partkey, p_name, p_size::int as p_size from part where p_partkey % 7 <> 0"),
     "annotation_scan": (annotation_scan, LABELS_SQL),
     "detection_csv": (detection_csv, retrieval.QUERIES["weak_labels"][1]),
-    "processed_images": (processed_images, "select vec_id, true as named, 400::int as height, 400::int as width, 160000::int as n_bytes from embeddings"),
+    "processed_images": (processed_images, TILES_SQL + " select vec_id, true as named, 400::int as height, 400::int as width, 160000::int as n_bytes, grey as tiles from y"),
     "json_response": (json_response, JSON_SQL),
     "image_variants": (image_variants, SIZES_SQL),
     "color_histograms": (color_histograms, "select vec_id, 96::int as bins, 1.0::double as squares from embeddings"),
