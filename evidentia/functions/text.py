@@ -171,6 +171,28 @@ def model_answer(raw: Column) -> Column:
     return F.coalesce(read(found(fenced, r"(?s)\{.*\}", 0)), read(F.concat(found(fenced, r"(?s)\{.*", 0), F.lit("}"))))
 
 
+def model_answer_variant(raw: Column) -> Column:
+    """A model's answer as a VARIANT with all that it holds, whatever its keys; null where no JSON object can be read from it.
+    Fences and answers cut short are treated as in ``model_answer``."""
+    fenced = F.when(raw.contains("```json"), F.get(F.split(F.get(F.split(raw, "```json"), F.lit(1)), "```"), F.lit(0))).when(raw.contains("```"), F.get(F.split(raw, "```"), F.lit(1))).otherwise(raw)
+
+    def read(json: Column) -> Column:
+        value = F.try_parse_json(json)
+        return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+    return F.coalesce(read(found(fenced, r"(?s)\{.*\}", 0)), read(F.concat(found(fenced, r"(?s)\{.*", 0), F.lit("}"))))
+
+
+def variant_value(answer: Column, path: str, kind: str = "string") -> Column:
+    """What stands at a path such as ``$.details.items[0].price``; null where there is nothing, or nothing of that kind."""
+    return F.try_variant_get(answer, path, kind)
+
+
+def other_keys(answer: Column, known: tuple[str, ...] = ("transaction_id", "amount", "date", "confidence", "explanations")) -> Column:
+    """The answer's keys that no schema names, in order."""
+    return F.sort_array(F.array_except(F.map_keys(F.try_variant_get(answer, "$", "map<string,variant>")), F.array(*map(F.lit, known))))
+
+
 def field_category(value: Column, field: str) -> Column:
     """is_valid, category and confidence of one field by simple rules."""
 

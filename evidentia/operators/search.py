@@ -106,6 +106,14 @@ def hybrid(queries: DataFrame, items: DataFrame, k: int, clip: float = 0.5, visu
     return reranked(pairs.withColumn("visual_sim", F.round(dot(F.col("_q"), F.col("visual")), DIGITS)), items, k, clip, visual)
 
 
+def from_index(queries: DataFrame, index: DataFrame, k: int, clip: float = 0.5, visual: float = 0.5) -> DataFrame:
+    """``hybrid`` over a saved index that is partitioned by category: its folders are chosen while the query runs, by the
+    categories that the queries ask for, and no other is read. Queries without a category find nothing."""
+    asked = settled(queries, "asked").where("category is not null")
+    wanted = asked.groupBy("category").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select("category")
+    return hybrid(asked, index.join(wanted, "category", "left_semi"), k, clip, visual)
+
+
 def everywhere(queries: DataFrame, items: DataFrame, k: int, reason: str | None = None) -> DataFrame:
     """The ``k`` best of all categories by the first vector, then one of each source: possibly fewer than ``k``."""
     found = nearest(queries.drop("grp"), items.drop("grp"), k, {"clip": 1.0})

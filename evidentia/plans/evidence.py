@@ -270,6 +270,18 @@ def llm_response_parse(spark: SparkSession, d: str) -> DataFrame:
     return read.select("case_id", "a.transaction_id", "a.amount", "a.date", F.col("a.confidence")["amount"].alias("amount_confidence"), F.col("a").isNotNull().alias("parsed"))
 
 
+def model_answer_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Answers whose further keys no schema names, some of them nested, some cut short, some no JSON."""
+    c = derived.cases(spark, d)
+    n = F.col("case_id") % 6
+    items = F.concat(F.lit('"details": {"items": [{"name": "x", "price": '), F.col("rupees").cast("string"), F.lit('}, {"name": "y"}]}'))
+    body = F.concat(F.lit('{"transaction_id": "T'), F.col("key"), F.lit('", "amount": '), F.col("rupees").cast("string"), F.lit(', "tip": null'), F.when(n != 4, F.concat(F.lit(", "), items)).otherwise(""))
+    raw = F.when(n == 0, F.concat(F.lit("```json\n"), body, F.lit("}\n```"))).when(n == 1, body).when(n == 2, "[1, 2]").when(n == 3, "no idea").otherwise(F.concat(F.lit("So: "), body, F.lit("} done")))
+    v = F.col("v")
+    read = c.select("case_id", text.model_answer_variant(raw).alias("v"))
+    return read.select("case_id", text.variant_value(v, "$.transaction_id").alias("transaction_id"), text.variant_value(v, "$.amount", "bigint").alias("amount"), text.variant_value(v, "$.details.items[0].price", "bigint").alias("price"), text.variant_value(v, "$.details.items[1].price", "bigint").alias("no_price"), F.array_join(text.other_keys(v), ",").alias("further"))
+
+
 def text_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return derived.table(spark, d, "documents").select("doc_id", text.sanitized(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
@@ -333,6 +345,8 @@ QUERIES = {
         v as (select case_id, blurry, unnest(v) as text, unnest(range(5)) as variant_no from a),
         r as (select *, row_number() over (partition by case_id order by length(text) desc, variant_no) as n from v) select case_id, variant_no::int as variant_no, md5(text) as text, length(text) < 100 and blurry as rejected from r where n = 1"""),
     "llm_response_parse": (llm_response_parse, f"with {CASES} select case_id, case when case_id % 5 < 4 then 'T' || key end as transaction_id, case when case_id % 5 < 4 then amount end as amount, null::varchar as date, case when case_id % 5 < 4 then 0.9::double end as amount_confidence, case_id % 5 < 4 as parsed from c"),
+    "model_answer_keys": (model_answer_keys, f"""with {CASES}, n as (select *, case_id % 6 not in (2, 3) as read, case_id % 6 <> 4 as whole from c)
+        select case_id, case when read then 'T' || key end as transaction_id, case when read then rupees end as amount, case when read and whole then rupees end as price, null::bigint as no_price, case when read then case when whole then 'details,tip' else 'tip' end end as further from n"""),
     "text_sanitize": (text_sanitize, r"with t as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '[^\w\s.,:\-/()$@#%]', ' ', 'g'), '\s+', ' ', 'g')) as t from documents) select doc_id, md5(t) as digest, length(t)::int as n from t"),
     "text_lines": (text_lines, r"with a as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from documents), u as (select doc_id, unnest(l) as line, unnest(range(len(l))) as line_no from a) select doc_id, line_no::int as line_no, md5(line) as digest from u"),
     "html_plain_text": (html_plain_text, r"with t as (select page_id, trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as t from pages) select page_id, md5(t) as digest, length(t)::int as n from t"),

@@ -348,12 +348,21 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return fresh.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids")).join(built.select("category").distinct(), "category", "left").select("category", "n", "ids")
 
 
+def search_saved_index(spark: SparkSession, d: str) -> DataFrame:
+    """Searches in the categories that are asked for, over the index as it was saved."""
+    path = files.shared_folder(spark, "index")
+    files.save_index(derived.inventory(spark, d), path)
+    asked = derived.queries(spark, d).where(F.col("category").isin("cat1", "cat2", "cat99"))
+    return search.from_index(asked, files.load_index(spark, path), 5)
+
+
 QUERIES = {
     "topk_global": (topk_global, _topk_sql("clip_sim", 5)),
     "topk_category": (topk_category, _topk_sql("clip_sim", 3, "q.category = i.category")),
     "topk_color_weighted": (topk_color_weighted, _topk_sql("0.7 * clip_sim + 0.3 * visual_sim", 5, extra=", greatest(0, least(100, trunc(score * 100)))::int as match_confidence")),
     "topk_weighted_category": (topk_weighted_category, _topk_sql("0.4 * clip_sim + 0.6 * visual_sim", 5, "q.category = i.category")),
     "topk_hybrid": (topk_hybrid, f"with {HITS} select query_id, rank_no::int as rank_no, filename, score, clip_sim, visual_sim, category, trunc(score * 100)::int as match_confidence from hits where rank_no <= 5"),
+    "search_saved_index": (search_saved_index, f"with {HITS} select query_id, rank_no::int as rank_no, filename, score, clip_sim, visual_sim, category, trunc(score * 100)::int as match_confidence from hits where rank_no <= 5 and category in ('cat1', 'cat2', 'cat99')"),
     "zero_shot_category": (zero_shot_category, f"with {SHOTS} select query_id, label, confidence from lab"),
     "zero_shot_color": (zero_shot_color, COLOR_SQL),
     "hybrid_search_routed": (hybrid_search_routed, ROUTED + " select query_id, rank_no::int as rank_no, filename, score, clip_sim, visual_sim, category, reason from near where rank_no <= 5 union all select query_id, rank_no::int, filename, score, clip_sim, visual_sim, category, reason from far"),

@@ -59,3 +59,26 @@ def test_no_cross_product_in_a_global_search(spark, built):
     queries = items.limit(5).selectExpr("filename as query_id", "clip")
     plan = search.nearest(queries, items, 5, {"clip": 1.0})._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_a_saved_index_is_read_where_it_is_asked_for(spark, tmp_path):
+    """Folders of other categories may even be broken: they are not opened."""
+    import glob
+
+    from evidentia.sources.files import load_index, save_index
+
+    v = _items(200)
+    rows = [(f"f{i}", f"s{i // 2}", f"cat{i % 5}", [float(x) for x in v[i]], [float(x) for x in v[i][::-1]]) for i in range(200)]
+    path = str(tmp_path / "index")
+    items = spark.createDataFrame(rows, "filename string, source_file string, category string, clip array<float>, visual array<float>")
+    save_index(items, path)
+    index = load_index(spark, path)
+    queries = spark.createDataFrame([(i, rows[i][3], rows[i][4], c) for i, c in ((1, "cat1"), (6, "cat1"), (3, "cat3"), (4, None), (5, "cat99"))], "query_id long, clip array<float>, visual array<float>, category string")
+    want = sorted(map(tuple, search.hybrid(queries.where("category is not null"), items, 4).collect()))
+    for other in ("cat0", "cat2", "cat4"):
+        for f in glob.glob(f"{path}/category={other}/*.parquet"):
+            with open(f, "wb") as out:
+                out.write(b"broken")
+    found = search.from_index(queries, index, 4)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 12
