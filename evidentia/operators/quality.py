@@ -11,6 +11,7 @@ def resolution_score(pixels: Column) -> Column:
     return F.when(pixels > 2_000_000, 100.0).when(pixels > 1_000_000, F.least(F.lit(100.0), base * 1.2)).otherwise(base)
 
 
+# The weights of the overall score, and the limits and order of the rules below.
 def overall_quality(noise: Column, contrast: Column, brightness: Column, blur: Column, resolution: Column, density: Column) -> Column:
     return 0.25 * contrast + 0.20 * (100 - noise) + 0.15 * blur + 0.20 * resolution + 0.10 * density + 0.10 * (100 - F.abs(brightness - 50))
 

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import mail, text
+from ..functions import keywords, mail, text
 from ..operators import evaluate, extraction, reconcile, temporal
 from ..sources import derived
 
@@ -282,6 +282,20 @@ def model_answer_keys(spark: SparkSession, d: str) -> DataFrame:
     return read.select("case_id", text.variant_value(v, "$.transaction_id").alias("transaction_id"), text.variant_value(v, "$.amount", "bigint").alias("amount"), text.variant_value(v, "$.details.items[0].price", "bigint").alias("price"), text.variant_value(v, "$.details.items[1].price", "bigint").alias("no_price"), F.array_join(text.other_keys(v), ",").alias("further"))
 
 
+#: A vocabulary for scans of whole texts: words of the corpus's languages and parts of them, some within others.
+SCANNED = ["the", "he", "and", "of", "ou", "our", "que", "der", "die", "license", "copyright", "MIT", "http", "@", "ing", "tion", "\n\n", "zzzz"]
+
+
+def keyword_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All keywords in one pass over each whole text: how many there are, which comes first in the list, and where each stands."""
+    rows = derived.table(spark, d, "documents").select("doc_id", keywords.keyword_hits(F.col("text"), SCANNED).alias("h"))
+    shown = F.transform("h", lambda x: F.concat_ws(":", x["word"].cast("string"), x["place"].cast("string")))
+    return rows.select("doc_id", F.size("h").alias("n_words"), F.try_element_at("h", F.lit(1))["word"].alias("first_word"), F.array_join(shown, " ").alias("places"))
+
+
+_KEYS = "[" + ", ".join(f"'{w}'" if "\n" not in w else "chr(10) || chr(10)" for w in SCANNED) + "]"
+
+
 def text_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return derived.table(spark, d, "documents").select("doc_id", text.sanitized(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
@@ -347,6 +361,9 @@ QUERIES = {
     "llm_response_parse": (llm_response_parse, f"with {CASES} select case_id, case when case_id % 5 < 4 then 'T' || key end as transaction_id, case when case_id % 5 < 4 then amount end as amount, null::varchar as date, case when case_id % 5 < 4 then 0.9::double end as amount_confidence, case_id % 5 < 4 as parsed from c"),
     "model_answer_keys": (model_answer_keys, f"""with {CASES}, n as (select *, case_id % 6 not in (2, 3) as read, case_id % 6 <> 4 as whole from c)
         select case_id, case when read then 'T' || key end as transaction_id, case when read then rupees end as amount, case when read and whole then rupees end as price, null::bigint as no_price, case when read then case when whole then 'details,tip' else 'tip' end end as further from n"""),
+    "keyword_scan": (keyword_scan, f"""with t as (select doc_id, list_filter(list_transform(range(1, {len(SCANNED)} + 1), lambda i: {{'w': i - 1, 'p': strpos(text, ({_KEYS})[i]) - 1}}), lambda x: x.p >= 0) as h from documents where text is not null)
+        select doc_id, len(h)::int as n_words, h[1].w::int as first_word, array_to_string(list_transform(h, lambda x: x.w || ':' || x.p), ' ') as places from t
+        union all select doc_id, null, null, null from documents where text is null"""),
     "text_sanitize": (text_sanitize, r"with t as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '[^\w\s.,:\-/()$@#%]', ' ', 'g'), '\s+', ' ', 'g')) as t from documents) select doc_id, md5(t) as digest, length(t)::int as n from t"),
     "text_lines": (text_lines, r"with a as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from documents), u as (select doc_id, unnest(l) as line, unnest(range(len(l))) as line_no from a) select doc_id, line_no::int as line_no, md5(line) as digest from u"),
     "html_plain_text": (html_plain_text, r"with t as (select page_id, trim(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as t from pages) select page_id, md5(t) as digest, length(t)::int as n from t"),

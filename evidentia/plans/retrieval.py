@@ -15,6 +15,7 @@ from ..sources import derived, files
 
 #: A confidence below this is no label: the vocabulary here has 30 templates, so chance is 0.033.
 THRESHOLD = 0.05
+# The colours that a query can have.
 COLORS = ["red", "blue", "black", "white", "green", "yellow", "pink", "purple", "orange", "gray", "beige", "brown", "navy", "gold", "silver", "teal", "maroon"]
 
 ITEMS = """

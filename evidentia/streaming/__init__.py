@@ -38,3 +38,9 @@ def for_each_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame]
         operator(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def first_seen(stream: DataFrame, keys: list[str], time: str, limit: str) -> DataFrame:
+    """Rows whose keys have not been seen within ``limit`` of event time: the first of each stays, and its key is forgotten when
+    the watermark has passed it by, which bounds the state. A restart from the checkpoint goes on with the same state."""
+    return stream.withWatermark(time, limit).dropDuplicatesWithinWatermark(keys)
