@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import reaches
 
-#: Pieces of a segmented string: each segment without one of its characters, and whole; the last one may tolerate nothing.
-_SEGMENTS = """flatten(transform(sequence(0, m - 1), j -> if(odd = 1 and j = m - 1, array(struct(0 as kind, substr(id, j * l + 1, l - 1) as piece, j * l as place)),
-    concat(transform(sequence(1, l), i -> struct(0 as kind, concat(substr(id, j * l + 1, i - 1), substr(id, j * l + i + 1, l - i)) as piece, j * l as place)),
-           array(struct(1 as kind, substr(id, j * l + 1, l) as piece, j * l as place))))))"""
-#: Pieces of the other string: all stretches, and longer ones without one of their inner characters.
-_STRETCHES = """concat(transform(sequence(0, greatest(0, size - l + 1)), x -> struct(0 as kind, substr(id, x + 1, l - 1) as piece, x as place)),
-    if(size > l and l > 1, flatten(transform(sequence(0, size - l - 1), x -> transform(sequence(1, l - 1), i -> struct(1 as kind, concat(substr(id, x + 1, i), substr(id, x + i + 2, l - i)) as piece, x as place)))), array()))"""
+def segments(m: int, length: int, odd: int) -> list[tuple[int, int, int, int, int]]:
+    """(kind, place, characters from there, second place, characters from there) of the pieces of a segmented string: each segment
+    without one of its characters, and whole; the last one may tolerate nothing. Places count from 0."""
+    out = []
+    for at in range(0, m * length, length):
+        if odd and at == (m - 1) * length:
+            out.append((0, at, length - 1, at, 0))
+        else:
+            out += [(0, at, i, at + i + 1, length - 1 - i) for i in range(length)] + [(1, at, length, at, 0)]
+    return out
+
+
+def stretches(size: int, length: int) -> list[tuple[int, int, int, int, int]]:
+    """The same for the other string: all stretches, and longer ones without one of their inner characters."""
+    whole = [(0, x, length - 1, x, 0) for x in range(size - length + 2)]
+    return whole + [(1, x, i, x + i + 1, length - i) for x in range(size - length) for i in range(1, length)]
 
 
 def least_common(both: int, threshold: int) -> int:
@@ -57,18 +66,18 @@ def alike_ids(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
         read[*other, l, owner[0]] = True
 
     def pieces(ids: DataFrame, side: str) -> DataFrame:
-        sized = ids.withColumn("size", F.length("id"))
-        segmented = spark.createDataFrame([(size, l, m, -odd) for (s, size, l), (m, odd) in cut.items() if s == side], "size int, l int, m int, odd int")
-        stretched = spark.createDataFrame([(size, l, owner) for s, size, l, owner in read if s == side], "size int, l int, owner string")
-        own = sized.join(F.broadcast(segmented), "size").select("n", "day", "size", "l", F.lit(side).alias("owner"), F.explode(F.expr(_SEGMENTS)).alias("p"))
-        theirs = sized.join(F.broadcast(stretched), "size").select("n", "day", "size", "l", "owner", F.explode(F.expr(_STRETCHES)).alias("p"))
-        each = own.unionByName(theirs)
-        return each.select(F.xxhash64("day", "owner", "l", "p.kind", "p.piece").alias("h"), F.col("n").alias(side[0]), F.col("size").cast("short").alias(f"{side[0]}_size"), F.col("p.place").cast("short").alias(f"{side[0]}_place"))
+        rows = [(size, l, side, *p) for (s, size, l), (m, odd) in cut.items() if s == side for p in segments(m, l, -odd)]
+        rows += [(size, l, owner, *p) for s, size, l, owner in read if s == side for p in stretches(size, l)]
+        # what a length of id is cut into: it grows with the different lengths, not with ids
+        table = F.broadcast(spark.createDataFrame(rows, "size int, l int, owner string, kind int, place int, n1 int, second int, n2 int"))
+        piece = F.concat(F.substring("id", F.col("place") + 1, F.col("n1")), F.substring("id", F.col("second") + 1, F.col("n2")))
+        each = ids.withColumn("size", F.length("id")).join(table, "size").withColumn("piece", piece)
+        return each.select(F.xxhash64("day", "owner", "l", "kind", "piece").alias("h"), F.col("n").alias(side[0]), F.col("size").cast("short").alias(f"{side[0]}_size"), F.col("place").cast("short").alias(f"{side[0]}_place"))
 
     both = F.col("l_size") + F.col("r_size")
     errors = both - 2 * F.ceil(F.lit(2 * threshold - 1) * both / 400)
     shift = F.col("l_place") - F.col("r_place")
     near = (F.abs(shift) + F.abs(F.col("l_size") - F.col("r_size") - shift)) <= errors + 2
-    candidates = pieces(left, "left").hint("shuffle_hash").join(pieces(right, "right"), "h").where(near).select("l", "r").distinct()
+    candidates = pieces(left, "left").join(pieces(right, "right").hint("shuffle_hash"), "h").where(near).select("l", "r").distinct()
     named = candidates.join(left.select(F.col("n").alias("l"), F.col("day").alias("l_day"), F.col("id").alias("l_id")), "l").join(right.select(F.col("n").alias("r"), F.col("day").alias("r_day"), F.col("id").alias("r_id")), "r")
     return named.where((F.col("l_day") == F.col("r_day")) & reaches(F.col("l_id"), F.col("r_id"), threshold)).select("l", "r")
