@@ -72,7 +72,7 @@ def text_scan(spark: SparkSession, d: str) -> DataFrame:
     """A text file for each supplier, read as one string."""
     path = files.shared_folder(spark, "texts")
     text = F.concat_ws("\n", "s_name", F.lit("said é"), F.col("s_suppkey").cast("string"))
-    derived.table(spark, d, "supplier").select("s_suppkey", text.alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    files.dealt(derived.table(spark, d, "supplier").select("s_suppkey", text.alias("value")), "s_suppkey").write.partitionBy("s_suppkey").text(path)
     found = files.text_files(spark, path)
     return found.select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long").alias("s_suppkey"), F.rtrim(F.regexp_replace("text", "\n", "|")).alias("text"))
 
@@ -92,7 +92,7 @@ def metadata_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def annotation_scan(spark: SparkSession, d: str) -> DataFrame:
     """A file of boxes and one of entities for each supplier, read and labelled."""
-    rows = derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), F.col("s_name").alias("name"), F.col("s_suppkey").cast("string").alias("key")).repartition("doc")
+    rows = files.dealt(derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), F.col("s_name").alias("name"), F.col("s_suppkey").cast("string").alias("key")), "doc")
     boxes, entities = files.shared_folder(spark, "boxes"), files.shared_folder(spark, "entities")
     line = lambda x, word: F.concat(F.lit(f"{x},2,9,9,7,8,9,9,"), word)
     rows.select("doc", F.concat_ws("\n", line(1, F.col("name")), F.lit(" "), line(3, F.col("key")), line(5, F.lit("none")))).write.partitionBy("doc").text(boxes)

@@ -122,12 +122,19 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows by ``key`` in a set number of partitions. A repartition by columns alone is coalesced by bytes, so that one
+    task is left to write all of many small files."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), F.col(f"`{key}`"))
+
+
 def save_files(contents: DataFrame, path: str, key: str = "name", content: str = "content") -> None:
     """A file for each row, in a folder ``key=value`` of its own, with the binary content and a line feed after it, which no
     reader of images minds. Spark's own writer commits them, on whatever file system ``path`` names: a task that fails or
     runs twice leaves nothing behind. Null contents give no file; rows that share a key share a file."""
     held = contents.where(F.col(f"`{content}`").isNotNull()).select(F.col(f"`{key}`"), F.col(f"`{content}`").cast("binary").cast("string").alias("value"))
-    held.repartition(F.col(f"`{key}`")).write.partitionBy(key).text(path)
+    dealt(held, key).write.partitionBy(key).text(path)
 
 
 def as_json(df: DataFrame, name: str = "response") -> DataFrame:

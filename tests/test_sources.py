@@ -1,6 +1,7 @@
 import json
 import struct
 import zlib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -89,3 +90,11 @@ def test_streams(spark, tmp_path):
     q = streaming.paired_stream(ours, theirs).writeStream.format("memory").queryName("paired").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert {(r.case_id, r.id) for r in spark.table("paired").collect()} >= {(1, "m1")}
+
+
+def test_many_files_are_written_by_several_tasks(spark, tmp_path):
+    """Small contents: a shuffle that is coalesced by bytes would leave all files to one task."""
+    rows = spark.range(60).select(F.col("id").alias("name"), F.lit(b"x").alias("content"))
+    files.save_files(rows, str(tmp_path / "each"))
+    tasks = Counter(p.name.split("-")[1] for p in (tmp_path / "each").rglob("part-*"))
+    assert sum(tasks.values()) == 60 and len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
