@@ -20,6 +20,8 @@ from ..sources.files import settled
 
 #: Rows of a side of a block.
 CHUNK = 4096
+#: Numbers of a matrix that a task holds at a time: a block is multiplied in slabs of so many products.
+SLAB = 1 << 20
 #: Similarities are rounded to this many digits before they are ranked, so that ties do not hang on summation order.
 DIGITS = 6
 RECALL = 4
@@ -49,6 +51,12 @@ def _dealt(queries: DataFrame, items: DataFrame, chunk: int) -> tuple[DataFrame,
     return q, i.join(q_chunks, F.col("grp").eqNullSafe(F.col("_g"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_qc") - 1))).drop("_g", "_qc", "i_chunks")
 
 
+def slabs(rows: int, columns: int) -> list[slice]:
+    """The rows of a matrix in pieces of at most ``SLAB`` numbers, one row at least."""
+    step = max(1, SLAB // max(1, columns))
+    return [slice(a, a + step) for a in range(0, rows, step)]
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, weights: dict[str, float], chunk: int = CHUNK) -> DataFrame:
     """The ``k`` best items for each query, of the same ``grp`` where both sides have that column.
 
@@ -67,12 +75,14 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, weights: dict[str, flo
         lengths = [list(zip(*[x[n].map(len) for n in names], strict=True)) for x in (left, right)]
         found = [pd.DataFrame({"query_id": [], "filename": [], "score": [], **{s: [] for s in sims}})]
         for size in set(lengths[0]) & set(lengths[1]):
-            found.append(best(*[x[[y == size for y in own]] for x, own in zip((left, right), lengths, strict=True)]))
+            alike, items_ = [x[[y == size for y in own]] for x, own in zip((left, right), lengths, strict=True)]
+            items_ = items_.sort_values("filename").reset_index(drop=True)
+            vectors = [np.stack(items_[n]).astype(float).T for n in names]
+            found += [best(alike.iloc[rows], items_, vectors) for rows in slabs(len(alike), len(items_))]
         return pd.concat(found[1:] or found)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("filename").reset_index(drop=True)
-        each = [np.round(np.stack(left[n]).astype(float) @ np.stack(right[n]).astype(float).T, DIGITS) for n in names]
+    def best(left: pd.DataFrame, right: pd.DataFrame, vectors: list[np.ndarray]) -> pd.DataFrame:
+        each = [np.round(np.stack(left[n]).astype(float) @ v, DIGITS) for n, v in zip(names, vectors, strict=True)]
         score = np.round(sum(w * s for w, s in zip(weights.values(), each, strict=True)), DIGITS)
         top = np.argsort(-score, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(left)), top.shape[1])
@@ -172,6 +182,14 @@ def rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return every.groupBy("query_id", "filename").agg(F.round(F.sum(1.0 / (k + F.col("rank_no"))), 8).alias("score"))
 
 
+def few(batches: Iterator[pd.DataFrame], each: int, most: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    """Batches cut so that no piece makes more than ``most`` rows, where a row may make ``each``."""
+    step = max(1, most // max(1, each))
+    for batch in batches:
+        for start in range(0, len(batch), step):
+            yield batch.iloc[start : start + step]
+
+
 def with_cells(items: DataFrame, most: int | None = None, seed: int = 3, fit_rows: int = 100_000) -> tuple[DataFrame, np.ndarray]:
     """Items with the coarse cell that each vector is nearest to, and the cells' centres: k-means fitted on at most
     ``fit_rows`` items, all items assigned. There are as many cells as the root of the number of items, or ``most``."""
@@ -200,18 +218,18 @@ def probed(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, p
             yield pd.DataFrame({"cell": batch["cell"], "radius": far}).groupby("cell", as_index=False).max()
 
     def order(v: np.ndarray) -> np.ndarray:
-        return np.argsort(((v[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
+        return np.argsort((centres**2).sum(axis=1) - 2 * v @ centres.T, axis=1, kind="stable")
 
     def asking(batch: pd.DataFrame, rows: np.ndarray, cells: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"query_id": batch["query_id"].to_numpy()[rows], "grp": cells.astype(np.int32), "clip": batch["clip"].to_numpy()[rows]})
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in few(batches, len(centres)):
             near = order(np.stack(batch["clip"]).astype(float))[:, :probes]
             yield asking(batch, np.repeat(np.arange(len(batch)), near.shape[1]), near.ravel())
 
     def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in few(batches, len(centres)):
             v = np.stack(batch["clip"]).astype(float)
             most = v @ centres.T + np.linalg.norm(v, axis=1)[:, None] * radii
             open_ = most + 10.0**-DIGITS >= batch["least"].fillna(-np.inf).to_numpy(float)[:, None]
@@ -229,55 +247,104 @@ def probed(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, p
     return first.unionByName(more).withColumn("rank_no", rank).where(F.col("rank_no") <= k)
 
 
-def good_matches(descriptors: DataFrame, against: DataFrame, share: float = 0.7, chunk: int = CHUNK) -> DataFrame:
+def good_matches(descriptors: DataFrame, against: DataFrame, share: float = 0.7, chunk: int = 4 * CHUNK, k: int | None = None) -> DataFrame:
     """Lowe's ratio test: for descriptors (query_id, descriptor, clip) and images (image, descriptor, clip) how many of a
-    query's descriptors have a nearest neighbour in the image closer than ``share`` of the second nearest.
+    query's descriptors have a nearest neighbour in the image closer than ``share`` of the second nearest. With ``k`` only the
+    images with most good matches of each query, ties to the smaller image.
 
-    Queries come in blocks of ``chunk`` descriptors, images in parts of as many, and every block meets every part in a join on
-    the block's number. The two best of a descriptor are counted where an image is one part, and brought together first
-    where it is several. An image of one descriptor has no good match. Vectors are of unit length.
+    Both sides come in blocks of about ``chunk`` descriptors, whole queries and images together unless one alone has more, and
+    every block meets every other in a task, which counts slab by slab and with ``k`` sends on the best images of its whole
+    queries only. The two best of a descriptor are brought together first where an image is in several parts. An image of one
+    descriptor has no good match. Vectors are of unit length.
     """
-    blocks = max(1, -(-descriptors.count() // chunk))
-    asked = descriptors.select(F.pmod(F.xxhash64("query_id", "descriptor"), F.lit(blocks)).alias("q"), F.struct("query_id", "descriptor", "clip").alias("d")).groupBy("q").agg(F.collect_list("d").alias("asked"))
-    sizes = against.groupBy(F.col("image").alias("_image")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-    parted = against.join(sizes, F.col("image").eqNullSafe(F.col("_image"))).withColumn("part", F.pmod(F.xxhash64("descriptor" if "descriptor" in against.columns else "clip"), "parts"))
-    images = parted.groupBy("image", "parts", "part").agg(F.collect_list("clip").alias("held")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def parted(df: DataFrame, key: str, mine: str) -> tuple[DataFrame, int]:
+        of = df.where("clip is not null")
+        sizes = of.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias(f"{key}_parts"))
+        blocks = max(1, -(-of.count() // chunk))
+        part = F.pmod(F.xxhash64("descriptor" if "descriptor" in df.columns else "clip"), F.col(f"{key}_parts"))
+        return of.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn(mine, F.pmod(F.xxhash64(key, part), F.lit(blocks)).cast("int")), blocks
+
     types = dict(descriptors.dtypes), dict(against.dtypes)
+    (asked, n_q), (images, n_i) = parted(descriptors, "query_id", "q"), parted(against, "image", "i")
+    everyone = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked, images = asked.withColumn("i", everyone(n_i)), images.select("image", "clip", "image_parts", "i").withColumn("q", everyone(n_q))
     names = ["query_id", "image", "descriptor", "good", "best"]
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                held, vectors = np.stack(row.held).astype(float), np.stack([d["clip"] for d in row.asked]).astype(float)
-                sims = np.round(vectors @ held.T, DIGITS)
-                best = -np.sort(-sims, axis=1)[:, :2]
-                found = pd.DataFrame({"query_id": [d["query_id"] for d in row.asked], "image": row.image, "descriptor": [d["descriptor"] for d in row.asked]})
-                if row.parts == 1:
-                    found["good"] = _apart(best, share)
-                    found = found.groupby("query_id", as_index=False, dropna=False).agg({"image": "first", "good": "sum"})
-                    found = found.assign(descriptor=None, best=None)
+    def numbered(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each row's key among the different keys in order, null first; and these."""
+        codes, different = pd.factorize(keys, sort=True)
+        if (codes < 0).any():
+            return codes + 1, np.array([None, *different], dtype=object)
+        return codes, np.asarray(different)
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({n: [] for n in names}, dtype=object)]
+        for several in (False, True):
+            held = right[(right["image_parts"] > 1) == several]
+            if not len(left) or not len(held):
+                continue
+            image, image_keys = numbered(held["image"])
+            order = np.argsort(image, kind="stable")
+            vectors, sizes = np.stack(held["clip"].to_numpy()[order]).astype(float).T, np.bincount(image)
+            starts = np.cumsum(sizes) - sizes
+            query, query_keys = numbered(left["query_id"])
+            counts = np.zeros((0, 0) if several else (len(query_keys), len(sizes)), np.int32)
+            for rows in slabs(len(left), len(held)):
+                first, second = _two_best(np.round(np.stack(left["clip"].iloc[rows]).astype(float) @ vectors, DIGITS), starts, sizes)
+                if several:
+                    n, m = first.shape
+                    pairs = np.stack([first, second], axis=2).reshape(-1, 2)
+                    found.append(pd.DataFrame({"query_id": left["query_id"].iloc[rows].repeat(m), "image": np.tile(image_keys, n), "descriptor": left["descriptor"].iloc[rows].repeat(m), "good": None, "best": [p[np.isfinite(p)] for p in pairs]}))
                 else:
-                    found = found.assign(good=None, best=list(best))
-                yield found[names]
+                    np.add.at(counts, query[rows], _closer(first, second, share))
+            if not several:
+                whole = np.zeros(len(query_keys), bool)
+                whole[query] = left["query_id_parts"].to_numpy() == 1
+                for at in slabs(len(query_keys), len(sizes)):
+                    top = np.argsort(-counts[at], axis=1, kind="stable")
+                    keep = np.ones(top.shape, bool)
+                    if k is not None:
+                        keep[whole[at], k:] = False
+                    row, place = np.nonzero(keep)
+                    col = top[row, place]
+                    found.append(pd.DataFrame({"query_id": query_keys[at][row], "image": image_keys[col], "descriptor": None, "good": counts[at][row, col], "best": None}))
+        return pd.concat(found[1:] or found)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [int(_apart(-np.sort(-np.asarray(b, float))[None, :2], share)[0]) for b in batch["best"]]
+            good = []
+            for b in batch["best"]:
+                two = -np.sort(-np.asarray(b, float))[:2]
+                good.append(int(len(two) == 2 and _closer(two[0], two[1], share)))
             yield pd.DataFrame({"query_id": batch["query_id"], "image": batch["image"], "good": good})
 
     ids = f"query_id {types[0]['query_id']}, image {types[1]['image']}"
-    counted = images.join(asked, "q").select("image", "parts", "held", "asked").mapInPandas(task, f"{ids}, descriptor {types[0]['descriptor']}, good long, best array<double>")
+    counted = asked.groupBy("q", "i").cogroup(images.groupBy("q", "i")).applyInPandas(block, f"{ids}, descriptor {types[0]['descriptor']}, good long, best array<double>")
+    # read twice, counted once
+    counted = settled(counted, "counted")
     several = counted.where("best is not null").groupBy("query_id", "image", "descriptor").agg(F.flatten(F.collect_list("best")).alias("best")).select("query_id", "image", "best")
     every = counted.where("best is null").select("query_id", "image", "good").unionByName(several.mapInPandas(settle, f"{ids}, good long"))
-    return every.groupBy("query_id", "image").agg(F.sum("good").alias("good"))
+    summed = every.groupBy("query_id", "image").agg(F.sum("good").alias("good"))
+    if k is None:
+        return summed
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("good"), "image"))
+    return summed.withColumn("rank_no", rank).where(F.col("rank_no") <= k)
+
 
+def _two_best(sims: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two greatest of each run of columns, for each row; minus infinity for the second of a single one."""
+    first = np.maximum.reduceat(sims, starts, axis=1)
+    best = sims == np.repeat(first, sizes, axis=1)
+    times = np.add.reduceat(best, starts, axis=1, dtype=np.int32)
+    sims[best] = -np.inf
+    return first, np.where(times > 1, first, np.maximum.reduceat(sims, starts, axis=1))
 
-def _apart(best: np.ndarray, share: float) -> np.ndarray:
-    """Whether the first of the two best similarities is closer than ``share`` of the second's distance."""
-    if best.shape[1] < 2:
-        return np.zeros(len(best), np.int64)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * best))
-    return (apart[:, 0] < share * apart[:, 1]).astype(np.int64)
+
+def _closer(first: np.ndarray, second: np.ndarray, share: float) -> np.ndarray:
+    """Whether the first of two best similarities is closer than ``share`` of the second's distance; not without a second."""
+    near, next_ = (np.sqrt(np.maximum(0, 2 - 2 * x)) for x in (first, second))
+    return np.isfinite(second) & (near < share * next_)
 
 
 def category_cells(items: DataFrame, most: int = 100, flat_below: int = 100, fit_rows: int = 10_000, rounds: int = 10, seed: int = 3) -> DataFrame:
@@ -320,7 +387,8 @@ def probed_by_category(queries: DataFrame, items: DataFrame, cells: DataFrame, k
     file_type, id_type, kind = dict(items.dtypes)["filename"], dict(queries.dtypes)["query_id"], dict(items.dtypes)["category"]
 
     def by_category(batches: Iterator[pd.DataFrame]):
-        for batch in batches:
+        # rows carry their category's centres, 100 at most unless the caller allows more
+        for batch in few(batches, 100):
             for _, part in batch.groupby(batch["category"].fillna("\0"), sort=False):
                 yield part, np.stack([np.asarray(c, float) for c in part["centres"].iloc[0]]), np.stack(part["clip"]).astype(float)
 

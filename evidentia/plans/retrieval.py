@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2, norm, percent, unit
@@ -164,9 +164,7 @@ def ivfpq_search(spark: SparkSession, d: str) -> DataFrame:
 def ratio_test_matches(spark: SparkSession, d: str) -> DataFrame:
     asked = derived.queries(spark, d).select(F.floor(F.col("query_id") / 100).alias("query_id"), F.col("query_id").alias("descriptor"), "clip")
     held = derived.inventory(spark, d).select((F.col("vec_id") % 10).alias("image"), F.col("vec_id").alias("descriptor"), "clip")
-    good = search.good_matches(asked, held)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("good"), "image"))
-    return good.withColumn("rank_no", rank).where("rank_no <= 3")
+    return search.good_matches(asked, held, k=3)
 
 
 RATIO = f"""with {ITEMS}, s as (select q.query_id // 100 as query_id, q.query_id as dsc, i.vec_id % 10 as image, round(list_dot_product(q.clip, i.clip), 6) as sim from q, i),
@@ -189,8 +187,7 @@ def keypoint_matches(spark: SparkSession, d: str) -> DataFrame:
     held = files.settled(keypoints.with_keypoints(images, "vec_id").select(F.col("vec_id").alias("image"), "descriptor", "clip"), "keypoints")
     turned = images.where("vec_id % 20 = 0").mapInPandas(turn, images.schema)
     asked = files.settled(keypoints.with_keypoints(turned, "vec_id").select(F.col("vec_id").alias("query_id"), "descriptor", "clip"), "asked")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("good"), "image"))
-    return search.good_matches(asked, held).withColumn("rank_no", rank).where("rank_no <= 3")
+    return search.good_matches(asked, held, k=3)
 
 
 def vector_math(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,26 @@ def test_catalog(spark):
     assert {r.filename: r.colour for r in catalog.with_metadata(items, meta, ["colour"]).collect()} == {"12.jpg": "red", "13.png": "unknown", "x.jpg": "unknown"}
     a, b = (catalog.sample(spark.range(1000).repartition(n), "id", 20).collect() for n in (3, 8))
     assert a == b and len(a) == 20
+
+
+def test_matrices_are_cut_into_slabs():
+    assert [len(range(5000)[s]) for s in search.slabs(5000, 4096)] == [256] * 19 + [136]
+    assert [len(range(3)[s]) for s in search.slabs(3, 10**9)] == [1, 1, 1]
+    batch = pd.DataFrame({"a": range(10_000)})
+    pieces = list(search.few(iter([batch, batch[:0]]), 1000))
+    assert max(map(len, pieces)) == 65 and pd.concat(pieces)["a"].tolist() == batch["a"].tolist()
+
+
+@pytest.mark.parametrize("chunk", [4, 1000])
+def test_best_images_are_those_of_all_counts(spark, chunk):
+    """Whole queries and those in several parts, images of one part and of several; ties go to the smaller image."""
+    rng = np.random.default_rng(5)
+    clip = rng.normal(size=(60, 6))
+    clip[30:] = clip[:30] + rng.normal(size=(30, 6)) * 0.05
+    rows = [(i * i % 7, i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(clip)]
+    asked = spark.createDataFrame(rows[:30], "query_id long, descriptor long, clip array<double>")
+    held = spark.createDataFrame(rows[30:] + [(90 + i, i, rows[i][2]) for i in range(3)], "image long, descriptor long, clip array<double>")
+    every = [tuple(r) for r in search.good_matches(asked, held, 0.7, chunk).collect()]
+    got = sorted((r.query_id, r.rank_no, r.image, r.good) for r in search.good_matches(asked, held, 0.7, chunk, k=3).collect())
+    want = [(q, n + 1, image, good) for q in sorted({e[0] for e in every}) for n, (good, image) in enumerate(sorted((-e[2], e[1]) for e in every if e[0] == q)[:3])]
+    assert got == [(q, n, image, -good) for q, n, image, good in want] and any(g for *_, g in got)
