@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import CHUNK, DIGITS, _dealt, with_cells
+from .search import CHUNK, DIGITS, _dealt, few, slabs, with_cells
 
 #: Parts of a vector, bits of a part's code, rows that centres are fitted on at most, rounds of fitting.
 PARTS, BITS, FIT_ROWS, ROUNDS = 8, 8, 20_000, 8
@@ -111,7 +111,8 @@ def search(queries: DataFrame, items: DataFrame, index: DataFrame, quantiser: Qu
     The ``probes`` nearest cells give each query ``4 * k`` estimates, whose exact scores set what has to be reached. Then every
     cell is asked whose centre and radius, and every item whose estimate and error, can reach it. That gives what ``search.nearest``
     gives over all items. With a ``slack`` the errors of items count less, fewer pairs stay open, and an item may be lost.
-    ``index`` is read three times and ``items`` for open pairs only: they should be tables.
+    Open pairs are scored where they are found, in blocks of several cells with their vectors, and the ``k`` best of a block are
+    all that is sent on, so what is written grows with blocks and never with pairs. ``index`` and ``items`` should be tables.
     """
     shared = queries.sparkSession.sparkContext.broadcast(quantiser)
     asked = queries.select("query_id", "clip").dropna()
@@ -129,43 +130,74 @@ def search(queries: DataFrame, items: DataFrame, index: DataFrame, quantiser: Qu
     for r in index.select("cell", "code", "error").mapInPandas(reach, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
         radii[r.cell] = r.radius
 
+    groups = max(1, -(-index.count() // chunk))
+
+    def opened(v: np.ndarray, least: np.ndarray, cells: np.ndarray | slice) -> np.ndarray:
+        """Which cells (columns) can hold an item as good as asked for, by their centres and radii."""
+        most = v @ shared.value.coarse[cells].T + np.linalg.norm(v, axis=1)[:, None] * radii[cells]
+        return most + 10.0**-DIGITS >= least[:, None]
+
     def sent(every: bool):
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
+            for batch in few(batches, max(groups, len(radii)) if every else len(radii)):
                 v, centres = np.stack(batch["clip"]).astype(float), shared.value.coarse
                 if every:
-                    most = v @ centres.T + np.linalg.norm(v, axis=1)[:, None] * radii
-                    rows, cells = np.nonzero(most + 10.0**-DIGITS >= batch["least"].fillna(-np.inf).to_numpy(float)[:, None])
+                    open_ = opened(v, batch["least"].fillna(-np.inf).to_numpy(float), slice(None))
+                    rows, to = np.nonzero(np.stack([open_[:, g::groups].any(axis=1) for g in range(groups)], axis=1))
                 else:
                     near = np.argsort((centres**2).sum(axis=1) - 2 * v @ centres.T, axis=1, kind="stable")[:, :probes]
-                    rows, cells = np.repeat(np.arange(len(v)), near.shape[1]), near.ravel()
-                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[rows], "grp": cells.astype(np.int32), "clip": batch["clip"].to_numpy()[rows], "least": batch["least"].to_numpy()[rows]})
+                    rows, to = np.repeat(np.arange(len(v)), near.shape[1]), near.ravel()
+                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[rows], "grp": to.astype(np.int32), "clip": batch["clip"].to_numpy()[rows], "least": batch["least"].to_numpy()[rows]})
 
         return task
 
-    def block(first: bool):
-        def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "filename": [], "estimate": []})
+    def coded(right: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.frombuffer(c, np.uint8) for c in right["code"]])
+
+    def guessed_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The best estimates of a cell."""
+        found = [pd.DataFrame({"query_id": [], "filename": [], "estimate": []})]
+        if len(left) and len(right):
             right = right.sort_values("filename")
-            q, codes = np.stack(left["clip"]).astype(float), np.stack([np.frombuffer(c, np.uint8) for c in right["code"]])
-            guess = shared.value.estimate(q, int(left["grp"].iloc[0]), codes)
-            if first:
+            codes = coded(right)
+            for at in slabs(len(left), len(right)):
+                some = left.iloc[at]
+                guess = shared.value.estimate(np.stack(some["clip"]).astype(float), int(some["grp"].iloc[0]), codes)
                 top = np.argsort(-guess, axis=1, kind="stable")[:, : 4 * k]
-                rows, cols = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-            else:
-                most = guess + share * np.linalg.norm(q, axis=1)[:, None] * right["error"].to_numpy(float)[None]
-                rows, cols = np.nonzero(most + 10.0**-DIGITS >= left["least"].fillna(-np.inf).to_numpy(float)[:, None])
-            return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "filename": right["filename"].to_numpy()[cols], "estimate": guess[rows, cols]})
-
-        return task
-
-    def candidates(of: DataFrame, every: bool) -> DataFrame:
-        to_cells = of.mapInPandas(sent(every), f"query_id {id_type}, grp int, clip array<float>, least double")
-        q, i = _dealt(to_cells, index.withColumnRenamed("cell", "grp"), chunk)
-        return q.groupBy("grp", "q", "i").cogroup(i.groupBy("grp", "q", "i")).applyInPandas(block(not every), f"query_id {id_type}, filename {name}, estimate double")
+                rows, cols = np.repeat(np.arange(len(some)), top.shape[1]), top.ravel()
+                found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[rows], "filename": right["filename"].to_numpy()[cols], "estimate": guess[rows, cols]}))
+        return pd.concat(found[1:] or found)
+
+    def open_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The best exact scores among the pairs that cells and codes leave open."""
+        found = [pd.DataFrame({"query_id": [], "filename": [], "score": []})]
+        if len(left) and len(right):
+            right = right.sort_values("filename").reset_index(drop=True)
+            codes, cell, error = coded(right), right["cell"].to_numpy(), right["error"].to_numpy(float)
+            vectors, names = np.stack(right["clip"]).astype(float), right["filename"].to_numpy()
+            for at in slabs(len(left), len(right)):
+                some = left.iloc[at]
+                q, least = np.stack(some["clip"]).astype(float), some["least"].fillna(-np.inf).to_numpy(float)
+                lengths, score = np.linalg.norm(q, axis=1)[:, None], np.full((len(some), len(right)), -np.inf)
+                for c in np.unique(cell):
+                    cols, rows = np.flatnonzero(cell == c), np.flatnonzero(opened(q, least, np.array([c]))[:, 0])
+                    if len(rows):
+                        most = shared.value.estimate(q[rows], int(c), codes[cols]) + share * lengths[rows] * error[cols]
+                        left_open = most + 10.0**-DIGITS >= least[rows, None]
+                        cols, left_open = cols[left_open.any(axis=0)], left_open[:, left_open.any(axis=0)]
+                        score[np.ix_(rows, cols)] = np.where(left_open, np.round(q[rows] @ vectors[cols].T, DIGITS), -np.inf)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                rows, cols = np.repeat(np.arange(len(some)), top.shape[1]), top.ravel()
+                kept = np.isfinite(score[rows, cols])
+                rows, cols = rows[kept], cols[kept]
+                found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[rows], "filename": names[cols], "score": score[rows, cols]}))
+        return pd.concat(found[1:] or found)
+
+    def met(of: DataFrame, held: DataFrame, every: bool) -> DataFrame:
+        to_groups = of.mapInPandas(sent(every), f"query_id {id_type}, grp int, clip array<float>, least double")
+        q, i = _dealt(to_groups, held, chunk)
+        number = "score" if every else "estimate"
+        return q.groupBy("grp", "q", "i").cogroup(i.groupBy("grp", "q", "i")).applyInPandas(open_best if every else guessed_best, f"query_id {id_type}, filename {name}, {number} double")
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Exact scores, rounded as ``search.nearest`` rounds them."""
@@ -178,8 +210,11 @@ def search(queries: DataFrame, items: DataFrame, index: DataFrame, quantiser: Qu
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "filename"))
         return both.select("query_id", "filename", product("_q", "_i").alias("score")).withColumn("rank_no", rank).where(F.col("rank_no") <= k)
 
-    guessed = candidates(asked.withColumn("least", F.lit(None).cast("double")), False)
+    guessed = met(asked.withColumn("least", F.lit(None).cast("double")), index.withColumn("grp", F.col("cell")), False)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "filename"))
     first = scored(guessed.withColumn("_n", order).where(F.col("_n") <= 4 * k).select("query_id", "filename"))
     least = first.where(F.col("rank_no") == k).select("query_id", F.col("score").alias("least"))
-    return scored(candidates(asked.join(least, "query_id", "left"), True).select("query_id", "filename")).select("query_id", "filename", "rank_no", "score")
+    held = index.join(items.select("filename", "clip"), "filename").withColumn("grp", F.col("cell") % groups)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "filename"))
+    best = met(asked.join(least, "query_id", "left"), held, True).withColumn("rank_no", rank).where(F.col("rank_no") <= k)
+    return best.select("query_id", "filename", "rank_no", "score")

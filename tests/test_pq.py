@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.operators import pq, search
 
@@ -82,3 +83,14 @@ def test_a_saved_index_is_read_where_it_is_asked_for(spark, tmp_path):
     found = search.from_index(queries, index, 4)
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == want and len(want) == 12
+
+
+def test_open_pairs_are_scored_where_they_are_found(spark):
+    """What the bounds leave open is nearly all of a table without structure: it is never sent on as pairs."""
+    rows = [(f"f{i:03d}", v.tolist()) for i, v in enumerate(np.random.default_rng(9).normal(size=(200, 16)))]
+    items = spark.createDataFrame(rows, "filename string, clip array<double>").cache()
+    queries = items.limit(10).select(F.col("filename").alias("query_id"), "clip")
+    index, quantiser = pq.build(items)
+    found = pq.search(queries, items, index.cache(), quantiser, 5, chunk=32)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInPandas")[0]
+    assert found.count() == 50
