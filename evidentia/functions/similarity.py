@@ -61,17 +61,6 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def reaches(a: Column, b: Column, threshold: int) -> Column:
-    """``alike`` for many pairs that are not nearly equal: bit-parallel, in Arrow batches. Null for null."""
-
-    @F.pandas_udf("boolean")
-    def whether(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = zip(a, b, strict=True)
-        return pd.Series([None if x is None or y is None else round(200.0 * _lcs(x, y) / (len(x) + len(y))) >= threshold if x or y else threshold <= 0 for x, y in pairs], dtype=object)
-
-    return whether(a, b)
-
-
 def words_alike(texts: Column, words: list[str], threshold: float) -> Column:
     """For each string of an array the numbers of the words that stand in it or are alike to a stretch of it by
     ``threshold`` (``partial_ratio``), in order. Workers remember so many different strings."""

@@ -20,21 +20,18 @@ def match_mails(receipts: DataFrame, mails: DataFrame, sender: str, threshold: i
     """Adds ``mail`` (transaction_id, amount, timestamp) to each receipt (case_id, transaction_id, timestamp): of the
     sender's e-mails of the same day whose id is alike by ``threshold``, the latest, then that with the smallest id.
 
-    Receipts are written and read again, so what they are made of is evaluated once. Equal ids of a day are compared once,
-    however many receipts or e-mails have them; receipts that repeat a case_id are matched each for itself. Receipts
-    without id or time, and e-mails without id, amount or time, match nothing.
+    Receipts and e-mails are written and read again, so what they are made of is evaluated once. Equal ids of a day are compared
+    once in a block, however many receipts or e-mails have them; receipts that repeat a case_id are matched each for itself.
+    Receipts without id or time, and e-mails without id, amount or time, match nothing.
     """
-    ours = settled(receipts, "receipts")
+    ours = settled(receipts.withColumn("_n", F.monotonically_increasing_id()), "receipts")
     usable = mails.where((F.col("sender") == sender) & F.col("transaction_id").isNotNull() & F.col("amount").isNotNull() & F.col("received").isNotNull())
-    place = F.struct((-F.unix_micros(F.col("received").cast("timestamp"))).alias("before"), F.col("id").alias("mail_id"))
-    latest = usable.select(F.to_date("received").alias("day"), F.lower("transaction_id").alias("id"), place.alias("place"), F.struct("transaction_id", "amount", "timestamp").alias("mail"))
-    theirs = settled(latest.groupBy("day", "id").agg(F.min("place").alias("place"), F.min_by("mail", "place").alias("mail")).withColumn("n", F.monotonically_increasing_id()), "mails")
-    own = [F.to_date("timestamp").alias("day"), F.lower("transaction_id").alias("id")]
-    different = settled(ours.select(*own).where("day is not null and id is not null").distinct().withColumn("n", F.monotonically_increasing_id()), "ids")
-    pairs = alike_ids(different, theirs.select("n", "day", "id"), threshold)
-    found = pairs.join(theirs.select(F.col("n").alias("r"), "place", "mail"), "r").groupBy("l").agg(F.min_by("mail", "place").alias("mail"))
-    best = different.join(found.withColumnRenamed("l", "n"), "n").select(F.col("day").alias("_day"), F.col("id").alias("_id"), "mail")
-    return ours.join(best, (own[0] == F.col("_day")) & (own[1] == F.col("_id")), "left").drop("_day", "_id")
+    before = -F.unix_micros(F.col("received").cast("timestamp"))
+    theirs = settled(usable.select(F.to_date("received").alias("day"), before.alias("before"), F.col("id").alias("mail_id"), F.struct("transaction_id", "amount", "timestamp").alias("mail")), "mails")
+    left = ours.select(F.col("_n").alias("n"), F.to_date("timestamp").alias("day"), F.lower("transaction_id").alias("id"))
+    found = alike_ids(left, theirs.withColumn("id", F.lower("mail.transaction_id")), threshold, ["before", "mail_id"])
+    best = found.groupBy(F.col("l").alias("_n")).agg(F.min_by("mail", F.struct("before", "mail_id")).alias("mail"))
+    return ours.join(best, "_n", "left").drop("_n")
 
 
 def _minutes(later: Column, earlier: Column) -> Column:

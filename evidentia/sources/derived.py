@@ -84,8 +84,8 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, sender, received, timestamp, transaction_id, amount, by the key's last digit but one: none; another amount; 3
     and 6 wrong characters; 10 and 40 minutes off; no time; another sender; two characters lost and two too many; the
     last as paid, two minutes later."""
-    c = cases(spark, sf_dir).withColumn("e", F.floor(F.col("case_id") / 10) % 10).where("e <> 0")
-    tid, e = bank_id(F.col("case_id")), F.col("e")
+    c = cases(spark, sf_dir).withColumn("e", F.floor(F.col("case_id") / 10) % 10).where("e <> 0").withColumn("tid", bank_id(F.col("case_id")))
+    tid, e = F.col("tid"), F.col("e")
     wrong = lambda places: F.concat(*[F.lit("x") if i in places else F.substring(tid, i + 1, 1) for i in range(24)])
     mixed = F.concat(F.substring(tid, 1, 4), F.substring(tid, 6, 4), F.lit("x"), F.substring(tid, 10, 7), F.substring(tid, 18, 4), F.lit("z"), F.substring(tid, 22, 3))
     seen = F.when(e == 2, wrong({1, 8, 15})).when(e == 3, wrong({1, 5, 9, 13, 17, 21})).when(e == 8, mixed).otherwise(tid)

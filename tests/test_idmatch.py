@@ -5,6 +5,7 @@ import random
 import pytest
 
 from evidentia.functions.similarity import _lcs
+from evidentia.operators import idmatch
 from evidentia.operators.idmatch import alike_ids, cuts, least_common
 
 
@@ -75,3 +76,38 @@ def test_few_candidates_on_a_busy_day(spark):
     assert pairs.count() == 0
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ids_are_shuffled_once_and_their_pieces_never(spark):
+    rng = random.Random(3)
+    ids = lambda n: spark.createDataFrame([(i, f"d{i % 3}", "".join(rng.choices("0123456789abcdef", k=24))) for i in range(n)], "n long, day string, id string")
+    left, right, context = ids(300), ids(200), spark.sparkContext
+    context.setJobGroup("shuffled", "")
+    alike_ids(left, right, 80).collect()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("shuffled") for s in tracker.getJobInfo(j).stageIds}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # and the days' counts of each task
+    assert 500 <= sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 600
+
+
+@pytest.mark.parametrize("letters", ["ab", "0123456789abcdef", "äöü漢字😀abcdefghijklmnop"])
+def test_a_busy_day_is_several_blocks_and_small_pieces(spark, monkeypatch, letters):
+    """Whatever a task holds at a time, and however long ids are: the pairs of all pairs, and the first of each."""
+    rng = random.Random(4)
+    left = [(n, "d", "".join(rng.choices(letters, k=rng.choice([5, 12, 70])))) for n in range(90)]
+    right = [(n, "d", _edited(rng, x, rng.randrange(3), rng.randrange(3), letters), f"p{n % 7}", rng.choice([None, 5])) for n, (_, _, x) in enumerate(rng.choices(left, k=160))]
+    left += [(200 + n, "d", left[n][2]) for n in range(9)]
+    want = sorted((l, r[0]) for l, _, x in left for r in right if _ratio(x, r[2]) >= 80)
+    ls, rs = spark.createDataFrame(left, "n long, day string, id string"), spark.createDataFrame(right, "n long, day string, id string, place string, paid long")
+    for chunk in (1 << 15, 30):
+        assert sorted(map(tuple, alike_ids(ls, rs, 80, chunk=chunk).collect())) == want
+        best = {}
+        for r in alike_ids(ls, rs, 80, ["place", "n"], chunk).collect():
+            best[r.l] = min(best.get(r.l, ("z",)), (r.place, r.n, r.paid))
+        assert best == {l: min((right[r][3], r, right[r][4]) for k, r in want if k == l) for l, _ in want}
+    monkeypatch.setattr(idmatch, "PIECES", 500)
+    monkeypatch.setattr(idmatch, "PAIRS", 37)
+    found = {(left[i][0], right[j][0]) for l, r in idmatch.pairs_alike([x[2] for x in left], [x[2] for x in right], 80) for i, j in zip(l, r, strict=True)}
+    assert sorted(found) == want
