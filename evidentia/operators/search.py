@@ -286,18 +286,24 @@ def good_matches(descriptors: DataFrame, against: DataFrame, share: float = 0.7,
                 continue
             image, image_keys = numbered(held["image"])
             order = np.argsort(image, kind="stable")
-            vectors, sizes = np.stack(held["clip"].to_numpy()[order]).astype(float).T, np.bincount(image)
+            vectors, sizes = np.stack(held["clip"].to_numpy()[order]).astype(float), np.bincount(image)
             starts = np.cumsum(sizes) - sizes
+            # the first descriptor of each image, then the second of those that have one and so on, large images first
+            larger = np.argsort(-sizes, kind="stable")
+            slots = [starts[larger[: np.count_nonzero(sizes > n)]] + n for n in range(sizes.max())]
+            columns, back = vectors[np.concatenate(slots)].T, np.argsort(larger)
+            rough, longest = np.ascontiguousarray(columns, np.float32), float(np.sqrt(np.square(vectors).sum(axis=1).max()))
             query, query_keys = numbered(left["query_id"])
             counts = np.zeros((0, 0) if several else (len(query_keys), len(sizes)), np.int32)
             for rows in slabs(len(left), len(held)):
-                first, second = _two_best(np.round(np.stack(left["clip"].iloc[rows]).astype(float) @ vectors, DIGITS), starts, sizes)
+                asked_ = np.stack(left["clip"].iloc[rows])
                 if several:
+                    first, second = (np.round(x, DIGITS)[:, back] for x in _two_best(asked_.astype(float) @ columns, slots))
                     n, m = first.shape
                     pairs = np.stack([first, second], axis=2).reshape(-1, 2)
                     found.append(pd.DataFrame({"query_id": left["query_id"].iloc[rows].repeat(m), "image": np.tile(image_keys, n), "descriptor": left["descriptor"].iloc[rows].repeat(m), "good": None, "best": [p[np.isfinite(p)] for p in pairs]}))
                 else:
-                    np.add.at(counts, query[rows], _closer(first, second, share))
+                    np.add.at(counts, query[rows], _good(asked_, rough, slots, vectors, longest, starts[larger], sizes[larger], share)[:, back])
             if not several:
                 whole = np.zeros(len(query_keys), bool)
                 whole[query] = left["query_id_parts"].to_numpy() == 1
@@ -332,13 +338,34 @@ def good_matches(descriptors: DataFrame, against: DataFrame, share: float = 0.7,
     return summed.withColumn("rank_no", rank).where(F.col("rank_no") <= k)
 
 
-def _two_best(sims: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two greatest of each run of columns, for each row; minus infinity for the second of a single one."""
-    first = np.maximum.reduceat(sims, starts, axis=1)
-    best = sims == np.repeat(first, sizes, axis=1)
-    times = np.add.reduceat(best, starts, axis=1, dtype=np.int32)
-    sims[best] = -np.inf
-    return first, np.where(times > 1, first, np.maximum.reduceat(sims, starts, axis=1))
+def _two_best(sims: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two greatest of each image, for each row; minus infinity for the second of a single one. Columns come slot by slot,
+    and the images of a slot are the first ones of the slot before."""
+    at = len(slots[0])
+    first = sims[:, :at].copy()
+    second = np.full_like(first, -np.inf)
+    for n in map(len, slots[1:]):
+        x, a, b = sims[:, at : at + n], first[:, :n], second[:, :n]
+        np.maximum(b, np.minimum(a, x), out=b)
+        np.maximum(a, x, out=a)
+        at += n
+    return first, second
+
+
+def _good(asked: np.ndarray, rough: np.ndarray, slots: list[np.ndarray], vectors: np.ndarray, longest: float, starts: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
+    """``_closer`` for each row and image. Products in single precision decide where their error leaves no doubt, the others
+    are reckoned again in double precision."""
+    first, second = _two_best(asked.astype(np.float32) @ rough, slots)
+    product = longest * np.sqrt(np.square(asked, dtype=float).sum(axis=1).max())
+    error = np.float32((vectors.shape[1] + 4) * 2.0**-23 * product + 2 * 10.0**-DIGITS)
+    near, next_ = 1 - first, np.float32(share**2) * (1 - second)
+    several = np.isfinite(second)
+    good = several & (near + 2 * error < next_)
+    for row, image in zip(*np.nonzero(several & ~good & (near - 2 * error < next_)), strict=True):
+        own = vectors[starts[image] : starts[image] + sizes[image]]
+        two = np.sort(np.round(own @ asked[row].astype(float), DIGITS))[-2:]
+        good[row, image] = _closer(two[1], two[0], share)
+    return good
 
 
 def _closer(first: np.ndarray, second: np.ndarray, share: float) -> np.ndarray:

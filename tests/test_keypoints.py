@@ -76,3 +76,53 @@ def test_query_finds_the_turned_image(spark):
     got = queries()["keypoint_matches"](spark, "/root/testdata/sf0.001").collect()
     first = [r for r in got if r.rank_no == 1]
     assert len(first) == 25 and sum(r.query_id == r.image for r in first) >= 23
+
+
+def test_images_of_one_size_are_taken_together(monkeypatch):
+    """Bit by bit as each alone, whatever the sizes; so many pixels at a time."""
+    from evidentia.operators import keypoints as kp
+
+    images = [scene(n, *shape) for n, shape in enumerate([(32, 32)] * 5 + [(9, 2), (40, 33), (32, 32)])]
+    alone = [keypoints(i) for i in images]
+    assert sum(map(len, alone)) > 60
+    calls, whole = [], kp.octaves
+    monkeypatch.setattr(kp, "octaves", lambda x: calls.append(x.shape) or whole(x))
+    monkeypatch.setattr(kp, "PIXELS", 2048)
+    monkeypatch.setattr(kp, "AROUND", 3000)
+    assert kp.keypoints_of(images) == alone
+    assert calls == [(2, 32, 32)] * 3 + [(1, 9, 2), (1, 40, 33)]
+
+
+def test_doubtful_matches_are_reckoned_in_double_precision(spark, monkeypatch):
+    """Distances around the ratio's limit, nearer to it than single precision tells, and equal ones: as all pairs say."""
+    from evidentia.operators import search
+
+    def at(sim, n):
+        v = np.zeros(128)
+        v[0], v[n] = sim, np.sqrt(1 - sim**2)
+        return v
+
+    rng, held, want = np.random.default_rng(5), [], {}
+    query = np.eye(128)[0]
+    for image in range(60):
+        far = rng.uniform(0.2, 0.9)
+        near = 1 - 0.49 * (1 - far) + rng.uniform(-3e-6, 3e-6)
+        sims = [near, far, *[far - 0.1] * (image % 3)] if image else [1.0, 1.0]
+        held += [(image, n, at(s, n + 1).tolist()) for n, s in enumerate(sims)]
+        one, two = sorted((round(float(np.array(h[2]) @ query), 6) for h in held[-len(sims) :]), reverse=True)[:2]
+        want[image] = int(np.sqrt(2 - 2 * one) < 0.7 * np.sqrt(2 - 2 * two))
+    assert 15 < sum(want.values()) < 45
+    rough = []
+    whole = search._closer
+    monkeypatch.setattr(search, "_closer", lambda *a: rough.append(a) or whole(*a))
+    vectors = np.array([h[2] for h in held])
+    sizes = np.bincount([h[0] for h in held])
+    starts = np.cumsum(sizes) - sizes
+    larger = np.argsort(-sizes, kind="stable")
+    slots = [starts[larger[: np.count_nonzero(sizes > n)]] + n for n in range(sizes.max())]
+    columns = np.ascontiguousarray(vectors[np.concatenate(slots)].T, np.float32)
+    good = search._good(query[None], columns, slots, vectors, 1.0, starts[larger], sizes[larger], 0.7)[0, np.argsort(larger)]
+    assert good.astype(int).tolist() == list(want.values()) and len(rough) > 50
+    descriptors = spark.createDataFrame([(7, 0, query.tolist())], "query_id long, descriptor int, clip array<double>")
+    got = good_matches(descriptors, spark.createDataFrame(held, "image long, descriptor int, clip array<double>")).collect()
+    assert {r.image: r.good for r in got} == want
