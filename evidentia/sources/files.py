@@ -14,6 +14,8 @@ from ..operators.catalog import box_lines
 #: File endings of inventory images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 IMAGE_SUFFIXES_BMP = (*IMAGE_SUFFIXES, ".bmp")
+#: Row groups of images: rows and (packed) bytes of one, and after how many rows bytes are counted first.
+IMAGE_GROUPS = {"parquet.block.row.count.limit": "64", "parquet.block.size": str(1 << 22), "parquet.block.size.row.check.min": "1"}
 
 
 def has_suffix(path: Column, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> Column:
@@ -144,5 +146,6 @@ def as_json(df: DataFrame, name: str = "response") -> DataFrame:
 
 
 def save_processed(images: DataFrame, path: str) -> None:
-    """Transformed images under names of an id and the time of processing."""
-    images.withColumn("name", F.concat(F.substr(F.sha2(F.col("path"), 256), F.lit(1), F.lit(8)), F.lit("_"), F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"), F.lit(".jpg"))).write.mode("append").parquet(path)
+    """Transformed images under names of an id and the time of processing. A reader takes up to 4,096 rows of a row group at a
+    time, and a writer holds one, so row groups are small: memory does not grow with the images of a file."""
+    images.withColumn("name", F.concat(F.substr(F.sha2(F.col("path"), 256), F.lit(1), F.lit(8)), F.lit("_"), F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"), F.lit(".jpg"))).write.mode("append").options(**IMAGE_GROUPS).parquet(path)

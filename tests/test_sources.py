@@ -98,3 +98,18 @@ def test_many_files_are_written_by_several_tasks(spark, tmp_path):
     files.save_files(rows, str(tmp_path / "each"))
     tasks = Counter(p.name.split("-")[1] for p in (tmp_path / "each").rglob("part-*"))
     assert sum(tasks.values()) == 60 and len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_processed_images_lie_in_small_row_groups(spark, tmp_path):
+    """Whether they pack well or not: what reads a row group holds up to 4,096 rows of it."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    images = spark.range(0, 300, 1, 1).select(F.col("id").cast("string").alias("path"), F.when(F.col("id") < 150, F.repeat(F.lit("w"), 160_000)).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: F.md5(F.concat(x.cast("string"), F.col("id").cast("string")))), "")).cast("binary").alias("data"))
+    files.save_processed(images, str(tmp_path / "out"))
+    (part,) = glob.glob(str(tmp_path / "out" / "*.parquet"))
+    found = pq.ParquetFile(part).metadata
+    sizes = [(found.row_group(n).num_rows, found.row_group(n).total_byte_size) for n in range(found.num_row_groups)]
+    assert sum(n for n, _ in sizes) == 300 and max(n for n, _ in sizes) <= 64 and max(b for _, b in sizes) < 12_000_000
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum(F.length("data"))).first()[0] == 150 * 160_000 + 150 * 96_000
